@@ -48,7 +48,7 @@ HEADER_FEATURES = {
 def flow_seconds(start: Column, end: Column) -> Column:
     """Flow duration in seconds with sub-second precision, cut at one hour; 0 when unknown."""
     seconds = (F.unix_micros(end) - F.unix_micros(start)) / 1e6
-    return F.coalesce(F.least(seconds / 3600.0, F.lit(1.0)) * 3600.0, F.lit(0.0))
+    return F.when(seconds.isNull(), 0.0).otherwise(F.least(seconds, F.lit(3600.0)))
 
 
 def flow_features(start: Column, end: Column, packets: Column, size: Column) -> dict[str, Column]:
@@ -56,11 +56,11 @@ def flow_features(start: Column, end: Column, packets: Column, size: Column) ->
     seconds = flow_seconds(start, end)
     packets = F.coalesce(packets, F.lit(1)).cast("double")
     size = F.coalesce(size, F.lit(0)).cast("double")
-    per_second = F.when(seconds > 0, seconds)
+    lasts = seconds > 0
     return {
         "flow_duration": seconds / 3600.0,
-        "packet_rate": F.coalesce(F.least(packets / per_second / 1000.0, F.lit(1.0)), F.lit(0.0)),
-        "byte_rate": F.least(F.coalesce(size / per_second, size) / 1e6, F.lit(1.0)),
+        "packet_rate": F.when(lasts, F.least(packets / seconds / 1000.0, F.lit(1.0))).otherwise(0.0),
+        "byte_rate": F.least(F.when(lasts, size / seconds).otherwise(size) / 1e6, F.lit(1.0)),
     }
 
 

@@ -136,7 +136,7 @@ def matches_by_replication(
         df.select(key, text.alias("_text"))
         .filter("_text is not null")
         .withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int"))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))).cast("bigint"))
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
     )
     found = visits.join(rules, ["_chunk", "_salt"]).filter("_text rlike regex")
     return found.select(key, F.col("name").alias("signature"))

@@ -1,48 +1,48 @@
-"""Column layouts of the packet stream and of the stored tables."""
+"""Column layouts of the packet stream and of the stored tables, as name -> SQL type."""
 
-from pyspark.sql import types as T
-
-
-def _struct(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
-
-
-PACKET = _struct(
-    """packet_id BIGINT, ts TIMESTAMP, src STRING, dst STRING, proto STRING, sport INT, dport INT,
-    flags INT, len INT, ttl INT, frag BOOLEAN, icmp_type INT, icmp_code INT, payload STRING, is_malicious BOOLEAN"""
-)
+PACKET = {
+    "packet_id": "bigint", "ts": "timestamp", "src": "string", "dst": "string", "proto": "string", "sport": "int",
+    "dport": "int", "flags": "int", "len": "int", "ttl": "int", "frag": "boolean", "icmp_type": "int",
+    "icmp_code": "int", "payload": "string", "is_malicious": "boolean",
+}
 
 # Raw event log the packet view is derived from.
-EVENTS = _struct(
-    "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
-)
+EVENTS = {
+    "event_id": "bigint", "ts": "timestamp_ntz", "user_id": "bigint", "event_type": "string", "value": "double",
+    "props": "string",
+}
 
 TABLES = {
-    "detections": _struct(
-        """id BIGINT, timestamp TIMESTAMP, src_ip STRING, dst_ip STRING, src_port INT, dst_port INT,
-        protocol STRING, length INT, is_malicious BOOLEAN, confidence DOUBLE,
-        feature_data ARRAY<DOUBLE>, packet_data STRING"""
-    ),
-    "alerts": _struct(
-        """id STRING, detection_id BIGINT, timestamp TIMESTAMP, status STRING, admin_notes STRING,
-        reviewed_at TIMESTAMP"""
-    ),
-    "alert_decisions": _struct(
-        "alert_id STRING, status STRING, admin_notes STRING, decided_at TIMESTAMP"
-    ),
-    "model_feedback": _struct(
-        "id BIGINT, timestamp TIMESTAMP, feature_data ARRAY<DOUBLE>, label INT, alert_id STRING"
-    ),
-    "training_history": _struct(
-        """id BIGINT, timestamp TIMESTAMP, model_type STRING, training_type STRING, dataset_size BIGINT,
-        accuracy DOUBLE, precision DOUBLE, recall DOUBLE, f1_score DOUBLE,
-        false_positive_rate DOUBLE, training_time DOUBLE"""
-    ),
-    "dpi_signatures": _struct(
-        """id BIGINT, name STRING, pattern STRING, description STRING, category STRING,
-        is_active BOOLEAN, created_at TIMESTAMP, updated_at TIMESTAMP"""
-    ),
+    "detections": {
+        "id": "bigint", "timestamp": "timestamp", "src_ip": "string", "dst_ip": "string", "src_port": "int",
+        "dst_port": "int", "protocol": "string", "length": "int", "is_malicious": "boolean", "confidence": "double",
+        "feature_data": "array<double>", "packet_data": "string",
+    },
+    "alerts": {
+        "id": "string", "detection_id": "bigint", "timestamp": "timestamp", "status": "string",
+        "admin_notes": "string", "reviewed_at": "timestamp",
+    },
+    "alert_decisions": {
+        "alert_id": "string", "status": "string", "admin_notes": "string", "decided_at": "timestamp",
+    },
+    "model_feedback": {
+        "id": "bigint", "timestamp": "timestamp", "feature_data": "array<double>", "label": "int",
+        "alert_id": "string",
+    },
+    "training_history": {
+        "id": "bigint", "timestamp": "timestamp", "model_type": "string", "training_type": "string",
+        "dataset_size": "bigint", "accuracy": "double", "precision": "double", "recall": "double",
+        "f1_score": "double", "false_positive_rate": "double", "training_time": "double",
+    },
+    "dpi_signatures": {
+        "id": "bigint", "name": "string", "pattern": "string", "description": "string", "category": "string",
+        "is_active": "boolean", "created_at": "timestamp", "updated_at": "timestamp",
+    },
 }
 
-# Day-partitioned tables: the partition column is derived from the event time on write.
+# Day-partitioned tables: the partition column ``dt`` is derived from the event time on write.
 DAY_PARTITIONED = ("detections", "alerts", "alert_decisions", "model_feedback")
+
+
+def ddl(columns: dict[str, str]) -> str:
+    return ", ".join(f"`{name}` {kind}" for name, kind in columns.items())

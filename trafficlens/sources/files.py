@@ -28,10 +28,14 @@ def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def read_packet_stream(
-    spark: SparkSession, path: str, files_per_trigger: int | None = None, table_schema: T.StructType = schema.PACKET
+    spark: SparkSession, path: str, files_per_trigger: int | None = None,
+    table_schema: T.StructType | str = schema.ddl(schema.PACKET), names: str = "*.parquet",
 ) -> DataFrame:
-    """Stream of Parquet files. ``files_per_trigger`` limits the rate without dropping packets."""
-    reader = spark.readStream.schema(table_schema)
+    """Stream of the Parquet files of a folder whose name fits ``names``.
+
+    ``files_per_trigger`` limits the rate without dropping packets.
+    """
+    reader = spark.readStream.schema(table_schema).option("pathGlobFilter", names)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
     return reader.parquet(path)

@@ -22,11 +22,10 @@ class Store:
     def create_tables(self, database: str = "default", prefix: str = "") -> None:
         """Register every table in the catalog if it is not there yet."""
         for name, columns in schema.TABLES.items():
-            ddl = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in columns)
             by_day = ", `dt` date" if name in schema.DAY_PARTITIONED else ""
             clause = " PARTITIONED BY (`dt`)" if by_day else ""
             self.spark.sql(
-                f"CREATE TABLE IF NOT EXISTS {database}.{prefix}{name} ({ddl}{by_day}) USING parquet{clause} "
+                f"CREATE TABLE IF NOT EXISTS {database}.{prefix}{name} ({schema.ddl(columns)}{by_day}) USING parquet{clause} "
                 f"LOCATION '{self.location(name)}'"
             )
 
@@ -35,8 +34,8 @@ class Store:
         have = set(rows.columns)
         rows = rows.select(
             *[
-                (F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name)
-                for f in schema.TABLES[name]
+                (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c)
+                for c, kind in schema.TABLES[name].items()
             ]
         )
         if name in schema.DAY_PARTITIONED:
@@ -56,5 +55,5 @@ class Store:
     def read(self, name: str) -> DataFrame:
         columns = schema.TABLES[name]
         if name in schema.DAY_PARTITIONED:
-            columns = schema.T.StructType([*columns.fields, schema.T.StructField("dt", schema.T.DateType())])
-        return self.spark.read.schema(columns).parquet(self.location(name))
+            columns = columns | {"dt": "date"}
+        return self.spark.read.schema(schema.ddl(columns)).parquet(self.location(name))

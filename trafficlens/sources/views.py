@@ -56,9 +56,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 def packets_from_events(events: DataFrame) -> DataFrame:
     """Canonical packets; works on a batch and on a stream of events."""
     derived = events.selectExpr(*[f"{sql} as {name}" for name, sql in PACKET_COLUMNS.items()])
-    types = {f.name: f.dataType for f in schema.PACKET}
     return derived.select(
-        *[(F.col(n) if n in PACKET_COLUMNS else F.lit(None)).cast(t).alias(n) for n, t in types.items()]
+        *[(F.col(n) if n in PACKET_COLUMNS else F.lit(None)).cast(t).alias(n) for n, t in schema.PACKET.items()]
     )
 
 
@@ -68,11 +67,22 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, folder: str) -> DataFrame:
-    """One detection per packet, with a reproducible confidence."""
+    """One detection per packet."""
     from trafficlens.operators.alerts import detections_from
 
+    return detections_from(scored_packets(spark, folder))
+
+
+def scored_packets(spark: SparkSession, folder: str) -> DataFrame:
+    """Packets with a reproducible confidence."""
     confidence = ((F.col("packet_id") * 37) % 100).cast("double") / 100.0
-    return detections_from(packets(spark, folder).withColumn("confidence", confidence))
+    return packets(spark, folder).withColumn("confidence", confidence)
+
+
+def described_alerts(spark: SparkSession, folder: str) -> DataFrame:
+    from trafficlens.operators.alerts import packet_alerts
+
+    return packet_alerts(scored_packets(spark, folder))
 
 
 def alerts(spark: SparkSession, folder: str) -> DataFrame:

@@ -106,7 +106,7 @@ def write_detections(
 
 
 def read_stream_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    columns = schema.T.StructType([*schema.TABLES[name].fields, schema.T.StructField("batch", schema.T.StringType())])
+    columns = schema.ddl(schema.TABLES[name] | {"batch": "string"})
     return spark.read.schema(columns).parquet(f"{path}/{name}").drop("batch")
 
 
