@@ -1,6 +1,7 @@
 """Payload expressions. Everything is computed inside the row, so nothing is exploded or shuffled."""
 
 import re
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -73,12 +74,13 @@ def entropy(counts: Column, size: Column) -> Column:
 
 
 def printable_ratio(text: Column) -> Column:
+    """Share of bytes 32..126."""
     return F.length(F.regexp_replace(text, "[^ -~]", "")) / F.length(text)
 
 
 def byte_frequency(counts: Column, size: Column, top: int = 10) -> Column:
     """Map from hexadecimal byte to its share, for the ``top`` most frequent bytes."""
-    ranked = F.slice(F.array_sort(F.transform(counts, lambda c: F.struct((-c["n"]).alias("k"), c["byte"]))), 1, top)
+    ranked = F.slice(F.sort_array(F.transform(counts, lambda c: F.struct((-c["n"]).alias("k"), c["byte"]))), 1, top)
     return F.map_from_entries(
         F.transform(
             ranked,
@@ -87,20 +89,80 @@ def byte_frequency(counts: Column, size: Column, top: int = 10) -> Column:
     )
 
 
-def content_type(text: Column) -> Column:
-    kind = None
-    for name, (flags, pattern) in dims.CONTENT_PATTERNS.items():
-        test = text.rlike(java_regex(pattern, flags))
-        kind = F.when(test, name) if kind is None else kind.when(test, name)
-    kind = kind.when(printable_ratio(text) > 0.8, "text").otherwise("binary")
-    return F.when(text.isNull(), "unknown").otherwise(kind)
+def _any_of(text: Column, *literals: str) -> Column:
+    return reduce(lambda a, b: a | b, [text.contains(x) for x in literals])
 
 
-def signature_flags(text: Column) -> dict[str, Column]:
-    """One boolean per built-in signature; False without payload."""
+def content_tests(text: Column, lower: Column) -> dict[str, Column]:
+    """The tests of ``dims.CONTENT_PATTERNS``, with substring searches in place of patterns where they suffice.
+
+    ``lower`` is the lower-case text. It spares case-insensitive matching; bytes above 127 are left to ``text``.
+    """
     return {
-        name: F.coalesce(text.rlike(builtin_pattern(name)), F.lit(False)) for name in dims.ATTACK_SIGNATURES
+        "http": _any_of(lower, "get", "post", "put", "delete", "head", "options", "connect", "trace")
+        | (lower.contains("http/") & lower.rlike(r"http/\d\.\d")),
+        "dns": text.contains("\x00\x01\x00\x00\x01"),
+        "ssh": lower.contains("ssh-") & lower.rlike(r"ssh-\d\.\d"),
+        "ftp": lower.contains("230 login successful") | (lower.contains(" ftp") & lower.rlike(r"220 [^\n]* ftp")),
+        "smtp": _any_of(lower, "ehlo", "helo", "mail from", "rcpt to")
+        | (lower.contains(" smtp") & lower.rlike(r"220 [^\n]* smtp")),
+        "ssl": (text.contains("\x16\x03") & text.rlike(r"\x16\x03[\x00-\x03]")) | text.contains("\x16\xfe\xff"),
+        "json": text.rlike(r"\A\s*+\{") & text.rlike(r"\}\s*+\z"),
+        "xml": lower.rlike(r"\A\s*+<(?:\?xml|[a-z0-9])"),
+    }
+
+
+def content_type(text: Column, lower: Column) -> Column:
+    kind = F.when(text.isNull(), "unknown")
+    for name, test in content_tests(text, lower).items():
+        kind = kind.when(test, name)
+    return kind.when(printable_ratio(text) > 0.8, "text").otherwise("binary")
+
+
+_WORD = "a-z0-9_"
+
+
+def _word(*words: str) -> str:
+    return rf"(?<![{_WORD}])(?:{'|'.join(words)})(?![{_WORD}])"
+
+
+def signature_flags(lower: Column) -> dict[str, Column]:
+    """One boolean per built-in signature, False without payload.
+
+    Each is equal to searching the pattern of ``dims.ATTACK_SIGNATURES`` in the payload, but runs in linear
+    time: substring searches come first, and patterns of the form "A, later B" are anchored and atomic, since
+    the first A (and the first B after it) decides. Searching the plain patterns restarts at every ``<``.
+    """
+    verbs = ("select", "update", "insert", "delete", "drop", "alter", "union")
+    nouns = ("from", "table", "where")
+    has = lower.contains
+    tests = {
+        "sql_injection": (
+            _any_of(lower, *verbs) & _any_of(lower, *nouns) & lower.rlike(rf"(?s)\A(?>.*?{_word(*verbs)}).*?{_word(*nouns)}")
+        )
+        | has("%27")
+        | (has("'") & lower.rlike(r"'\s*+(?:--|#|/\*|\z)")),
+        "xss": has("<")
+        & (
+            (has("<script") & has("</script>") & lower.rlike(r"(?s)\A(?>.*?<script)(?>.*?>).*?</script>"))
+            | (has("javascript:") & lower.rlike(r"(?s)\A[^<]*+<(?>.*?javascript:).*>"))
+            | (has("onmouse") & lower.rlike(r"(?s)\A[^<]*+<(?>.*?onmouse).*>"))
+            | (has("on") & has("=") & lower.rlike(rf"(?s)\A[^<]*+<(?>.*?on[{_WORD}]++\s*+=).*>"))
+        ),
+        "command_injection": _any_of(lower, "/bin/", "/etc/", "/usr/", "/tmp/")
+        & lower.rlike(r"(?s)\A(?>.*?(?:[;|`]|\$\(|\$\{)).*?/(?:bin|etc|usr|tmp)/"),
+        "path_traversal": _any_of(lower, "../", "..\\"),
+        "file_inclusion": has("=")
+        & has("../")
+        & lower.rlike(r"(?:\A|\n)(?>[^\n=]*=)(?>[^\n]*?\.\./)[^\n]*?\.(?:php|asp|jsp)"),
+        "denial_of_service": _any_of(lower, "slowloris", "r-u-dead-yet", "torshammer"),
+        "malware_communication": _any_of(lower, "botnet", "backdoor", "trojan", "ransomware"),
+        "sensitive_data": _any_of(
+            lower, "password=", "passwd=", "pwd=", "creditcard=", "credit_card=", "cc=", "ssn=", "socialsecurity=",
+            "social_security=",
+        ),
     }
+    return {name: F.coalesce(test, F.lit(False)) for name, test in tests.items()}
 
 
 def payload_features(text: Column, kind: Column, flags: list[Column], hits: Column, counts: Column) -> Column:

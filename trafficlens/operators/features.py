@@ -35,13 +35,14 @@ def with_payload_parts(df: DataFrame, payload: str = "payload", dpi: bool = True
     """
     text = P.payload_text(F.col(payload), df.schema[payload].dataType) if dpi else F.lit(None).cast("string")
     df = df.withColumn("_text", text)
-    text = F.col("_text")
+    text, lower = F.col("_text"), F.col("_lower")
+    df = df.withColumns(
+        {"_lower": F.lower("_text"), "_size": F.coalesce(F.length(text), F.lit(0)), "_counts": P.byte_counts(text)}
+    )
     return df.withColumns(
         {
-            "_size": F.coalesce(F.length(text), F.lit(0)),
-            "_counts": P.byte_counts(text),
-            "_kind": P.content_type(text),
-            **{f"_sig_{n}": c for n, c in P.signature_flags(text).items()},
+            "_kind": P.content_type(text, lower),
+            **{f"_sig_{n}": c for n, c in P.signature_flags(lower).items()},
         }
     )
 
@@ -95,7 +96,8 @@ FEATURE_NAMES = (
 def feature_table(vectors: DataFrame) -> DataFrame:
     """Long form: one row per packet and feature name."""
     names = F.array(*[F.lit(n) for n in FEATURE_NAMES])
-    return vectors.select("packet_id", F.posexplode("features").alias("position", "value")).select(
+    # The outer form keeps Spark from inferring a filter that would compute every vector a second time.
+    return vectors.select("packet_id", F.posexplode_outer("features").alias("position", "value")).select(
         "packet_id", "position", F.element_at(names, F.col("position") + 1).alias("feature"), "value"
     )
 

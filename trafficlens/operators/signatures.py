@@ -98,22 +98,21 @@ def matches(
     compile once per task and need neither join nor shuffle. Beyond the limit the work is spread by
     :func:`matches_by_replication`.
     """
-    spark = df.sparkSession
     names: dict[str, str] = {}
-    if include_builtin:
-        names = {n: P.builtin_pattern(n) for n in dims.ATTACK_SIGNATURES}
     if signatures is not None:
         rules = signatures.select("name", "pattern").limit(literal_limit + 1).collect()
         if len(rules) > literal_limit:
             found = matches_by_replication(df, signatures, payload, key)
             return found.unionByName(matches(df, None, payload, key)) if include_builtin else found
-        names |= {r["name"]: P.java_regex(r["pattern"]) for r in rules}
+        names = {r["name"]: P.java_regex(r["pattern"]) for r in rules}
     text = P.payload_text(F.col(payload), df.schema[payload].dataType)
-    if not names:
-        return spark.createDataFrame([], f"{key} bigint, signature string")
-    prepared = df.select(key, text.alias("_text")).filter("_text is not null")
-    hits = F.array_compact(F.array(*[F.when(F.col("_text").rlike(p), n) for n, p in names.items()]))
-    return prepared.select(key, F.explode(hits).alias("signature"))
+    prepared = df.select(key, text.alias("_text")).withColumn("_lower", F.lower("_text"))
+    tests = P.signature_flags(F.col("_lower")) if include_builtin else {}
+    # A user signature with the name of a built-in one replaces it.
+    tests |= {n: F.col("_text").rlike(p) for n, p in names.items()}
+    hits = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(t, n) for n, t in tests.items()]))
+    # The outer form keeps Spark from inferring a filter that would run every test a second time.
+    return prepared.select(key, F.explode_outer(hits).alias("signature")).filter("signature is not null")
 
 
 def matches_by_replication(
@@ -134,7 +133,6 @@ def matches_by_replication(
     text = P.payload_text(F.col(payload), df.schema[payload].dataType)
     visits = (
         df.select(key, text.alias("_text"))
-        .filter("_text is not null")
         .withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int"))
         .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
     )

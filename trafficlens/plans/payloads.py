@@ -62,7 +62,7 @@ def _(spark, sf):
     over(f"select k as doc_id, entropy, printable_ratio, payload_size from ({ENTROPY}) e", counts=counts_of("documents", "doc_id", "text")),
 )
 def _(spark, sf):
-    a = FE.payload_analysis(V.table(spark, sf, "documents"), "text", "doc_id").filter("payload_size > 0")
+    a = FE.payload_analysis(V.table(spark, sf, "documents").filter("text <> ''"), "text", "doc_id")
     out = a.select("doc_id", "entropy", "printable_ratio", F.col("payload_size").cast("bigint"))
     return out.withColumns(r6("entropy", "printable_ratio")).withColumn("entropy", F.col("entropy") + 0.0)
 
@@ -74,7 +74,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     a = FE.payload_analysis(V.packets(spark, sf))
-    return a.select("packet_id", F.explode("byte_frequency").alias("byte", "share")).withColumns(r6("share"))
+    rows = a.select("packet_id", F.explode_outer("byte_frequency").alias("byte", "share")).filter("byte is not null")
+    return rows.withColumns(r6("share"))
 
 
 @query("f3_content_type", over(f"select packet_id, {content_sql('payload', '1.0')} as content_type from packets", "packets"))
@@ -84,8 +85,7 @@ def _(spark, sf):
 
 @query("f3_page_content_type", f"select page_id, {content_sql('html', '1.0')} as content_type from pages")
 def _(spark, sf):
-    pages = V.table(spark, sf, "pages")
-    return pages.select("page_id", P.content_type(P.payload_text(F.col("html"))).alias("content_type"))
+    return FE.payload_analysis(V.table(spark, sf, "pages"), "html", "page_id").select("page_id", "content_type")
 
 
 FLAG_SELECT = ", ".join(f"{signature_sql(n)} as {n}" for n in dims.ATTACK_SIGNATURES)
@@ -94,13 +94,13 @@ FLAG_SELECT = ", ".join(f"{signature_sql(n)} as {n}" for n in dims.ATTACK_SIGNAT
 @query("f4_signature_flags", over(f"select packet_id, {FLAG_SELECT} from packets", "packets"))
 def _(spark, sf):
     parts = V.packets(spark, sf).select("packet_id", P.payload_text(F.col("payload")).alias("t"))
-    return parts.select("packet_id", *[c.alias(n) for n, c in P.signature_flags(F.col("t")).items()])
+    return parts.select("packet_id", *[c.alias(n) for n, c in P.signature_flags(F.lower("t")).items()])
 
 
 @query("f4_document_signature_flags", "select doc_id, " + ", ".join(f"{signature_sql(n, 'text')} as {n}" for n in dims.ATTACK_SIGNATURES) + " from documents")
 def _(spark, sf):
     parts = V.table(spark, sf, "documents").select("doc_id", P.payload_text(F.col("text")).alias("t"))
-    return parts.select("doc_id", *[c.alias(n) for n, c in P.signature_flags(F.col("t")).items()])
+    return parts.select("doc_id", *[c.alias(n) for n, c in P.signature_flags(F.lower("t")).items()])
 
 
 PARTS = f"""select packet_id, payload is not null as has, coalesce(entropy, 0) as entropy, coalesce(printable_ratio, 0) as printable_ratio,
