@@ -15,6 +15,8 @@ from trafficlens.sources import files, views as V
 from trafficlens.streaming import jobs
 
 WATERMARK = "(select epoch_us(max(ts)) - 600 * 1000000 from packets)"
+# Spark filters before it advances the watermark, so only the packets that form sessions move it.
+TCP_WATERMARK = "(select epoch_us(max(ts)) - 600 * 1000000 from packets where proto = 'tcp' and sport is not null and dport is not null)"
 
 
 def _packets(spark, sf):
@@ -60,7 +62,7 @@ def _(spark, sf):
     return out.withColumn("start", X.time_text(F.col("start"))).drop("end")
 
 
-@query("t3_stream_sessions", over(f"select * from ({SESSION_SQL.format(gap=300)}) s where last_seen + 300 * 1000000 <= {WATERMARK}", "packets"))
+@query("t3_stream_sessions", over(f"select * from ({SESSION_SQL.format(gap=300)}) s where last_seen + 300 * 1000000 <= {TCP_WATERMARK}", "packets"))
 def _(spark, sf):
     out = _written(spark, jobs.tcp_sessions(_packets(spark, sf)), "sessions")
     return out.withColumns({c: F.unix_micros(c) for c in ("start", "last_seen")})
