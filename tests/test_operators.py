@@ -70,6 +70,13 @@ def test_seeded_rank_is_exact(spark):
             assert [got[i] for i in ids] == [(k + 1, len(ids)) for k in range(len(ids))]
 
 
+def test_samples_by_limit_and_by_rank_agree(spark, rows, monkeypatch):
+    df = spark.range(300)
+    small = rows(RK.seeded_sample(df, "id", 50))
+    monkeypatch.setattr(RK, "SORTED_LIMIT", 10)
+    assert rows(RK.seeded_sample(df, "id", 50)) == small and RK.seeded_sample(df, "id", 1000).count() == 300
+
+
 def test_flow_features_use_exact_durations(spark):
     df = spark.createDataFrame([packet(1, 0, size=1000), packet(2, 1.9, size=900), packet(3, 0, src="9.9.9.9")], PACKET)
     f = {r["packet_id"]: r for r in FE.header_features(df, with_flow=True).collect()}

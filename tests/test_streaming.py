@@ -59,8 +59,8 @@ def test_sessions_equal_batch_up_to_the_watermark(spark, folder, split_packets,
 
 def test_counters_equal_batch(spark, folder, split_packets, tmp_path, rows):
     path = str(tmp_path / "counters")
-    jobs.write_snapshots(jobs.running_counters(split_packets), path, path + "-checkpoint", available_now=True).awaitTermination()
-    assert rows(jobs.read_latest_snapshot(spark, path)) == rows(jobs.running_counters(V.packets(spark, folder)))
+    jobs.write_updates(jobs.running_counters(split_packets), path, path + "-checkpoint", available_now=True).awaitTermination()
+    assert rows(jobs.read_counters(spark, path)) == rows(jobs.running_counters(V.packets(spark, folder)))
 
 
 def test_late_packets(spark, tmp_path):

@@ -80,7 +80,8 @@ def beaconing(packets: DataFrame, min_packets: int = 3) -> DataFrame:
     linked = packets.filter("src is not null and dst is not null")
     pairs = linked.groupBy(*keys).agg(F.count(F.lit(1)).alias("packets"), F.count_if(endpoint).alias("endpoint_hits"))
     suspects = pairs.filter((F.col("endpoint_hits") > 0) & (F.col("packets") >= min_packets))
-    rhythm = sessions.gaps(linked, keys).groupBy(*keys).agg(
+    # Only packets of suspects are ordered; Spark broadcasts the pairs if they turn out to be few.
+    rhythm = sessions.gaps(linked.join(suspects, keys, "left_semi"), keys).groupBy(*keys).agg(
         F.avg("gap_s").alias("mean_gap_s"), F.stddev_pop("gap_s").alias("std_gap_s")
     )
     return suspects.join(rhythm, keys)

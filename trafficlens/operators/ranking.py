@@ -34,8 +34,14 @@ def seeded_rank(df: DataFrame, id_column: str, seed: int, group: str | None = No
     )
 
 
+# A sorted limit ends in one task; larger samples are taken by distributed rank.
+SORTED_LIMIT = 100_000
+
+
 def seeded_sample(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (or all), the same on every run."""
+    if n > SORTED_LIMIT:
+        return seeded_rank(df, id_column, seed).filter(F.col("rank") <= n).drop("rank", "group_size")
     key = seeded_key(id_column, seed)
     return df.withColumn("_key", key).orderBy("_key", id_column).limit(n).drop("_key")
 

@@ -74,8 +74,8 @@ def _(spark, sf):
 )
 def _(spark, sf):
     path = new_folder(spark, "counters")
-    _finish(jobs.write_snapshots(jobs.running_counters(_packets(spark, sf)), f"{path}/out", f"{path}/checkpoint", available_now=True))
-    return jobs.read_latest_snapshot(spark, f"{path}/out")
+    _finish(jobs.write_updates(jobs.running_counters(_packets(spark, sf)), f"{path}/out", f"{path}/checkpoint", available_now=True))
+    return jobs.read_counters(spark, f"{path}/out")
 
 
 @query("t7_stream_signature_hits", over(f"select packet_id, signature from ({BUILTIN_HITS}) q", "packets"))

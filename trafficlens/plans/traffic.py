@@ -174,7 +174,7 @@ def _(spark, sf):
 @query(
     "a14_weighted_edges",
     over("""select src, dst, count(*) as weight, bool_or(is_malicious) as is_malicious, max(proto) filter (rn = 1) as protocol
- from (select *, row_number() over (partition by src, dst order by ts, packet_id) as rn from packets) q group by 1, 2""", "packets"),
+ from (select *, row_number() over (partition by src, dst order by ts, proto) as rn from packets) q group by 1, 2""", "packets"),
 )
 def _(spark, sf):
     return G.weighted_edges(V.packets(spark, sf))

@@ -39,7 +39,8 @@ class Store:
             ]
         )
         if name in schema.DAY_PARTITIONED:
-            rows = rows.withColumn("dt", F.to_date(_event_time(name)))
+            # Rebalancing by day avoids one file per task and day, and splits a day that is too large.
+            rows = rows.withColumn("dt", F.to_date(_event_time(name))).hint("rebalance", "dt")
             rows.write.mode("append").partitionBy("dt").parquet(self.location(name))
         else:
             rows.write.mode("append").parquet(self.location(name))

@@ -66,21 +66,30 @@ def write_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
     return writer.trigger(**trigger).start()
 
 
-def write_snapshots(df: DataFrame, path: str, checkpoint: str, available_now: bool = False, every: str = "3 seconds") -> StreamingQuery:
-    """Write the complete result of every batch as a new version; repeating a batch rewrites its version."""
+def write_updates(df: DataFrame, path: str, checkpoint: str, available_now: bool = False, every: str = "3 seconds") -> StreamingQuery:
+    """Write only the rows that changed in a batch, as a version; repeating a batch rewrites its version."""
 
     def save(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/version={batch_id:012d}")
 
     trigger = {"availableNow": True} if available_now else {"processingTime": every}
-    writer = df.writeStream.outputMode("complete").option("checkpointLocation", checkpoint)
+    writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
     return writer.foreachBatch(save).trigger(**trigger).start()
 
 
-def read_latest_snapshot(spark: SparkSession, path: str) -> DataFrame:
-    versions = spark.read.parquet(path)
-    newest = versions.agg(F.max("version")).head()[0]
-    return versions.filter(F.col("version") == newest).drop("version")
+def read_updates(spark: SparkSession, path: str, keys: list[str], columns: str) -> DataFrame:
+    """Newest version of every key; ``columns`` is the schema of the written rows."""
+    versions = spark.read.schema(f"{columns}, version string").parquet(path)
+    rest = [c for c in versions.columns if c not in (*keys, "version")]
+    newest = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_v"))
+    return newest.select(*keys, "_v.*")
+
+
+COUNTERS = "dimension string, value string, packets bigint"
+
+
+def read_counters(spark: SparkSession, path: str) -> DataFrame:
+    return read_updates(spark, path, ["dimension", "value"], COUNTERS)
 
 
 def write_detections(
