@@ -53,18 +53,30 @@ def payload_text(payload: Column, data_type: T.DataType | None = None) -> Column
     return byte_text(F.when(F.octet_length(data) > 0, data))
 
 
-def byte_counts(text: Column) -> Column:
-    """Array of (byte, n) for the distinct bytes of a byte text."""
-    return F.transform(
-        F.array_distinct(F.split(text, "")),
-        lambda c: F.struct(
-            F.ascii(c).alias("byte"),
-            # Bytes above 127 take two octets in the text, hence the division.
-            ((F.octet_length(text) - F.octet_length(F.replace(text, c, F.lit("")))) / F.octet_length(c))
-            .cast("long")
-            .alias("n"),
-        ),
-    )
+def distinct_bytes(text: Column) -> Column:
+    """Distinct characters of a byte text, in order of first occurrence."""
+    return F.array_distinct(F.split(text, ""))
+
+
+def octets_left(text: Column, chars: Column) -> Column:
+    """Octets left before each character is removed in turn. The text shrinks, so later steps get cheap."""
+    start = F.struct(text.alias("rest"), F.array().cast("array<int>").alias("left"))
+
+    def remove(acc: Column, c: Column) -> Column:
+        rest = F.replace(acc["rest"], c, F.lit("")).alias("rest")
+        return F.struct(rest, F.array_append(acc["left"], F.octet_length(acc["rest"])).alias("left"))
+
+    return F.aggregate(chars, start, remove, lambda acc: acc["left"])
+
+
+def byte_counts(chars: Column, left: Column) -> Column:
+    """Array of (byte, n). Bytes above 127 take two octets in the text, hence the division."""
+
+    def counted(c: Column, i: Column) -> Column:
+        removed = F.get(left, i) - F.coalesce(F.get(left, i + 1), F.lit(0))
+        return F.struct(F.ascii(c).alias("byte"), (removed / F.octet_length(c)).cast("long").alias("n"))
+
+    return F.transform(chars, counted)
 
 
 def entropy(counts: Column, size: Column) -> Column:

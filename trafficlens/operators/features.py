@@ -37,10 +37,12 @@ def with_payload_parts(df: DataFrame, payload: str = "payload", dpi: bool = True
     df = df.withColumn("_text", text)
     text, lower = F.col("_text"), F.col("_lower")
     df = df.withColumns(
-        {"_lower": F.lower("_text"), "_size": F.coalesce(F.length(text), F.lit(0)), "_counts": P.byte_counts(text)}
+        {"_lower": F.lower("_text"), "_size": F.coalesce(F.length(text), F.lit(0)), "_chars": P.distinct_bytes(text)}
     )
+    df = df.withColumn("_left", P.octets_left(text, F.col("_chars")))
     return df.withColumns(
         {
+            "_counts": P.byte_counts(F.col("_chars"), F.col("_left")),
             "_kind": P.content_type(text, lower),
             **{f"_sig_{n}": c for n, c in P.signature_flags(lower).items()},
         }

@@ -213,7 +213,7 @@ def _(spark, sf):
 
 
 def _training_rows(spark, sf):
-    packets = V.packets(spark, sf).withColumn("label", F.col("is_malicious").cast("int"))
+    packets = V.spread(V.packets(spark, sf)).withColumn("label", F.col("is_malicious").cast("int"))
     return FE.feature_vectors(packets, keep=("label",))
 
 
@@ -267,7 +267,7 @@ def _(spark, sf):
 
 @query("m17_multiclass")
 def _(spark, sf):
-    rows = FE.feature_vectors(V.packets(spark, sf).withColumn("service", F.coalesce(F.col("proto"), F.lit("other"))), keep=("service",))
+    rows = FE.feature_vectors(V.spread(V.packets(spark, sf)).withColumn("service", F.coalesce(F.col("proto"), F.lit("other"))), keep=("service",))
     coded = P.label_encode(rows, "service", "label")
     model = MD.train(coded, classes=3)
     return M.multiclass_confusion(MD.classify(coded, model))

@@ -52,7 +52,7 @@ def _(spark, sf):
     over(f"select packet_id, coalesce(entropy, 0) as entropy, coalesce(printable_ratio, 0) as printable_ratio, coalesce(payload_size, 0) as payload_size from packets left join ({ENTROPY}) e on e.k = packet_id", "packets", counts=PACKET_COUNTS),
 )
 def _(spark, sf):
-    a = FE.payload_analysis(V.packets(spark, sf)).select("packet_id", "entropy", "printable_ratio", F.col("payload_size").cast("bigint"))
+    a = FE.payload_analysis(V.spread(V.packets(spark, sf))).select("packet_id", "entropy", "printable_ratio", F.col("payload_size").cast("bigint"))
     # A constant payload has entropy 0, never -0.
     return a.withColumns(r6("entropy", "printable_ratio")).withColumn("entropy", F.col("entropy") + 0.0)
 
@@ -62,7 +62,7 @@ def _(spark, sf):
     over(f"select k as doc_id, entropy, printable_ratio, payload_size from ({ENTROPY}) e", counts=counts_of("documents", "doc_id", "text")),
 )
 def _(spark, sf):
-    a = FE.payload_analysis(V.table(spark, sf, "documents").filter("text <> ''"), "text", "doc_id")
+    a = FE.payload_analysis(V.spread(V.table(spark, sf, "documents")).filter("text <> ''"), "text", "doc_id")
     out = a.select("doc_id", "entropy", "printable_ratio", F.col("payload_size").cast("bigint"))
     return out.withColumns(r6("entropy", "printable_ratio")).withColumn("entropy", F.col("entropy") + 0.0)
 
@@ -73,19 +73,19 @@ def _(spark, sf):
  (select *, sum(n) over (partition by k) as total, row_number() over (partition by k order by n desc, b) as rn from counts) q where rn <= 10""", "packets", counts=PACKET_COUNTS),
 )
 def _(spark, sf):
-    a = FE.payload_analysis(V.packets(spark, sf))
+    a = FE.payload_analysis(V.spread(V.packets(spark, sf)))
     rows = a.select("packet_id", F.explode_outer("byte_frequency").alias("byte", "share")).filter("byte is not null")
     return rows.withColumns(r6("share"))
 
 
 @query("f3_content_type", over(f"select packet_id, {content_sql('payload', '1.0')} as content_type from packets", "packets"))
 def _(spark, sf):
-    return FE.payload_analysis(V.packets(spark, sf)).select("packet_id", "content_type")
+    return FE.payload_analysis(V.spread(V.packets(spark, sf))).select("packet_id", "content_type")
 
 
 @query("f3_page_content_type", f"select page_id, {content_sql('html', '1.0')} as content_type from pages")
 def _(spark, sf):
-    return FE.payload_analysis(V.table(spark, sf, "pages"), "html", "page_id").select("page_id", "content_type")
+    return FE.payload_analysis(V.spread(V.table(spark, sf, "pages")), "html", "page_id").select("page_id", "content_type")
 
 
 FLAG_SELECT = ", ".join(f"{signature_sql(n)} as {n}" for n in dims.ATTACK_SIGNATURES)
@@ -93,13 +93,13 @@ FLAG_SELECT = ", ".join(f"{signature_sql(n)} as {n}" for n in dims.ATTACK_SIGNAT
 
 @query("f4_signature_flags", over(f"select packet_id, {FLAG_SELECT} from packets", "packets"))
 def _(spark, sf):
-    parts = V.packets(spark, sf).select("packet_id", P.payload_text(F.col("payload")).alias("t"))
+    parts = V.spread(V.packets(spark, sf)).select("packet_id", P.payload_text(F.col("payload")).alias("t"))
     return parts.select("packet_id", *[c.alias(n) for n, c in P.signature_flags(F.lower("t")).items()])
 
 
 @query("f4_document_signature_flags", "select doc_id, " + ", ".join(f"{signature_sql(n, 'text')} as {n}" for n in dims.ATTACK_SIGNATURES) + " from documents")
 def _(spark, sf):
-    parts = V.table(spark, sf, "documents").select("doc_id", P.payload_text(F.col("text")).alias("t"))
+    parts = V.spread(V.table(spark, sf, "documents")).select("doc_id", P.payload_text(F.col("text")).alias("t"))
     return parts.select("doc_id", *[c.alias(n) for n, c in P.signature_flags(F.lower("t")).items()])
 
 
@@ -114,7 +114,7 @@ PAYLOAD_VALUES = ", ".join(
 
 @query("f5_payload_features", over(f"select packet_id, {PAYLOAD_VALUES} from parts", "packets", counts=PACKET_COUNTS, parts=PARTS))
 def _(spark, sf):
-    v = FE.feature_vectors(V.packets(spark, sf))
+    v = FE.feature_vectors(V.spread(V.packets(spark, sf)))
     names = list(enumerate(FE.FEATURE_NAMES))[15:]
     return v.select("packet_id", *[(F.round(F.col("features")[i], 6) + 0.0).alias(n) for i, n in names])
 
@@ -135,7 +135,7 @@ VECTOR_TABLES = {
 
 @query("f6_feature_vector", over("select packet_id, len(v) as width, " + ", ".join(f"v[{i + 1}] as f{i}" for i in range(35)) + " from vectors", "packets", **VECTOR_TABLES))
 def _(spark, sf):
-    v = FE.feature_vectors(V.packets(spark, sf))
+    v = FE.feature_vectors(V.spread(V.packets(spark, sf)))
     return v.select("packet_id", F.size("features").alias("width"), *[(F.round(F.col("features")[i], 6) + 0.0).alias(f"f{i}") for i in range(35)])
 
 
@@ -144,13 +144,13 @@ def _(spark, sf):
     over("select packet_id, p as position, [" + ", ".join(f"'{n}'" for n in FE.FEATURE_NAMES) + "][p + 1] as feature, v[p + 1] as value from vectors, range(35) r(p)", "packets", **VECTOR_TABLES),
 )
 def _(spark, sf):
-    t = FE.feature_table(FE.feature_vectors(V.packets(spark, sf)))
+    t = FE.feature_table(FE.feature_vectors(V.spread(V.packets(spark, sf))))
     return t.withColumn("value", F.round("value", 6) + 0.0)
 
 
 @query("x3_inspection_off", over("select packet_id, 0.0e0 as payload_total, 35 as width from packets", "packets"))
 def _(spark, sf):
-    v = FE.feature_vectors(V.packets(spark, sf), dpi=False)
+    v = FE.feature_vectors(V.spread(V.packets(spark, sf)), dpi=False)
     total = F.aggregate(F.slice("features", 16, 20), F.lit(0.0), lambda a, x: a + F.abs(x))
     return v.select("packet_id", total.alias("payload_total"), F.size("features").alias("width"))
 
@@ -169,7 +169,7 @@ SIG_NAMES = ", ".join(f"case when {n} then '{n}' end" for n in dims.ATTACK_SIGNA
  left join {service_values('analysis')} d(port, service) on d.port = dport""", "packets", counts=PACKET_COUNTS, parts=PARTS),
 )
 def _(spark, sf):
-    a = FE.analyze_packets(V.packets(spark, sf))
+    a = FE.analyze_packets(V.spread(V.packets(spark, sf)))
     return a.select(
         "packet_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "src_service", "dst_service",
         F.array_join("tcp_flags", ",").alias("tcp_flags"), "payload.content_type",
@@ -191,12 +191,12 @@ def _user_signatures(spark, sf):
 
 @query("j5_signature_hits", over(f"select packet_id, signature from ({BUILTIN_HITS} union all {USER_HITS}) q", "packets", "merged_signatures"))
 def _(spark, sf):
-    return SG.matches(V.packets(spark, sf), _user_signatures(spark, sf))
+    return SG.matches(V.spread(V.packets(spark, sf)), _user_signatures(spark, sf))
 
 
 @query("j5_signature_hits_replicated", over(f"select packet_id, signature from ({USER_HITS}) q", "packets", "merged_signatures"))
 def _(spark, sf):
-    return SG.matches_by_replication(V.packets(spark, sf), _user_signatures(spark, sf), per_chunk=16, salts=8)
+    return SG.matches_by_replication(V.spread(V.packets(spark, sf)), _user_signatures(spark, sf), per_chunk=16, salts=8)
 
 
 @query(
@@ -204,7 +204,7 @@ def _(spark, sf):
     over(f"select signature, {time_text('h')} as \"hour\", n as packets from (select signature, date_trunc('hour', ts) as h, count(*) as n from ({BUILTIN_HITS}) q group by 1, 2) r", "packets"),
 )
 def _(spark, sf):
-    p = V.packets(spark, sf)
+    p = V.spread(V.packets(spark, sf))
     # The time travels with the hit, so no join back is needed.
     hits = SG.matches(p.withColumn("packet_key", F.struct("packet_id", F.date_trunc("hour", "ts").alias("hour"))), key="packet_key")
     counted = hits.groupBy("signature", "packet_key.hour").agg(F.count(F.lit(1)).alias("packets"))
@@ -213,10 +213,10 @@ def _(spark, sf):
 
 @query("j5_page_signature_hits", " union all ".join(f"select page_id, '{n}' as signature from pages where {signature_sql(n, 'html')}" for n in dims.ATTACK_SIGNATURES))
 def _(spark, sf):
-    return SG.matches(V.table(spark, sf, "pages"), payload="html", key="page_id")
+    return SG.matches(V.spread(V.table(spark, sf, "pages")), payload="html", key="page_id")
 
 
 @query("x2_feature_registry", over("select packet_id, list_sum(v[1:15]) > 0 as any_header_value from vectors", "packets", **VECTOR_TABLES))
 def _(spark, sf):
     values = [F.round(build().cast("double"), 6) for build in H.HEADER_FEATURES.values()]
-    return V.packets(spark, sf).select("packet_id", (sum(values, F.lit(0.0)) > 0).alias("any_header_value"))
+    return V.spread(V.packets(spark, sf)).select("packet_id", (sum(values, F.lit(0.0)) > 0).alias("any_header_value"))

@@ -53,6 +53,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """Use all cores for row-wise heavy work on a scan of few splits; a scan of many splits stays as it is."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def packets_from_events(events: DataFrame) -> DataFrame:
     """Canonical packets; works on a batch and on a stream of events."""
     derived = events.selectExpr(*[f"{sql} as {name}" for name, sql in PACKET_COLUMNS.items()])
