@@ -31,6 +31,28 @@ def test_public_and_edge_cases(spark):
         assert want == got, ip
 
 
+def test_ipv6_agrees_with_the_standard_library(spark):
+    rng = random.Random(9)
+    numbers = {rng.randrange(2**128) for _ in range(500)} | {0, 1, 2, 2**128 - 1}
+    numbers |= {(0xFFFF << 32) | rng.randrange(2**32) for _ in range(200)} | {(0xFFFF << 32) | 0x08080808}
+    for n in map(ipaddress.ip_network, dims.PRIVATE_NETWORKS_V6 + dims.GLOBAL_NETWORKS_V6):
+        lo, hi = int(n.network_address), int(n.broadcast_address)
+        numbers |= {x for x in (lo - 1, lo, lo + 1, hi - 1, hi, hi + 1) if 0 <= x < 2**128}
+    texts = set()
+    for n in numbers:
+        a = ipaddress.IPv6Address(n)
+        texts |= {a.compressed, a.exploded, a.compressed.upper()}
+    texts |= {"1:2:3:4:5:6:7::", "::2:3:4:5:6:7:8", "::ffff:8.8.8.8", "::ffff:10.0.0.1", "2606:4700::1111"}
+    bad = {"1:2:3:4:5:6:7:8::", ":::", "1::2::3", "12345::", ":1:2", "1:2:3", "g::1", "1:2:3:4:5:6:7:8:9", "::ffff:1.2.3.256", ":", "1:2:3:4::5:6:7:8"}
+    df = spark.createDataFrame([(t,) for t in sorted(texts | bad)], "ip string")
+    for ip, private, public in df.select("ip", A.is_private(F.col("ip")), A.is_public(F.col("ip"))).collect():
+        if ip in bad:
+            assert (private, public) == (False, False), ip
+        else:
+            want = ipaddress.ip_address(ip).is_private
+            assert (private, public) == (want, not want), ip
+
+
 def test_zones_and_direction(spark):
     df = spark.createDataFrame([("192.168.1.5", "1.192.168.5"), ("10.1.1.1", "172.16.0.1"), (None, "8.8.8.8")], "a string, b string")
     out = df.select(A.host_zone(F.col("a")), A.host_zone(F.col("b")), A.direction(F.col("a"), F.col("b"))).collect()

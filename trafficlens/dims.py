@@ -36,6 +36,13 @@ PRIVATE_NETWORKS = (
     "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "240.0.0.0/4",
 )
 GLOBAL_EXCEPTIONS = ("192.0.0.9", "192.0.0.10")
+PRIVATE_NETWORKS_V6 = (
+    "::/128", "::1/128", "64:ff9b:1::/48", "100::/64", "2001::/23", "2001:db8::/32", "2002::/16",
+    "fc00::/7", "fe80::/10",
+)
+GLOBAL_NETWORKS_V6 = (
+    "2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28",
+)
 
 INTERNAL_PREFIXES = ("192.168.", "10.", "172.16.")
 
