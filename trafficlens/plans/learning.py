@@ -98,7 +98,7 @@ def _(spark, sf):
     return P.one_hot(V.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus"), "o_orderstatus", ["F", "X"])
 
 
-@query("m6_label_encoding", "select o_orderkey, dense_rank() over (order by o_orderpriority) - 1 as code from orders")
+@query("m6_label_encoding", "select o_orderkey, cast(dense_rank() over (order by o_orderpriority) - 1 as integer) as code from orders")
 def _(spark, sf):
     return P.label_encode(V.table(spark, sf, "orders"), "o_orderpriority", "code").select("o_orderkey", "code")
 
@@ -112,7 +112,7 @@ def _(spark, sf):
     return P.stratified_split(rows, "o_orderkey", "o_orderstatus")
 
 
-@query("m8_stratified_folds", f"select o_orderkey, o_orderstatus, (r - 1) % 5 as fold from ({RANKED}) q")
+@query("m8_stratified_folds", f"select o_orderkey, o_orderstatus, cast((r - 1) % 5 as integer) as fold from ({RANKED}) q")
 def _(spark, sf):
     rows = V.table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
     return P.stratified_folds(rows, "o_orderkey", "o_orderstatus")

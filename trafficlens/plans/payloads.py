@@ -42,7 +42,7 @@ def content_sql(column: str, printable: str) -> str:
 PACKET_COUNTS = counts_of("packets", "packet_id", "payload")
 
 
-@query("f2_payload_size", "select doc_id, strlen(text) as payload_size from documents")
+@query("f2_payload_size", "select doc_id, cast(strlen(text) as integer) as payload_size from documents")
 def _(spark, sf):
     return V.table(spark, sf, "documents").select("doc_id", F.octet_length(P.payload_bytes(F.col("text"))).alias("payload_size"))
 
@@ -133,7 +133,7 @@ VECTOR_TABLES = {
 }
 
 
-@query("f6_feature_vector", over("select packet_id, len(v) as width, " + ", ".join(f"v[{i + 1}] as f{i}" for i in range(35)) + " from vectors", "packets", **VECTOR_TABLES))
+@query("f6_feature_vector", over("select packet_id, cast(len(v) as integer) as width, " + ", ".join(f"v[{i + 1}] as f{i}" for i in range(35)) + " from vectors", "packets", **VECTOR_TABLES))
 def _(spark, sf):
     v = FE.feature_vectors(V.spread(V.packets(spark, sf)))
     return v.select("packet_id", F.size("features").alias("width"), *[(F.round(F.col("features")[i], 6) + 0.0).alias(f"f{i}") for i in range(35)])
@@ -141,7 +141,7 @@ def _(spark, sf):
 
 @query(
     "f27_feature_table",
-    over("select packet_id, p as position, [" + ", ".join(f"'{n}'" for n in FE.FEATURE_NAMES) + "][p + 1] as feature, v[p + 1] as value from vectors, range(35) r(p)", "packets", **VECTOR_TABLES),
+    over("select packet_id, cast(p as integer) as position, [" + ", ".join(f"'{n}'" for n in FE.FEATURE_NAMES) + "][p + 1] as feature, v[p + 1] as value from vectors, range(35) r(p)", "packets", **VECTOR_TABLES),
 )
 def _(spark, sf):
     t = FE.feature_table(FE.feature_vectors(V.spread(V.packets(spark, sf))))
