@@ -82,8 +82,13 @@ def _ipv6_digits(ip: Column) -> Column:
 
 
 def _private_ipv6(ip: Column) -> Column:
-    """True, False, or NULL for malformed text."""
-    return _ipv6_digits(ip).rlike(_private_digits_pattern())
+    """True, False, or NULL for malformed text.
+
+    The lambda keeps this long and rarely needed expression out of the code generated for every address,
+    which would otherwise grow beyond what the JVM compiles.
+    """
+    found = F.transform(F.array(ip), lambda x: _ipv6_digits(x).rlike(_private_digits_pattern()))
+    return F.get(found, F.lit(0))
 
 
 def is_private(ip: Column) -> Column:
