@@ -70,19 +70,25 @@ def octets_left(text: Column, chars: Column) -> Column:
 
 
 def byte_counts(chars: Column, left: Column) -> Column:
-    """Array of (byte, n). Bytes above 127 take two octets in the text, hence the division."""
+    """One number per distinct byte, ``n * 256 + 255 - byte``: sorted downwards, frequent and small bytes come first."""
 
     def counted(c: Column, i: Column) -> Column:
         removed = F.get(left, i) - F.coalesce(F.get(left, i + 1), F.lit(0))
-        return F.struct(F.ascii(c).alias("byte"), (removed / F.octet_length(c)).cast("long").alias("n"))
+        # Bytes above 127 take two octets in the text.
+        n = F.call_function("div", removed, F.octet_length(c))
+        return n * 256 + (255 - F.ascii(c))
 
     return F.transform(chars, counted)
 
 
 def entropy(counts: Column, size: Column) -> Column:
     """Shannon entropy in bits per byte from byte counts."""
-    weighted = F.aggregate(counts, F.lit(0.0), lambda acc, c: acc + c["n"] * F.log2(c["n"]))
-    return F.log2(size) - weighted / size
+
+    def add(acc: Column, count: Column) -> Column:
+        n = F.shiftright(count, 8)
+        return acc + n * F.log2(n)
+
+    return F.log2(size) - F.aggregate(counts, F.lit(0.0), add) / size
 
 
 def printable_ratio(text: Column) -> Column:
@@ -92,13 +98,13 @@ def printable_ratio(text: Column) -> Column:
 
 def byte_frequency(counts: Column, size: Column, top: int = 10) -> Column:
     """Map from hexadecimal byte to its share, for the ``top`` most frequent bytes."""
-    ranked = F.slice(F.sort_array(F.transform(counts, lambda c: F.struct((-c["n"]).alias("k"), c["byte"]))), 1, top)
-    return F.map_from_entries(
-        F.transform(
-            ranked,
-            lambda r: F.struct(F.concat(F.lit("0x"), F.lower(F.hex(r["byte"]))), -r["k"] / size),
-        )
-    )
+    ranked = F.slice(F.sort_array(counts, asc=False), 1, top)
+
+    def entry(count: Column) -> Column:
+        byte = 255 - count.bitwiseAND(255)
+        return F.struct(F.concat(F.lit("0x"), F.lower(F.hex(byte))), F.shiftright(count, 8) / size)
+
+    return F.map_from_entries(F.transform(ranked, entry))
 
 
 def _any_of(text: Column, *literals: str) -> Column:
