@@ -29,10 +29,6 @@ def java_regex_column(pattern: Column) -> Column:
     return F.concat(F.lit("(?is)"), F.regexp_replace(pattern, _ESCAPED + "b", "$1" + edge))
 
 
-def builtin_pattern(name: str) -> str:
-    return java_regex(dims.ATTACK_SIGNATURES[name], "is" if name in dims.MULTILINE_SIGNATURES else "i")
-
-
 def payload_bytes(payload: Column, data_type: T.DataType | None = None) -> Column:
     """Bytes of a text, binary or structured payload (structures are written as JSON first)."""
     if isinstance(data_type, T.BinaryType):
