@@ -59,3 +59,12 @@ def _(spark, sf):
     store = Store(spark, new_folder(spark, "store"))
     store.append_training(V.training_history(spark, sf).drop("recall"))
     return store.read("training_history").select("id", "dataset_size", F.round("accuracy", 6).alias("accuracy"), "recall")
+
+
+@query("s9_create_tables", over("select id, dataset_size, training_type from training_history", "training_history"))
+def _(spark, sf):
+    path = new_folder(spark, "store")
+    store, prefix = Store(spark, path), "t" + path.rsplit("-", 1)[1] + "_"
+    store.create_tables(prefix=prefix)
+    store.append_training(V.training_history(spark, sf))
+    return spark.table(f"{prefix}training_history").select("id", "dataset_size", "training_type")
