@@ -1,6 +1,5 @@
 """Session settings and the shared working folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -25,13 +24,16 @@ def build_session(app: str, master: str = "local[8]", shuffle_partitions: int =
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can reach. Only a purely local session may fall back to a temporary one."""
+    """Folder every executor can reach: ``spark.checkpoint.dir``, else a folder below the warehouse, which Spark shares too.
+
+    A cluster must name the former; only a purely local session falls back to the latter.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
-        return folder
+        return folder.rstrip("/")
     if not spark.conf.get("spark.master", "").startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-    return tempfile.mkdtemp(prefix="trafficlens-")
+    return spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_working"
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
