@@ -34,3 +34,10 @@ def words(text: Column) -> Column:
 
 def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
+
+
+def filesystem(uri: str):
+    """Arrow's file system for a folder of the shared storage, and the path in it."""
+    from pyarrow import fs
+
+    return fs.FileSystem.from_uri("file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri)

@@ -5,12 +5,83 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import mixing, quality_rules
+from trafficlens.llm import decontamination, language_model, mixing, quality_model, quality_rules, repeated_spans, secrets, simhash, tokens, url_filters
 from trafficlens.llm.common import table
 
 WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
 
+def quality_labels(spark: SparkSession, sf: str) -> DataFrame:
+    """(id, label) of the rows that may teach."""
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label"))
+    return labels.filter(F.crc32(F.col("id").cast("string")) % 4 != 2)
+
+
+def op1_quality_classifier(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    model = quality_model.fit(docs.select(F.col("doc_id").alias("id"), "text"), quality_labels(spark, sf))
+    held_out = F.coalesce(F.crc32(F.col("doc.doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return quality_model.scored(docs, model).select(
+        "doc.doc_id", held_out.alias("held_out"), "score", (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
+def op2_decontamination(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select(F.struct(F.monotonically_increasing_id().alias("n"), "doc_id").alias("row"), "text")
+    found = decontamination.overlaps(docs, table(spark, sf, "benchmark").select("item_id", "text"))
+    return found.select(
+        "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+BENCH_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[0-9a-z\x{80}-\x{10FFFF}]+')"
+OP2 = f"""with docs as (select row_number() over () as r, doc_id, {BENCH_WORDS} as w from documents),
+items as (select item_id, {BENCH_WORDS} as w from benchmark),
+cut as (select distinct coalesce(cast(item_id as varchar), '') as item, array_to_string(w[i : i + 9], ' ') as g, least(len(w), 10) as n from (select item_id, w, unnest(range(1, greatest(len(w) - 9, 1) + 1)) as i from items where len(w) > 0) a),
+spots as (select r, i, n, array_to_string(w[i : i + n - 1], ' ') as g from (select r, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, (select distinct n from cut) l where len(w) >= n) b),
+found as (select r, i, spots.n, item from spots join cut using (g, n)),
+covered as (select r, count(distinct p) as n_hit from (select r, unnest(range(i, i + n)) as p from found) c group by r),
+named as (select r, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as ids from found group by r)
+select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from docs left join covered using (r) left join named using (r)"""
+
+
+def op3_url_filters(spark: SparkSession, sf: str) -> DataFrame:
+    bad = (F.col("quality") == 0) | (F.col("toxic") == 1)
+    labels = table(spark, sf, "labels").select(F.col("doc_id").alias("id"), F.when(bad, "block").otherwise("allow").alias("label"))
+    judged = url_filters.judge(table(spark, sf, "pages").select("page_id", "url"), labels)
+    return judged.select("page.page_id", "host", "path", "rule", "verdict")
+
+
+def op4_simhash_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def op5_token_files(spark: SparkSession, sf: str) -> DataFrame:
+    return tokens.encode_documents(table(spark, sf, "documents").select("doc_id", "text"), tokens.default_tokenizer())
+
+
+def op6_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    return language_model.score(docs, F.crc32(F.col("doc_id").cast("string")) % 10 == 0)
+
+
+def op7_repeated_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return repeated_spans.spans(table(spark, sf, "documents").select("doc_id", "text")).drop("removed")
+
+
+def op8_secret_scan(spark: SparkSession, sf: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf, "documents").select("doc_id", "text"))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("spans", lambda s: s["kind"].isin("assign", "access", "hex"))
+    return found.select(
+        "doc_id", count("assign"), count("access"), count("hex"),
+        F.sha2(secrets.spans_text(base), 256).alias("base_sha256"), secrets.spans_text(F.col("spans")).alias("spans"),
+    )
+
+
 def op9_mixing_sources(spark: SparkSession, sf: str) -> DataFrame:
     mix = mixing.mix(table(spark, sf, "documents").select("doc_id", "text", "source"))
     return mix.select("doc.doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).cast("long").alias("taken"))
@@ -51,7 +122,15 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
  and 5 * n_ex <= n_words and 50 * n_stop >= n_words and 2 * n_dup_lines <= greatest(n_lines, 1) as kept from counted"""
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_decontamination": op2_decontamination,
+    "op3_url_filters": op3_url_filters,
+    "op4_simhash_near_dedup": op4_simhash_near_dedup,
+    "op5_token_files": op5_token_files,
+    "op6_lm_scoring": op6_lm_scoring,
+    "op7_repeated_spans": op7_repeated_spans,
+    "op8_secret_scan": op8_secret_scan,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_quality_rules": op10_quality_rules,
 }
-ORACLES: dict[str, str] = {"op9_mixing_sources": OP9, "op10_quality_rules": OP10}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op9_mixing_sources": OP9, "op10_quality_rules": OP10}
