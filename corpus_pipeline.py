@@ -1,15 +1,54 @@
-"""A pipeline from documents to token files; each stage calls one operator of ``trafficlens.llm``."""
+"""From documents to token files in five stages; each calls one operator of ``trafficlens.llm`` on all its predecessor kept."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from trafficlens.llm import decontamination, mixing, quality_model, simhash, tokens
 from trafficlens.llm.common import table, written
+from trafficlens.llm.queries import quality_labels
 
-STAGES: list = []
+
+def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier accepts."""
+    model = quality_model.fit(docs.select(F.col("doc_id").alias("id"), "text"), quality_labels(spark, sf_dir))
+    return quality_model.accepted(docs, model)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates."""
+    return simhash.deduplicated(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that share no window with the benchmark."""
+    return decontamination.decontaminated(docs, table(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixing.mixed(docs)
+
+
+def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token files of the mix, read back: id, start, number and checksum of the ids of every document."""
+    return tokens.encode_documents(docs.select("doc_id", "text"), tokens.default_tokenizer())
+
+
+STAGES = [
+    ("quality", accept_quality),
+    ("near_duplicates", drop_near_duplicates),
+    ("benchmark", drop_contaminated),
+    ("mix", mix_sources),
+    ("tokens", write_tokens),
+]
+
+# Learnt scores, fingerprints and the tokenizer are beyond SQL; tests/llm holds every stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; every stage's rows are written to the shared folder and read again by the next."""
     docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
+    for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return docs
+    return STAGES[-1][1](spark, docs, sf_dir)

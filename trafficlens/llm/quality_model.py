@@ -118,13 +118,13 @@ def gradients(w: dict, x: np.ndarray, counts: np.ndarray, wrong: np.ndarray) ->
     }
 
 
-def train(vectors: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, prior: float, epochs: int = 30, batch: int = 64, rate: float = 0.004, seed: int = 1) -> Model:
-    """Adam on all weights together, documents in a seeded order."""
+def train(vectors: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, prior: float, steps: int = 900, batch: int = 64, rate: float = 0.004, seed: int = 1) -> Model:
+    """Adam on all weights together, at least ``steps`` batches, documents in a seeded order."""
     rng = np.random.default_rng(seed)
     shapes = {"encode": (FEATURES, HIDDEN), "shift": (HIDDEN,), "attend": (HIDDEN, GATE), "gate": (HIDDEN, GATE), "rank": (GATE,), "judge": (HIDDEN,), "bias": (1,)}
     w = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) if k not in ("shift", "bias") else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
     m, v, step = {k: 0.0 for k in w}, {k: 0.0 for k in w}, 0
-    for _ in range(epochs):
+    while step < steps:
         order = rng.permutation(len(vectors))
         for k in range(0, len(order), batch):
             own = order[k : k + batch]
