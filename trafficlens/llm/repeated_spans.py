@@ -20,9 +20,9 @@ from trafficlens.llm.language_model import packed, unpacked
 
 WIDTH, ANCHOR = 50, 20
 LEFT = WIDTH - ANCHOR  # bytes of a window before its anchor, at most
-BLOCK_BYTES = 4 << 20
-CHUNK = 1 << 19  # window starts that are hashed at once
-BUCKET_BYTES = 8 << 20  # of text per bucket of anchor strings
+BLOCK_BYTES = 2 << 20
+CHUNK = 1 << 18  # window starts that are hashed at once
+BUCKET_BYTES = 4 << 20  # of text per bucket of anchor strings
 NO_ID = (1 << 63) - 1  # documents without an id count as the largest
 
 BASE = 0x9E3779B97F4A7C15
