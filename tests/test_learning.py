@@ -53,10 +53,39 @@ def test_small_class_spreads_over_folds(spark):
     assert sizes == [10] * 5
 
 
-def test_too_many_categories_are_refused(spark, monkeypatch):
-    monkeypatch.setattr(P, "MAX_CATEGORIES", 3)
-    with pytest.raises(ValueError):
-        P.categories(spark.range(5).select(F.col("id").cast("string").alias("c")), "c")
+def test_many_categories(spark):
+    """Codes are dense and in order for more values than a row could list; missing values have none."""
+    df = spark.range(30_000).select("id", F.when(F.col("id") > 0, F.lpad(F.col("id").cast("string"), 6, "0")).alias("c"))
+    coded = P.label_encode(df, "c", "code")
+    assert coded.filter("code <> id - 1 or (id = 0) <> (code is null)").count() == 0 and coded.count() == 30_000
+    vector = P.one_hot_vector(df, "c", "v").filter("id in (0, 7)").orderBy("id").collect()
+    assert [(r["v"]["size"], r["v"]["indices"]) for r in vector] == [(29_999, []), (29_999, [6])]
+
+
+def test_rows_without_an_id_stay(spark, rows):
+    df = spark.createDataFrame([(1, "a"), (None, "a"), (None, "a"), (2, "a"), (None, None)], "id bigint, label string")
+    split = P.stratified_split(df, "id", "label", 0.5, 0.25, 0.25)
+    assert sorted(r["split"] for r in split.filter("label = 'a'").collect()) == ["test", "train", "train", "val"] and split.count() == 5
+    assert P.stratified_folds(df, "id", "label").count() == 5
+
+
+def test_only_cut_buckets_are_ranked(spark, folder):
+    df = V.table(spark, folder, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice")
+    text = P.stratified_split(df, "o_orderkey", "o_orderstatus")._jdf.queryExecution().optimizedPlan().toString()
+    below_window = text[text.index("Window [row_number()"):]
+    assert text.count("Window [row_number()") == 1 and "_bucket" in below_window and "= _b0" in below_window
+
+
+def test_perceptron_learns_by_weight(spark):
+    df = spark.createDataFrame([([float(i % 2), 1.0], i % 2, 0.0 if i % 2 == 0 else 1.0) for i in range(200)], "features array<double>, label int, weight double")
+    model = MD.train(df, "perceptron", weight="weight")
+    # Only rows of label 1 have weight, so everything is taken for it.
+    assert MD.score(df, model).filter("not is_predicted_malicious").count() == 0
+
+
+def test_training_job_learns_distinct_rows(spark):
+    df = spark.createDataFrame([(i, i % 3 * 10, "Attack" if i % 3 == 0 else "Benign") for i in range(300)], "id bigint, x int, label string")
+    assert MD.distinct_rows(df, "id").orderBy("x").collect() == [(0, "Attack", 0), (10, "Benign", 1), (20, "Benign", 2)]
 
 
 def test_metrics_without_positives(spark):

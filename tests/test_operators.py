@@ -70,11 +70,14 @@ def test_seeded_rank_is_exact(spark):
             assert [got[i] for i in ids] == [(k + 1, len(ids)) for k in range(len(ids))]
 
 
-def test_samples_by_limit_and_by_rank_agree(spark, rows, monkeypatch):
+def test_samples_are_the_first_ranks(spark, rows):
     df = spark.range(300)
-    small = rows(RK.seeded_sample(df, "id", 50))
-    monkeypatch.setattr(RK, "SORTED_LIMIT", 10)
-    assert rows(RK.seeded_sample(df, "id", 50)) == small and RK.seeded_sample(df, "id", 1000).count() == 300
+    ranked = RK.seeded_rank(df, "id", 42)
+    for n in (0, 1, 50, 299, 300, 1000):
+        assert rows(RK.seeded_sample(df, "id", n)) == rows(ranked.filter(F.col("rank") <= n).select("id"))
+    without = spark.createDataFrame([(1,), (None,), (None,), (2,)], "id bigint")
+    assert [RK.seeded_sample(without, "id", n).count() for n in (2, 3, 9)] == [2, 3, 4]
+    assert RK.seeded_sample(df.limit(0), "id", 5).count() == 0
 
 
 def test_flow_features_use_exact_durations(spark):
@@ -187,7 +190,7 @@ def test_status_resolution(spark, rows):
 
 
 def test_signature_maintenance(spark, rows):
-    assert SG.is_valid_pattern(spark, r"a(b|c)\Z") and not SG.is_valid_pattern(spark, "a(b")
+    assert SG.bad_patterns(spark, [r"a(b|c)\Z", "a(b", None, "x", "*", r"(?P<n>a)(?P=n)"]) == {"a(b", None, "*"}
     with pytest.raises(ValueError):
         SG.signature_entry(spark, 1, "bad", "a(b", "2024-01-01")
     one = SG.signature_entry(spark, 1, "x", "abc", "2024-01-01")

@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as E
 from check_queries import rows_of
+from trafficlens.plans import registry
 
 
 @pytest.fixture(scope="module")
@@ -18,7 +19,7 @@ def sql(folder):
     return con
 
 
-@pytest.mark.parametrize("name", sorted(E.oracle_sql()))
+@pytest.mark.parametrize("name", sorted(registry.ORACLES))
 def test_same_rows(spark, folder, sql, name):
     df = E.queries()[name](spark, folder)
     result = sql.execute(E.oracle_sql()[name])
@@ -27,7 +28,7 @@ def test_same_rows(spark, folder, sql, name):
     assert rows_of(df.columns, [tuple(r) for r in df.collect()]) == rows_of(columns, result.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - set(E.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_rows_only(spark, folder, name):
     assert E.queries()[name](spark, folder).count() > 0
 

@@ -91,8 +91,35 @@ def test_user_patterns_follow_byte_semantics(spark):
     rules = spark.createDataFrame([("edge", r"\bword\b"), ("end", r"word\Z"), ("span", "a.w")], "name string, pattern string")
     want = [(1, "edge"), (1, "end"), (2, "edge"), (2, "end"), (3, "edge"), (3, "end"), (3, "span")]
     assert sorted(map(tuple, SG.matches(df, rules, include_builtin=False).collect())) == want
-    assert sorted(map(tuple, SG.matches_by_replication(df, rules, per_chunk=1, salts=3).collect())) == want
-    assert sorted(map(tuple, SG.matches(df, rules, include_builtin=False, literal_limit=1).collect())) == want
+    many = spark.range(700).select(F.concat(F.lit("none"), "id").alias("name"), F.concat(F.lit("zz"), "id").alias("pattern"))
+    assert sorted(map(tuple, SG.matches(df, rules.unionByName(many), include_builtin=False).collect())) == want
+
+
+def test_line_ends_groups_and_classes(spark):
+    texts = ["foo", "foo\n", "foo\r\n", "foo\r", "foo\x85", "abab", "a\x08b", "[x]", "&&", "foo\n\n"]
+    patterns = ["foo$", r"(?P<p>ab)(?P=p)", r"[\b]", r"[[x]]", r"[&&]", r"[]x]", r"\Afoo\Z"]
+    df = spark.createDataFrame(list(enumerate(texts)), "packet_id bigint, payload string")
+    rules = spark.createDataFrame([(p, p) for p in patterns], "name string, pattern string")
+    # Payloads are matched as UTF-8 bytes, user patterns ignore case and let a dot span lines.
+    want = [(i, p) for i, t in enumerate(texts) for p in patterns if re.search(p.encode(), t.encode(), re.I | re.S)]
+    assert sorted(map(tuple, SG.matches(df, rules, include_builtin=False).collect())) == sorted(want)
+
+
+def test_one_rule_for_names(spark):
+    """The newest pattern of a name counts, and a user signature replaces a built-in one, for any number of rules."""
+    df = spark.createDataFrame([(1, "<script>v1</script>"), (2, "v2")], "packet_id bigint, payload string")
+    rules = [("xss", "nothing", 1, None), ("v", "v1", 1, None), ("v", "v2", 2, None)]
+    for extra in (0, 400):
+        more = spark.createDataFrame(rules + [(f"n{i}", f"zz{i}", 9, None) for i in range(extra)], "name string, pattern string, id bigint, updated_at timestamp")
+        assert sorted(map(tuple, SG.matches(df, more).collect())) == [(2, "v")]
+
+
+def test_many_signatures_need_no_join(spark, folder):
+    from trafficlens.sources import views as V
+
+    many = spark.range(300).select(F.concat(F.lit("n"), "id").alias("name"), F.concat(F.lit("zz"), "id").alias("pattern"))
+    text = SG.matches(V.packets(spark, folder), many)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in text and "Exchange" not in text
 
 
 def test_structured_and_binary_payloads(spark):
@@ -112,5 +139,5 @@ def test_inspection_off_gives_zeros(spark, folder):
 
 
 def test_pattern_rewriting_keeps_escaped_backslashes():
-    assert P.java_regex(r"a\\Z", "is") == r"(?is)a\\Z"
+    assert P.java_regex(r"a\\Z", "is") == r"(?isd)a\\Z"
     assert P.java_regex(r"a\Z", "i") == r"(?id)a\z"

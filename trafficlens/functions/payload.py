@@ -11,22 +11,28 @@ from trafficlens import dims
 
 # Java's \b also treats accented letters as word characters; attack payloads are bytes.
 _WORD_EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
-_ESCAPED = r"(?<!\\)((?:\\\\)*)\\"
+# A class, an escape, a named group, a reference to one, or anything else.
+_PARTS = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]|\\.|\(\?P<(\w+)>|\(\?P=(\w+)\)|.", re.S)
 
 
 def java_regex(pattern: str, flags: str = "is") -> str:
     """Pattern in Python byte-regex syntax rewritten for Java, with ``i`` and/or ``s`` flags."""
-    pattern = re.sub(_ESCAPED + "Z", r"\1\\z", pattern)
-    pattern = re.sub(_ESCAPED + "b", lambda m: m[1] + _WORD_EDGE, pattern)
-    # "d": without DOTALL only \n ends a line.
-    return f"(?{flags}{'' if 's' in flags else 'd'}){pattern}"
-
-
-def java_regex_column(pattern: Column) -> Column:
-    """The same rewriting for user patterns held in a table."""
-    pattern = F.regexp_replace(pattern, _ESCAPED + "Z", r"$1\\z")
-    edge = _WORD_EDGE.replace("\\", "\\\\")
-    return F.concat(F.lit("(?is)"), F.regexp_replace(pattern, _ESCAPED + "b", "$1" + edge))
+    names: dict[str, str] = {}
+
+    def rewritten(m: re.Match) -> str:
+        if m[1]:
+            return f"(?<{names.setdefault(m[1], f'g{len(names)}')}>"
+        if m[2]:
+            return f"\\k<{names.get(m[2], m[2])}>"
+        if m[0].startswith("["):
+            # Java nests classes and intersects them; Python takes these characters as they are.
+            body = m[0][1:-1]
+            first = re.match(r"\^?\]?", body)[0]
+            return "[" + first.replace("]", "\\]") + re.sub(r"\\.|[\[&]", lambda c: {"\\b": "\\x08"}.get(c[0], c[0] if len(c[0]) > 1 else "\\" + c[0]), body[len(first):], flags=re.S) + "]"
+        return {"\\Z": "\\z", "\\b": _WORD_EDGE}.get(m[0], m[0])
+
+    # "d": only \n ends a line, for "$" too.
+    return f"(?{flags}d){_PARTS.sub(rewritten, pattern)}"
 
 
 def payload_bytes(payload: Column, data_type: T.DataType | None = None) -> Column:

@@ -4,23 +4,26 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from trafficlens import schema
 from trafficlens.functions import header as H
 from trafficlens.functions import rules
 from trafficlens.functions import text as X
 
-_PACKET_JSON = ("ts", "src", "dst", "proto", "sport", "dport", "flags", "len", "ttl", "payload", "is_malicious")
+def detections_from(scored: DataFrame, features: str | None = None, decision: str | None = None) -> DataFrame:
+    """Detection rows from scored packets; ``is_malicious`` is the decision, the packet is kept as JSON with its truth.
 
-
-def detections_from(scored: DataFrame, features: str | None = None) -> DataFrame:
-    """Detection rows from packets with ``is_malicious`` and ``confidence``; the packet is kept as JSON."""
+    The decision is ``decision``, else the model's ``is_predicted_malicious``, else (packets that were never scored) the truth.
+    """
     vector = F.col(features) if features else F.lit(None).cast("array<double>")
+    decided = decision or ("is_predicted_malicious" if "is_predicted_malicious" in scored.columns else "is_malicious")
+    packet = [c for c in (*schema.PACKET, "window") if c in scored.columns]
     return scored.select(
         F.col("packet_id").alias("id"), F.col("ts").alias("timestamp"),
         F.coalesce("src", F.lit("unknown")).alias("src_ip"), F.coalesce("dst", F.lit("unknown")).alias("dst_ip"),
         F.coalesce("sport", F.lit(0)).alias("src_port"), F.coalesce("dport", F.lit(0)).alias("dst_port"),
         F.coalesce("proto", F.lit("unknown")).alias("protocol"), F.coalesce("len", F.lit(0)).alias("length"),
-        "is_malicious", "confidence", vector.alias("feature_data"),
-        F.to_json(F.struct(*_PACKET_JSON)).alias("packet_data"),
+        F.col(decided).alias("is_malicious"), "confidence", vector.alias("feature_data"),
+        F.to_json(F.struct(*packet)).alias("packet_data"),
     )
 
 
@@ -73,15 +76,12 @@ def resolve_status(alerts: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def feedback_from(resolved: DataFrame, detections: DataFrame) -> DataFrame:
-    """Feedback rows for confirmed (1) and rejected (0) alerts."""
+    """Feedback rows for confirmed (1) and rejected (0) alerts, with the vector of their detection."""
     verdict = resolved.filter(F.col("status").isin("confirmed", "rejected")).select(
         F.col("id").alias("alert_id"), "detection_id", F.col("reviewed_at").alias("_at"),
         (F.col("status") == "confirmed").cast("int").alias("label"),
     )
-    vector = F.coalesce(
-        "feature_data", F.array(F.col("confidence"), F.col("length") / 65535.0, F.col("dst_port") / 65535.0)
-    )
-    d = detections.select(F.col("id").alias("detection_id"), vector.alias("feature_data"))
+    d = detections.select(F.col("id").alias("detection_id"), "feature_data")
     return verdict.join(d, "detection_id").select(
         F.col("detection_id").alias("id"), F.col("_at").alias("timestamp"), "feature_data", "label", "alert_id"
     )

@@ -1,4 +1,4 @@
-"""Detectors for the attack patterns of the traffic model. All run on batches; those marked also on streams."""
+"""Detectors for the attack patterns of the traffic model. They run on batches; ``streaming.jobs`` has them with watermarks."""
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -18,7 +18,7 @@ def _bounds() -> list[Column]:
 
 def _distinct(column: str, approximate: bool) -> Column:
     """Exact distinct counts shuffle by the counted value too, so one hot key does not end in one task."""
-    return F.approx_count_distinct(column) if approximate else F.count_distinct(column)
+    return F.approx_count_distinct(column, 0.01) if approximate else F.count_distinct(column)
 
 
 def port_scan(
@@ -71,14 +71,19 @@ def exfiltration(
     )
 
 
-def beaconing(packets: DataFrame, min_packets: int = 3) -> DataFrame:
-    """Pairs that contact a known control endpoint, with mean and deviation of the gaps between packets."""
-    keys = ["src", "dst"]
+def control_endpoint() -> Column:
+    """Whether the payload names a known control endpoint."""
     endpoint = F.lit(False)
     for e in dims.CONTROL_ENDPOINTS:
         endpoint = endpoint | F.coalesce(F.col("payload").contains(e), F.lit(False))
+    return endpoint
+
+
+def beaconing(packets: DataFrame, min_packets: int = 3) -> DataFrame:
+    """Pairs that contact a known control endpoint, with mean and deviation of the gaps between packets."""
+    keys = ["src", "dst"]
     linked = packets.filter("src is not null and dst is not null")
-    pairs = linked.groupBy(*keys).agg(F.count(F.lit(1)).alias("packets"), F.count_if(endpoint).alias("endpoint_hits"))
+    pairs = linked.groupBy(*keys).agg(F.count(F.lit(1)).alias("packets"), F.count_if(control_endpoint()).alias("endpoint_hits"))
     suspects = pairs.filter((F.col("endpoint_hits") > 0) & (F.col("packets") >= min_packets))
     # Only packets of suspects are ordered; Spark broadcasts the pairs if they turn out to be few.
     rhythm = sessions.gaps(linked.join(suspects, keys, "left_semi"), keys).groupBy(*keys).agg(

@@ -7,12 +7,11 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexer, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from trafficlens.operators import normalize as N
-from trafficlens.operators.ranking import seeded_rank
-
-# A column with more distinct values than this is not a category and is refused.
-MAX_CATEGORIES = 10_000
+from trafficlens.operators.ranking import seeded_pieces, seeded_rank
+from trafficlens.session import new_folder
 
 
 def column_statistics(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -68,14 +67,31 @@ def min_max_scale(df: DataFrame, columns: list[str], fit_on: DataFrame | None =
 
 
 def categories(df: DataFrame, column: str) -> list[str]:
-    found = [r[0] for r in df.select(column).na.drop().distinct().limit(MAX_CATEGORIES + 1).collect()]
-    if len(found) > MAX_CATEGORIES:
-        raise ValueError(f"{column} has more than {MAX_CATEGORIES} distinct values")
-    return sorted(found)
+    """Sorted values of a column that is to become as many columns."""
+    return sorted(r[0] for r in df.select(column).na.drop().distinct().collect())
+
+
+def dictionary(df: DataFrame, column: str) -> DataFrame:
+    """(value, code) with zero-based codes in sorted order, for any number of values.
+
+    Values are sorted by range over all tasks; a code is the place within its partition plus the sizes of the
+    partitions before, the only numbers that meet in one task.
+    """
+    placed = df.select(F.col(column).alias("value")).na.drop().distinct().orderBy("value").withColumn("_id", F.monotonically_increasing_id())
+    path = new_folder(df.sparkSession, "dictionary")
+    placed.write.parquet(path)
+    part = df.sparkSession.read.schema(placed.schema).parquet(path).withColumn("_part", F.shiftright("_id", 33))
+    sizes = part.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    return part.join(offsets, "_part").select("value", (F.col("_before") + F.col("_id") % (1 << 33)).alias("code"))
 
 
 def one_hot(df: DataFrame, column: str, known: list[str] | None = None) -> DataFrame:
-    """One 0/1 column ``column_value`` per known category; an unknown category is all zeros."""
+    """One 0/1 column ``column_value`` per known category; an unknown category is all zeros.
+
+    For more categories than a table should have columns take :func:`one_hot_vector`.
+    """
     known = categories(df, column) if known is None else known
     c = F.col(column)
     return df.withColumns(
@@ -84,10 +100,18 @@ def one_hot(df: DataFrame, column: str, known: list[str] | None = None) -> DataF
 
 
 def label_encode(df: DataFrame, column: str, output: str) -> DataFrame:
-    """Zero-based code in sorted order of the values."""
-    known = categories(df, column)
-    position = F.array_position(F.array(*[F.lit(v) for v in known]), F.col(column)) - 1
-    return df.withColumn(output, position.cast("int"))
+    """Zero-based code in sorted order of the values; NULL stays NULL."""
+    codes = dictionary(df, column).select(F.col("value").alias("_value"), F.col("code").cast("int").alias(output))
+    return df.drop(output).join(codes, F.col(column) == F.col("_value"), "left").drop("_value")
+
+
+def one_hot_vector(df: DataFrame, column: str, output: str) -> DataFrame:
+    """Sparse 0/1 vector over all values of the column, as ``size`` and the index set; a missing value has none."""
+    codes = dictionary(df, column)
+    size = codes.count()
+    indexed = df.join(codes.select(F.col("value").alias("_value"), F.col("code").alias("_code")), F.col(column) == F.col("_value"), "left")
+    vector = F.struct(F.lit(size).cast("bigint").alias("size"), F.array_compact(F.array("_code")).alias("indices"))
+    return indexed.withColumn(output, vector).drop("_value", "_code", column)
 
 
 def _quota(ratio: float) -> Column:
@@ -100,13 +124,8 @@ def stratified_split(
     """Add ``split`` (train, val, test) with the same shares in every class; rounding goes to train."""
     if abs(train + val + test - 1.0) > 1e-9:
         raise ValueError("ratios must sum to 1")
-    ranked = seeded_rank(df, id_column, seed, target)
-    split = (
-        F.when(F.col("rank") <= _quota(test), "test")
-        .when(F.col("rank") <= _quota(test) + _quota(val), "val")
-        .otherwise("train")
-    )
-    return ranked.withColumn("split", split).drop("rank", "group_size")
+    pieces = seeded_pieces(df, id_column, seed, [_quota(test), _quota(test) + _quota(val)], target)
+    return pieces.withColumn("split", F.element_at(F.array(*map(F.lit, ("test", "val", "train"))), F.col("piece") + 1)).drop("piece")
 
 
 def stratified_folds(df: DataFrame, id_column: str, target: str, folds: int = 5, seed: int = 42) -> DataFrame:
@@ -128,8 +147,6 @@ def fit_preparation(df: DataFrame, target: str) -> PipelineModel:
     df = N.infinite_to_null(df)
     numeric = [c for c in N.numeric_columns(df) if c != target]
     text = [c for c in N.categorical_columns(df) if c != target]
-    for c in text:
-        categories(df, c)
     stats = fitted_statistics(df, numeric)
     scaled = {}
     for c, s in stats.items():

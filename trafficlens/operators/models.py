@@ -19,7 +19,6 @@ from trafficlens.functions.vectors import argmax
 from trafficlens.operators import metrics, mlprep
 from trafficlens.operators import normalize as N
 from trafficlens.operators.ranking import seeded_rank
-from trafficlens.session import new_folder
 
 MIN_FEEDBACK = 5
 
@@ -33,9 +32,13 @@ def _estimator(kind: str, width: int, classes: int, weight: str | None, seed: in
         estimator = MultilayerPerceptronClassifier(layers=[width, 64, 32, classes], maxIter=50, seed=seed)
     else:
         raise ValueError(f"unknown model kind {kind!r}")
-    if weight and kind != "perceptron":
-        estimator = estimator.setWeightCol(weight)
-    return estimator
+    return estimator.setWeightCol(weight) if weight else estimator
+
+
+def _resampled(rows: DataFrame, weight: str, seed: int) -> DataFrame:
+    """Rows kept with a chance in proportion to their weight, for learners that take no weights."""
+    most = rows.agg(F.max(weight)).first()[0]
+    return rows.filter(F.rand(seed) * F.lit(most) < F.col(weight)).drop(weight) if most else rows.drop(weight)
 
 
 def as_vector(df: DataFrame, features: str = "features") -> DataFrame:
@@ -48,8 +51,13 @@ def as_vector(df: DataFrame, features: str = "features") -> DataFrame:
 def train(
     df: DataFrame, kind: str = "random_forest", label: str = "label", weight: str | None = None, classes: int = 2, seed: int = 42
 ) -> Model:
-    """Fit a classifier on ``features``; the training rows are kept in memory or on disk while it iterates."""
+    """Fit a classifier on ``features``; the training rows are kept in memory or on disk while it iterates.
+
+    The perceptron takes no weights: it learns from rows drawn in proportion to them.
+    """
     rows = as_vector(df).select("features", F.col(label).cast("double").alias("label"), *([weight] if weight else []))
+    if weight and kind == "perceptron":
+        rows, weight = _resampled(rows, weight, seed), None
     rows = rows.persist()
     try:
         first = rows.select("features").head()
@@ -110,12 +118,18 @@ def history_row(result: DataFrame, kind: str, training_type: str, dataset_size:
     )
 
 
+def distinct_rows(df: DataFrame, id_column: str) -> DataFrame:
+    """One row of those that agree in everything but the id: the smallest id."""
+    rest = [c for c in df.columns if c != id_column]
+    return df.groupBy(*[F.col(f"`{c}`") for c in rest]).agg(F.min(F.col(f"`{id_column}`")).alias(id_column))
+
+
 def training_job(
     df: DataFrame, id_column: str, kind: str = "random_forest", ratios: tuple[float, float, float] = (0.8, 0.1, 0.1), seed: int = 42
 ) -> tuple[Model, PipelineModel, DataFrame]:
     """Clean, split, prepare, train with reward weights and evaluate; returns model, preparation, history row."""
     target = N.pick_target(df)
-    rows = N.binarise_target(N.infinite_to_null(df.dropDuplicates()), target)
+    rows = N.binarise_target(N.infinite_to_null(distinct_rows(df, id_column)), target)
     split = mlprep.stratified_split(rows, id_column, target, *ratios, seed=seed).drop(id_column).persist()
     try:
         fit_rows = split.filter("split = 'train'").drop("split")
@@ -173,10 +187,10 @@ def cross_validate(
 ) -> DataFrame:
     """Pooled predictions of a stratified k-fold run: id, fold, label, prediction.
 
-    With ``features`` the columns are min-max scaled by the training folds only. The predictions are written
-    to a table in the shared folder, so reading them does not train again.
+    With ``features`` the columns are min-max scaled by the training folds only. Training happens here, scoring
+    when the result is read.
     """
-    dealt = mlprep.stratified_folds(df, id_column, label, folds, seed).persist()
+    dealt = mlprep.stratified_folds(df, id_column, label, folds, seed)
     parts = []
     for k in range(folds):
         learn, test = dealt.filter(F.col("fold") != k), dealt.filter(F.col("fold") == k)
@@ -186,7 +200,4 @@ def cross_validate(
             learn = mlprep.min_max_scale(learn, features).withColumn("features", vector)
         model = train(learn, kind, label, seed=seed)
         parts.append(classify(test, model).select(id_column, "fold", F.col(label).cast("int").alias("label"), "prediction"))
-    path = new_folder(df.sparkSession, "cross-validation")
-    reduce(DataFrame.unionByName, parts).write.parquet(path)
-    dealt.unpersist()
-    return df.sparkSession.read.parquet(path)
+    return reduce(DataFrame.unionByName, parts)

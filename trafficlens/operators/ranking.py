@@ -1,13 +1,28 @@
-"""Exact ranks and samples without sorting a whole group in one task."""
+"""Exact ranks, cuts and samples without sorting a whole group in one task."""
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
-def seeded_key(id_column: str, seed: int):
-    """Pseudo-random but reproducible hexadecimal key of a row."""
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(id_column).cast("string")))
+def seeded_key(id_column: str, seed: int) -> Column:
+    """Pseudo-random but reproducible hexadecimal key of a row; rows without an id share one."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_column).cast("string"), F.lit(""))))
+
+
+def _bucketed(df: DataFrame, id_column: str, seed: int, digits: int) -> DataFrame:
+    return df.withColumn("_key", seeded_key(id_column, seed)).withColumn("_bucket", F.substring("_key", 1, digits))
+
+
+def _offsets(keyed: DataFrame, groups: list[str]) -> DataFrame:
+    """Per group (``_g_`` columns) and bucket ``_b``: its rows ``_n``, the rows before it ``_offset``, and ``group_size``."""
+    sizes = keyed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    whole = W.partitionBy(*groups)
+    before = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
+    return sizes.select(
+        *[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_bucket").alias("_b"), "_n",
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), F.sum("_n").over(whole).alias("group_size"),
+    )
 
 
 def seeded_rank(df: DataFrame, id_column: str, seed: int, group: str | None = None, digits: int = 4) -> DataFrame:
@@ -18,35 +33,62 @@ def seeded_rank(df: DataFrame, id_column: str, seed: int, group: str | None = No
     before it; only bucket sizes are ever ordered per group.
     """
     groups = [group] if group else []
-    keyed = df.withColumn("_key", seeded_key(id_column, seed)).withColumn("_bucket", F.substring("_key", 1, digits))
-    sizes = keyed.groupBy(*groups, "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    whole = W.partitionBy(*groups)
-    before = whole.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(
-        *[F.col(g).alias(f"_g_{g}") for g in groups], F.col("_bucket").alias("_b"),
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_offset"), F.sum("_n").over(whole).alias("group_size"),
-    )
+    keyed = _bucketed(df, id_column, seed, digits)
     same = [F.col("_bucket") == F.col("_b"), *[F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups]]
     inside = W.partitionBy(*groups, "_bucket").orderBy("_key", id_column)
-    ranked = keyed.withColumn("_rn", F.row_number().over(inside)).join(offsets, same)
+    ranked = keyed.withColumn("_rn", F.row_number().over(inside)).join(_offsets(keyed, groups).drop("_n"), same)
     return ranked.withColumn("rank", F.col("_rn") + F.col("_offset")).drop(
         "_key", "_bucket", "_b", "_rn", "_offset", *[f"_g_{g}" for g in groups]
     )
 
 
-# A sorted limit ends in one task; larger samples are taken by distributed rank.
-SORTED_LIMIT = 100_000
+# Cut points of at most so many groups are broadcast; more of them are joined by shuffle.
+MOST_GROUPS = 100_000
+
+
+def seeded_pieces(df: DataFrame, id_column: str, seed: int, cuts: list[Column], group: str | None = None, digits: int = 4) -> DataFrame:
+    """Add ``piece``: how many of ``cuts`` (ranks, as expressions of ``group_size``) lie before the row in seeded order.
+
+    Bucket sizes tell in which bucket a cut falls. Every other bucket lies on one side of it, so its rows are decided in
+    place; only the rows of the cut buckets are shuffled and ranked.
+    """
+    groups = [group] if group else []
+    keyed = _bucketed(df, id_column, seed, digits)
+    at = _offsets(keyed, groups).withColumns({f"_c{i}": c.cast("bigint") for i, c in enumerate(cuts)})
+    holds = [(F.col(f"_c{i}") > F.col("_offset")) & (F.col(f"_c{i}") <= F.col("_offset") + F.col("_n")) for i in range(len(cuts))]
+    found = at.groupBy(*[f"_g_{g}" for g in groups]).agg(
+        *[F.max(F.when(h, F.col("_b"))).alias(f"_b{i}") for i, h in enumerate(holds)],
+        *[F.max(F.when(h, F.col(f"_c{i}") - F.col("_offset"))).alias(f"_r{i}") for i, h in enumerate(holds)],
+        *[F.max(F.col(f"_c{i}") >= F.col("group_size")).alias(f"_all{i}") for i in range(len(cuts))],
+    )
+    few = found.limit(MOST_GROUPS + 1).collect()
+    if not groups:
+        joined = keyed.withColumns({f.name: F.lit(few[0][f.name] if few else None).cast(f.dataType) for f in found.schema.fields})
+    else:
+        points = F.broadcast(df.sparkSession.createDataFrame(few, found.schema)) if len(few) <= MOST_GROUPS else found
+        joined = keyed.join(points, [F.col(g).eqNullSafe(F.col(f"_g_{g}")) for g in groups])
+    inner = range(len(cuts))
+    in_cut = F.lit(False)
+    for i in inner:
+        in_cut = in_cut | F.coalesce(F.col("_bucket") == F.col(f"_b{i}"), F.lit(False))
+
+    def piece(rank: Column) -> Column:
+        """A cut beyond the group has no row behind it; one without a bucket lies before all rows."""
+        past = [F.when(F.col(f"_all{i}"), 0).when(F.col(f"_b{i}").isNull() | (F.col("_bucket") > F.col(f"_b{i}")), 1).when(F.col("_bucket") < F.col(f"_b{i}"), 0).otherwise((rank > F.col(f"_r{i}")).cast("int")) for i in inner]
+        return sum(past, F.lit(0))
+
+    inside = W.partitionBy(*groups, "_bucket").orderBy("_key", id_column)
+    ranked = joined.filter(in_cut).withColumn("_rn", F.row_number().over(inside))
+    both = joined.filter(~in_cut).withColumn("piece", piece(F.lit(0))).unionByName(ranked.withColumn("piece", piece(F.col("_rn"))).drop("_rn"))
+    return both.drop("_key", "_bucket", *[f"_g_{g}" for g in groups], *[f"{n}{i}" for n in ("_b", "_r", "_all") for i in inner])
 
 
 def seeded_sample(df: DataFrame, id_column: str, n: int, seed: int = 42) -> DataFrame:
     """Exactly ``n`` rows (or all), the same on every run."""
-    if n > SORTED_LIMIT:
-        return seeded_rank(df, id_column, seed).filter(F.col("rank") <= n).drop("rank", "group_size")
-    key = seeded_key(id_column, seed)
-    return df.withColumn("_key", key).orderBy("_key", id_column).limit(n).drop("_key")
+    return seeded_pieces(df, id_column, seed, [F.lit(n)]).filter("piece = 0").drop("piece")
 
 
 def newest(df: DataFrame, n: int, offset: int = 0, ts: str = "timestamp", key: str = "id") -> DataFrame:
-    """Page of the newest rows; ties are ordered by key, newest key first."""
+    """Page of the newest rows; ties are ordered by key, newest key first. Pages are for display: offset + n rows meet in one task."""
     page = df.orderBy(F.desc(ts), F.desc(key))
     return (page.offset(offset) if offset else page).limit(n)

@@ -1,5 +1,7 @@
 """User signatures: validation, latest state, and matching against payloads."""
 
+import re
+
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -8,26 +10,51 @@ from trafficlens import dims
 from trafficlens.functions import payload as P
 from trafficlens.functions import text as X
 
-# Up to this many signatures are compiled into the plan as literal patterns.
-LITERAL_LIMIT = 256
+# Tests per projected column: enough to share the row, few enough for one plan node.
+PATTERNS_PER_COLUMN = 128
 
 
-def is_valid_pattern(spark: SparkSession, pattern: str) -> bool:
-    """Whether the pattern compiles."""
+def compiles(pattern: str | None) -> bool:
+    """Whether a pattern is valid in byte-regex syntax, in which signatures are written."""
     try:
-        spark.range(1).select(F.lit("").rlike(P.java_regex(pattern))).collect()
-        return True
-    except PySparkException:
+        re.compile((pattern or "").encode())
+        return pattern is not None
+    except re.error:
         return False
-    except Exception as error:  # the JVM reports some patterns as a plain Java error
-        if "PatternSyntaxException" in str(error) or "regex" in str(error).lower():
-            return False
-        raise
+
+
+def bad_patterns(spark: SparkSession, patterns: list[str | None]) -> set[str | None]:
+    """Those that do not compile, here or in the engine that will run them. Halves the list where the engine refuses one."""
+    bad = {p for p in patterns if not compiles(p)}
+
+    def refused(rest: list[str]) -> set[str]:
+        if not rest:
+            return set()
+        try:
+            tests = [F.lit("").rlike(P.java_regex(p)).alias(f"t{i}") for i, p in enumerate(rest)]
+            spark.range(1).select(*tests).collect()
+            return set()
+        except Exception as error:  # the JVM reports some patterns as a plain Java error
+            if not isinstance(error, PySparkException) and "PatternSyntaxException" not in str(error):
+                raise
+            half = len(rest) // 2
+            return refused(rest[:half]) | refused(rest[half:]) if half else set(rest)
+
+    return bad | refused(sorted(set(patterns) - bad))
+
+
+def checked(additions: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(accepted, refused) entries of a log of additions. Signatures are settings: their patterns come to the driver to be compiled."""
+    patterns = [r[0] for r in additions.select("pattern").distinct().collect()]
+    bad = bad_patterns(additions.sparkSession, patterns)
+    known = [p for p in bad if p is not None]
+    is_bad = F.col("pattern").isNull() | (F.col("pattern").isin(known) if known else F.lit(False))
+    return additions.filter(~is_bad), additions.filter(is_bad)
 
 
 def signature_entry(spark: SparkSession, id: int, name: str, pattern: str, added_at: str, description: str | None = None, category: str = "custom") -> DataFrame:
     """One log entry for :func:`upsert`; a pattern that does not compile is refused."""
-    if not is_valid_pattern(spark, pattern):
+    if bad_patterns(spark, [pattern]):
         raise ValueError(f"signature {name!r}: not a valid pattern")
     row = (id, name, pattern, description, category, added_at)
     schema = "id bigint, name string, pattern string, description string, category string, added_at string"
@@ -35,7 +62,7 @@ def signature_entry(spark: SparkSession, id: int, name: str, pattern: str, added
 
 
 def upsert(signatures: DataFrame, additions: DataFrame) -> DataFrame:
-    """Apply a log of additions by unique name.
+    """Apply a log of additions by unique name; entries whose pattern does not compile are left out (see :func:`checked`).
 
     The newest entry supplies pattern, description and category; the oldest keeps id, active state and
     creation time.
@@ -44,7 +71,7 @@ def upsert(signatures: DataFrame, additions: DataFrame) -> DataFrame:
         "id", "name", "pattern", "description", "category", "is_active", "created_at", "updated_at",
         F.lit(0).alias("_log"),
     )
-    new = additions.select(
+    new = checked(additions)[0].select(
         "id", "name", "pattern", "description", "category", F.lit(True).alias("is_active"),
         F.col("added_at").alias("created_at"), F.col("added_at").alias("updated_at"), F.lit(1).alias("_log"),
     )
@@ -88,53 +115,27 @@ def builtin(spark: SparkSession) -> DataFrame:
     return dims.literal_rows(spark, "name, pattern", dims.ATTACK_SIGNATURES.items())
 
 
+def patterns_of(signatures: DataFrame) -> dict[str, str]:
+    """One pattern per name: the newest where the table has times, of equal ones the largest."""
+    newest = F.struct(*[c for c in ("updated_at", "id") if c in signatures.columns], "pattern")
+    rows = signatures.groupBy("name").agg(F.max(newest)["pattern"].alias("pattern"))
+    return {r["name"]: r["pattern"] for r in rows.collect()}
+
+
 def matches(
-    df: DataFrame, signatures: DataFrame | None = None, payload: str = "payload", key: str = "packet_id",
-    include_builtin: bool = True, literal_limit: int = LITERAL_LIMIT,
+    df: DataFrame, signatures: DataFrame | None = None, payload: str = "payload", key: str = "packet_id", include_builtin: bool = True,
 ) -> DataFrame:
     """(key, signature) for every payload and every signature that matches it.
 
-    Signatures are settings, not data: up to ``literal_limit`` of them become literal patterns, which
-    compile once per task and need neither join nor shuffle. Beyond the limit the work is spread by
-    :func:`matches_by_replication`.
+    Signatures are settings, not data: any number of them becomes literal patterns, tested where the payload lies, without
+    join or shuffle. A user signature replaces the built-in one of its name.
     """
-    names: dict[str, str] = {}
-    if signatures is not None:
-        rules = signatures.select("name", "pattern").limit(literal_limit + 1).collect()
-        if len(rules) > literal_limit:
-            found = matches_by_replication(df, signatures, payload, key)
-            return found.unionByName(matches(df, None, payload, key)) if include_builtin else found
-        names = {r["name"]: P.java_regex(r["pattern"]) for r in rules}
     text = P.payload_text(F.col(payload), df.schema[payload].dataType)
     prepared = df.select(key, text.alias("_text")).withColumn("_lower", F.lower("_text"))
     tests = P.signature_flags(F.col("_lower")) if include_builtin else {}
-    # A user signature with the name of a built-in one replaces it.
-    tests |= {n: F.col("_text").rlike(p) for n, p in names.items()}
-    hits = F.array_compact(F.array(F.lit(None).cast("string"), *[F.when(t, n) for n, t in tests.items()]))
+    if signatures is not None:
+        tests |= {n: F.col("_text").rlike(P.java_regex(p)) for n, p in sorted(patterns_of(signatures).items())}
+    named = [F.when(t, n) for n, t in tests.items()]
+    groups = [F.array_compact(F.array(F.lit(None).cast("string"), *named[k : k + PATTERNS_PER_COLUMN])) for k in range(0, max(len(named), 1), PATTERNS_PER_COLUMN)]
     # The outer form keeps Spark from inferring a filter that would run every test a second time.
-    return prepared.select(key, F.explode_outer(hits).alias("signature")).filter("signature is not null")
-
-
-def matches_by_replication(
-    df: DataFrame, signatures: DataFrame, payload: str = "payload", key: str = "packet_id",
-    per_chunk: int = 64, salts: int = 64,
-) -> DataFrame:
-    """The same result for any number of signatures.
-
-    Signatures are cut into chunks of about ``per_chunk``; every payload visits each chunk once through an
-    equi-join on (chunk, salt), where the salt spreads the payloads of a chunk over ``salts`` groups.
-    """
-    chunks = max(1, -(-signatures.count() // per_chunk))
-    rules = (
-        signatures.select("name", P.java_regex_column(F.col("pattern")).alias("regex"))
-        .withColumn("_chunk", F.pmod(F.xxhash64("name"), F.lit(chunks)))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    )
-    text = P.payload_text(F.col(payload), df.schema[payload].dataType)
-    visits = (
-        df.select(key, text.alias("_text"))
-        .withColumn("_salt", F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int"))
-        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))))
-    )
-    found = visits.join(rules, ["_chunk", "_salt"]).filter("_text rlike regex")
-    return found.select(key, F.col("name").alias("signature"))
+    return prepared.select(key, F.explode_outer(F.concat(*groups)).alias("signature")).filter("signature is not null")

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from trafficlens.functions import text as X
+from trafficlens.operators.features import FEATURE_NAMES
 from trafficlens.plans.oracle import over, time_text
 from trafficlens.plans.registry import query
 from trafficlens.session import new_folder
@@ -47,11 +48,13 @@ def _(spark, sf):
     return store.read("alerts").select("id", "detection_id", "status")
 
 
-@query("s7_append_feedback", over("select id, label, alert_id, round(f0, 6) as f0 from feedback", "feedback"))
+@query("s7_append_feedback", over("select id, label, alert_id, 35 as width, round(port_value, 6) as port_value, round(size_value, 6) as size_value from feedback", "feedback"))
 def _(spark, sf):
     store = Store(spark, new_folder(spark, "store"))
     store.append("model_feedback", V.feedback(spark, sf))
-    return store.read("model_feedback").select("id", "label", "alert_id", F.round(F.col("feature_data")[0], 6).alias("f0"))
+    vector = F.col("feature_data")
+    values = [F.round(vector[FEATURE_NAMES.index(n)], 6).alias(a) for n, a in (("dest_port_numeric", "port_value"), ("packet_size", "size_value"))]
+    return store.read("model_feedback").select("id", "label", "alert_id", F.size(vector).alias("width"), *values)
 
 
 @query("s8_append_training", over("select id, dataset_size, round(accuracy, 6) as accuracy, 0.0e0 as recall from training_history", "training_history"))
@@ -67,4 +70,7 @@ def _(spark, sf):
     store, prefix = Store(spark, path), "t" + path.rsplit("-", 1)[1] + "_"
     store.create_tables(prefix=prefix)
     store.append_training(V.training_history(spark, sf))
-    return spark.table(f"{prefix}training_history").select("id", "dataset_size", "training_type")
+    rows = spark.table(f"{prefix}training_history").select("id", "dataset_size", "training_type").collect()
+    # The result is a few rows; the catalog is left as it was.
+    store.drop_tables(prefix=prefix)
+    return spark.createDataFrame(rows, "id bigint, dataset_size bigint, training_type string")

@@ -84,7 +84,7 @@ TABLES = {
     "feedback": (
         ("resolved", "detections"),
         """select r.detection_id as id, r.reviewed_at as "timestamp", case r.status when 'confirmed' then 1 else 0 end as label, r.id as alert_id,
- d.confidence as f0, d.length / 65535.0 as f1, d.dst_port / 65535.0 as f2
+ least(d.dst_port / 65535.0e0, 1) as port_value, least(d.length / 65535.0e0, 1) as size_value
  from resolved r join detections d on d.id = r.detection_id where r.status in ('confirmed', 'rejected')""",
     ),
     "predictions": (

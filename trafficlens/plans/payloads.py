@@ -59,10 +59,10 @@ def _(spark, sf):
 
 @query(
     "a25_a26_document_statistics",
-    over(f"select k as doc_id, entropy, printable_ratio, payload_size from ({ENTROPY}) e", counts=counts_of("documents", "doc_id", "text")),
+    over(f"select doc_id, coalesce(entropy, 0) as entropy, coalesce(printable_ratio, 0) as printable_ratio, coalesce(payload_size, 0) as payload_size from documents left join ({ENTROPY}) e on e.k = doc_id", counts=counts_of("documents", "doc_id", "text")),
 )
 def _(spark, sf):
-    a = FE.payload_analysis(V.spread(V.table(spark, sf, "documents")).filter("text <> ''"), "text", "doc_id")
+    a = FE.payload_analysis(V.spread(V.table(spark, sf, "documents")), "text", "doc_id")
     out = a.select("doc_id", "entropy", "printable_ratio", F.col("payload_size").cast("bigint"))
     return out.withColumns(r6("entropy", "printable_ratio")).withColumn("entropy", F.col("entropy") + 0.0)
 
@@ -160,21 +160,26 @@ SIG_NAMES = ", ".join(f"case when {n} then '{n}' end" for n in dims.ATTACK_SIGNA
 
 @query(
     "f31_packet_analysis",
-    over(f"""select p.packet_id, p.src as src_ip, p.dst as dst_ip, coalesce(sport, 0) as src_port, coalesce(dport, 0) as dst_port, proto as protocol, len as length,
+    over(f"""select p.packet_id, {time_text('p.ts')} as "timestamp", p.src as src_ip, p.dst as dst_ip, coalesce(sport, 0) as src_port, coalesce(dport, 0) as dst_port, proto as protocol, len as length,
  coalesce(s.service, 'unknown') as src_service, coalesce(d.service, 'unknown') as dst_service,
  case when proto = 'tcp' then case flags when 2 then 'SYN' when 16 then 'ACK' when 24 then 'PSH,ACK' else '' end end as tcp_flags,
  case when has then kind end as content_type, case when has then concat_ws(',', {SIG_NAMES}) end as detections, case when has then entropy end as entropy,
- case when has then cast(parts.payload_size as bigint) end as payload_size
- from packets p join parts on parts.packet_id = p.packet_id left join {service_values('analysis')} s(port, service) on s.port = sport
- left join {service_values('analysis')} d(port, service) on d.port = dport""", "packets", counts=PACKET_COUNTS, parts=PARTS),
+ case when has then cast(parts.payload_size as bigint) end as payload_size, case when has then parts.printable_ratio end as printable_ratio, frequent,
+ array_to_string(list_transform(v, lambda x: cast(cast(round(x * 1000000) as bigint) as varchar)), ',') as features
+ from packets p join parts on parts.packet_id = p.packet_id join vectors on vectors.packet_id = p.packet_id left join frequent_bytes f on f.k = p.packet_id left join {service_values('analysis')} s(port, service) on s.port = sport
+ left join {service_values('analysis')} d(port, service) on d.port = dport""", "packets", **VECTOR_TABLES, frequent_bytes="""select k, string_agg('0x' || lower(ltrim(b, '0')) || ':' || cast(cast(round(n * 1000000 / cast(total as double)) as bigint) as varchar), ',' order by n desc, b) as frequent from
+ (select *, sum(n) over (partition by k) as total, row_number() over (partition by k order by n desc, b) as rn from counts) q where rn <= 10 group by k"""),
 )
 def _(spark, sf):
     a = FE.analyze_packets(V.spread(V.packets(spark, sf)))
+    millionths = lambda x: F.round(x * 1000000).cast("bigint").cast("string")
+    frequent = F.transform(F.map_entries("payload.byte_frequency"), lambda e: F.concat(e["key"], F.lit(":"), millionths(e["value"])))
     return a.select(
-        "packet_id", "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "src_service", "dst_service",
+        "packet_id", X.time_text(F.col("timestamp")).alias("timestamp"), "src_ip", "dst_ip", "src_port", "dst_port", "protocol", "length", "src_service", "dst_service",
         F.array_join("tcp_flags", ",").alias("tcp_flags"), "payload.content_type",
         F.array_join("payload.detections", ",").alias("detections"), (F.round("payload.entropy", 6) + 0.0).alias("entropy"),
-        F.col("payload.payload_size").cast("bigint").alias("payload_size"),
+        F.col("payload.payload_size").cast("bigint").alias("payload_size"), F.round("payload.printable_ratio", 6).alias("printable_ratio"),
+        F.array_join(frequent, ",").alias("frequent"), F.array_join(F.transform("features", lambda x: millionths(F.round(x, 6))), ",").alias("features"),
     )
 
 
@@ -194,9 +199,32 @@ def _(spark, sf):
     return SG.matches(V.spread(V.packets(spark, sf)), _user_signatures(spark, sf))
 
 
-@query("j5_signature_hits_replicated", over(f"select packet_id, signature from ({USER_HITS}) q", "packets", "merged_signatures"))
+
+@query(
+    "j5_many_signature_hits",
+    over(f"""select packet_id, signature from ({BUILTIN_HITS}) q where signature <> 'xss' union all
+ select packet_id, 'bot_' || regexp_extract(payload, '"id":"bot([0-9]+)"', 1) from packets where regexp_extract(payload, '"id":"bot([0-9]+)"', 1) in (select cast(c_custkey as varchar) from customer)
+ union all select packet_id, 'xss' from packets where regexp_matches(payload, '(?i)slowloris$')
+ union all select packet_id, 'service' from packets where regexp_matches(payload, '(?i)"service"|DNS_QUERY_[a-z]+')""", "packets"),
+)
+def _(spark, sf):
+    """A rule per customer, one that replaces a built-in, one with a named group; an old pattern of a name gives way to the newest."""
+    bots = V.table(spark, sf, "customer").select(
+        F.concat(F.lit("bot_"), "c_custkey").alias("name"), F.concat(F.lit('"id":"bot'), "c_custkey", F.lit('"')).alias("pattern"), F.col("c_custkey").alias("id")
+    )
+    more = spark.createDataFrame([("xss", "slowloris$", 2), ("xss", "GET", 1), ("service", '(?P<q>")service(?P=q)|DNS_QUERY_[a-z]+', 1)], "name string, pattern string, id bigint")
+    return SG.matches(V.spread(V.packets(spark, sf)), bots.unionByName(more))
+
+
+BAD = "case s_suppkey % 4 when 0 then s_name || '(' when 1 then '[' || s_name when 2 then '*' || s_name else s_name || '|x' end"
+
+
+@query("x1_refused_signatures", f"select s_suppkey as id, {BAD} as pattern, s_suppkey % 4 = 3 as accepted from supplier")
 def _(spark, sf):
-    return SG.matches_by_replication(V.spread(V.packets(spark, sf)), _user_signatures(spark, sf), per_chunk=16, salts=8)
+    log = V.signature_additions(spark, sf).join(V.table(spark, sf, "supplier").select((F.col("s_suppkey") + 1000).alias("id"), F.expr(BAD).alias("bad")), "id")
+    accepted, refused = SG.checked(log.drop("pattern").withColumnRenamed("bad", "pattern"))
+    both = accepted.withColumn("accepted", F.lit(True)).unionByName(refused.withColumn("accepted", F.lit(False)))
+    return both.select((F.col("id") - 1000).alias("id"), "pattern", "accepted")
 
 
 @query(
@@ -216,7 +244,7 @@ def _(spark, sf):
     return SG.matches(V.spread(V.table(spark, sf, "pages")), payload="html", key="page_id")
 
 
-@query("x2_feature_registry", over("select packet_id, list_sum(v[1:15]) > 0 as any_header_value from vectors", "packets", **VECTOR_TABLES))
+@query("x2_feature_registry", over("select packet_id, " + ", ".join(f"v[{i + 1}] as {n}" for i, n in enumerate(H.HEADER_FEATURES)) + " from vectors", "packets", **VECTOR_TABLES))
 def _(spark, sf):
-    values = [F.round(build().cast("double"), 6) for build in H.HEADER_FEATURES.values()]
-    return V.spread(V.packets(spark, sf)).select("packet_id", (sum(values, F.lit(0.0)) > 0).alias("any_header_value"))
+    values = [(F.round(build().cast("double"), 6) + 0.0).alias(n) for n, build in H.HEADER_FEATURES.items()]
+    return V.spread(V.packets(spark, sf)).select("packet_id", *values)

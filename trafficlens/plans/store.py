@@ -122,9 +122,9 @@ def _(spark, sf):
     return A.history_listing(V.described_alerts(spark, sf)).withColumns(_time("timestamp"))
 
 
-@query("l10_history_by_time", over(LISTING + " order by ts desc, id desc limit 200", "packet_alerts"))
+@query("l10_history_by_time", over(LISTING + " order by ts desc, id desc", "packet_alerts"))
 def _(spark, sf):
-    newest = V.described_alerts(spark, sf).orderBy(F.desc("ts"), F.desc("id")).limit(200)
+    newest = V.described_alerts(spark, sf).orderBy(F.desc("ts"), F.desc("id"))
     return A.history_listing(newest).withColumns(_time("timestamp"))
 
 
@@ -172,12 +172,12 @@ def _(spark, sf):
 # --- feedback ---
 
 
-@query("l3_latest_feedback", over('select id, label, round(f0, 6) as f0 from (select * from feedback order by "timestamp" desc, id desc limit 1000) q', "feedback"))
+@query("l3_latest_feedback", over('select id, label, round(port_value, 6) as port_value from (select * from feedback order by "timestamp" desc, id desc limit 1000) q', "feedback"))
 def _(spark, sf):
     stored = V.feedback(spark, sf).withColumn("feature_json", F.to_json("feature_data"))
     newest = RK.newest(stored, 1000)
     decoded = F.from_json("feature_json", "array<double>")
-    return newest.select("id", "label", F.round(decoded[0], 6).alias("f0"))
+    return newest.select("id", "label", F.round(decoded[3], 6).alias("port_value"))
 
 
 @query(

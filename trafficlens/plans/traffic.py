@@ -232,4 +232,5 @@ def _(spark, sf):
 
 @query("t5_counters_batch", over("select 'protocol' as dimension, proto as value, count(*) as packets from packets group by 2 union all select 'source', src, count(*) from packets group by 2 union all select 'destination', dst, count(*) from packets group by 2 union all select 'port', cast(dport as varchar), count(*) from packets where dport is not null group by 2", "packets"))
 def _(spark, sf):
-    return jobs.running_counters(V.packets(spark, sf))
+    hours = jobs.running_counters(V.packets(spark, sf))
+    return hours.groupBy("dimension", "value").agg(F.sum("packets").alias("packets"))

@@ -1,5 +1,6 @@
 """Append-only tables of detections, alerts, reviewer decisions, feedback, training runs and signatures."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,14 +30,33 @@ class Store:
                 f"LOCATION '{self.location(name)}'"
             )
 
-    def append(self, name: str, rows: DataFrame) -> None:
-        """Append rows in the layout of the table; missing columns become NULL."""
+    def drop_tables(self, database: str = "default", prefix: str = "") -> None:
+        """Take the tables out of the catalog; their files stay."""
+        for name in schema.TABLES:
+            self.spark.sql(f"DROP TABLE IF EXISTS {database}.{prefix}{name}")
+
+    def has_batch(self, name: str, batch: str) -> bool:
+        """Whether a stream batch was appended. A write shows all its rows or none, and files keep the range of ``batch``, so few are read."""
+        try:
+            stored = self.spark.read.schema("batch string").parquet(self.location(name))
+        except AnalysisException:  # no table yet
+            return False
+        return not stored.filter(F.col("batch") == batch).isEmpty()
+
+    def append(self, name: str, rows: DataFrame, batch: str | None = None) -> None:
+        """Append rows in the layout of the table; missing columns become NULL.
+
+        ``batch`` names a stream batch: a batch whose rows are there is not appended again.
+        """
+        if batch is not None and self.has_batch(name, batch):
+            return
         have = set(rows.columns)
         rows = rows.select(
             *[
                 (F.col(c) if c in have else F.lit(None)).cast(kind).alias(c)
                 for c, kind in schema.TABLES[name].items()
-            ]
+            ],
+            *([F.lit(batch).alias("batch")] if batch is not None else []),
         )
         if name in schema.DAY_PARTITIONED:
             # Rebalancing by day avoids one file per task and day, and splits a day that is too large.

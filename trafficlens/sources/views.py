@@ -53,10 +53,9 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
-def spread(scan: DataFrame) -> DataFrame:
-    """Use all cores for row-wise heavy work on a scan of few splits; a scan of many splits stays as it is."""
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+def spread(scan: DataFrame, partitions: int | None = None) -> DataFrame:
+    """Deal the rows of a scan out evenly before heavy work on each: to ``partitions``, else as many as the session shuffles to."""
+    return scan.repartition(partitions or int(scan.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
 def packets_from_events(events: DataFrame) -> DataFrame:
@@ -73,10 +72,13 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def detections(spark: SparkSession, folder: str) -> DataFrame:
-    """One detection per packet."""
+    """One detection per packet, with its vector."""
     from trafficlens.operators.alerts import detections_from
+    from trafficlens.operators.features import feature_vectors
 
-    return detections_from(scored_packets(spark, folder))
+    scored = scored_packets(spark, folder)
+    vectors = feature_vectors(scored, keep=tuple(c for c in scored.columns if c != "packet_id"))
+    return detections_from(vectors, "features")
 
 
 def scored_packets(spark: SparkSession, folder: str) -> DataFrame:

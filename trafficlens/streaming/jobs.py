@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from trafficlens import schema
 from trafficlens.operators import alerts as A
-from trafficlens.operators import features, models, sessions, signatures, traffic
+from trafficlens.operators import detectors, features, models, sessions, signatures, traffic
+from trafficlens.sources.store import Store
 
 LATE = "10 minutes"
 
@@ -36,8 +36,11 @@ def tcp_sessions(packets: DataFrame, gap: str = "300 seconds", late: str = LATE)
     return found.select("endpoint_a", "endpoint_b", F.col("session_window.start").alias("start"), "last_seen", "packets")
 
 
-def running_counters(packets: DataFrame) -> DataFrame:
-    """Running packet counts by protocol, source, destination and port. For update or complete mode."""
+def running_counters(packets: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Packet counts by protocol, source, destination and port per interval, emitted once when the interval is over.
+
+    State holds open intervals only; totals are sums over the written ones (:func:`read_counters`).
+    """
     counted = F.explode(
         F.array(
             F.struct(F.lit("protocol").alias("dimension"), F.coalesce(F.lower("proto"), F.lit("other")).alias("value")),
@@ -46,8 +49,46 @@ def running_counters(packets: DataFrame) -> DataFrame:
             F.struct(F.lit("port").alias("dimension"), F.col("dport").cast("string").alias("value")),
         )
     )
-    rows = packets.select(counted.alias("c")).select("c.dimension", "c.value")
-    return rows.filter("value is not null").groupBy("dimension", "value").agg(F.count(F.lit(1)).alias("packets"))
+    rows = packets.withWatermark("ts", late).select("ts", counted.alias("c")).select("ts", "c.dimension", "c.value")
+    found = rows.filter("value is not null").groupBy(F.window("ts", width), "dimension", "value").agg(F.count(F.lit(1)).alias("packets"))
+    return found.select(F.col("window.start").alias("start"), "dimension", "value", "packets")
+
+
+def port_scans(packets: DataFrame, width: str = "1 minute", late: str = LATE, min_ports: int = 10) -> DataFrame:
+    return detectors.port_scan(packets.withWatermark("ts", late), width, min_ports=min_ports, approximate=True)
+
+
+def brute_force(packets: DataFrame, width: str = "5 minutes", late: str = LATE, min_attempts: int = 5) -> DataFrame:
+    return detectors.brute_force(packets.withWatermark("ts", late), width, min_attempts=min_attempts)
+
+
+def floods(packets: DataFrame, width: str = "1 minute", late: str = LATE, min_sources: int = 20, min_packets: int = 100) -> DataFrame:
+    return detectors.flood(packets.withWatermark("ts", late), width, min_sources=min_sources, min_packets=min_packets, approximate=True)
+
+
+def exfiltration(packets: DataFrame, width: str = "10 minutes", late: str = LATE, min_bytes: int = 10_000_000) -> DataFrame:
+    return detectors.exfiltration(packets.withWatermark("ts", late), width, min_bytes=min_bytes)
+
+
+def beaconing(packets: DataFrame, width: str = "1 hour", late: str = LATE, min_packets: int = 3) -> DataFrame:
+    """Pairs that contact a control endpoint, per interval, with the mean gap between their packets."""
+    linked = packets.withWatermark("ts", late).filter("src is not null and dst is not null")
+    found = linked.groupBy("src", "dst", F.window("ts", width)).agg(
+        F.count(F.lit(1)).alias("packets"), F.count_if(detectors.control_endpoint()).alias("endpoint_hits"),
+        F.min(F.unix_micros("ts")).alias("first"), F.max(F.unix_micros("ts")).alias("last"),
+    )
+    suspects = found.filter((F.col("endpoint_hits") > 0) & (F.col("packets") >= min_packets))
+    # The gaps of a run add up to its length.
+    gap = (F.col("last") - F.col("first")) / 1e6 / (F.col("packets") - 1)
+    return suspects.select("src", "dst", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "packets", "endpoint_hits", gap.alias("mean_gap_s"))
+
+
+def attack_episodes(scored: DataFrame, gap: str = "300 seconds", late: str = LATE, threshold: float = 0.7) -> DataFrame:
+    """Runs of alerts per source and category, closed by inactivity, from scored packets."""
+    found = A.packet_alerts(scored.withWatermark("ts", late), threshold).groupBy("src_ip", "category", F.session_window("ts", gap)).agg(
+        F.max("ts").alias("last_seen"), F.count(F.lit(1)).alias("alerts")
+    )
+    return found.select("src_ip", "category", F.col("session_window.start").alias("start"), F.col("last_seen").alias("end"), "alerts")
 
 
 def signature_hits(packets: DataFrame, user_signatures: DataFrame | None = None) -> DataFrame:
@@ -66,47 +107,29 @@ def write_table(df: DataFrame, path: str, checkpoint: str, mode: str = "append",
     return writer.trigger(**trigger).start()
 
 
-def write_updates(df: DataFrame, path: str, checkpoint: str, available_now: bool = False, every: str = "3 seconds") -> StreamingQuery:
-    """Write only the rows that changed in a batch, as a version; repeating a batch rewrites its version."""
-
-    def save(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/version={batch_id:012d}")
-
-    trigger = {"availableNow": True} if available_now else {"processingTime": every}
-    writer = df.writeStream.outputMode("update").option("checkpointLocation", checkpoint)
-    return writer.foreachBatch(save).trigger(**trigger).start()
-
-
-def read_updates(spark: SparkSession, path: str, keys: list[str], columns: str) -> DataFrame:
-    """Newest version of every key; ``columns`` is the schema of the written rows."""
-    versions = spark.read.schema(f"{columns}, version string").parquet(path)
-    rest = [c for c in versions.columns if c not in (*keys, "version")]
-    newest = versions.groupBy(*keys).agg(F.max_by(F.struct(*rest), "version").alias("_v"))
-    return newest.select(*keys, "_v.*")
-
-
-COUNTERS = "dimension string, value string, packets bigint"
-
-
 def read_counters(spark: SparkSession, path: str) -> DataFrame:
-    return read_updates(spark, path, ["dimension", "value"], COUNTERS)
+    """Totals over all written intervals."""
+    rows = spark.read.schema("start timestamp, dimension string, value string, packets bigint").parquet(path)
+    return rows.groupBy("dimension", "value").agg(F.sum("packets").alias("packets"))
 
 
 def write_detections(
-    scored: DataFrame, path: str, checkpoint: str, threshold: float = 0.7, available_now: bool = False, every: str = "3 seconds"
+    scored: DataFrame, path: str, checkpoint: str, threshold: float = 0.7, available_now: bool = False, every: str = "1 minute", writer: str = "stream"
 ) -> StreamingQuery:
-    """Write every scored packet as a detection and an alert for those above the threshold.
+    """Append every scored packet to the store as a detection, and an alert for those decided malicious above the threshold.
 
-    Both tables are partitioned by batch and a repeated batch overwrites its own partition; alert ids are
-    derived from the detection, so a replay changes nothing.
+    The tables are those of :class:`Store`, by day. Rows carry the number of their batch; a batch that is already there is
+    not appended again, and alert ids derive from the detection, so a replay changes nothing. Queries that write to the
+    same store need different ``writer`` names.
     """
 
     def save(batch: DataFrame, batch_id: int) -> None:
+        store, name = Store(batch.sparkSession, path), f"{writer}:{batch_id:012d}"
         vector = "feature_data" if "feature_data" in batch.columns else None
         rows = A.detections_from(batch, vector).persist()
         try:
-            rows.write.mode("overwrite").parquet(f"{path}/detections/batch={batch_id:012d}")
-            A.alerts_from(rows, threshold).write.mode("overwrite").parquet(f"{path}/alerts/batch={batch_id:012d}")
+            store.append("detections", rows, name)
+            store.append("alerts", A.alerts_from(rows, threshold), name)
         finally:
             rows.unpersist()
 
@@ -114,11 +137,7 @@ def write_detections(
     return scored.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(**trigger).start()
 
 
-def read_stream_table(spark: SparkSession, path: str, name: str) -> DataFrame:
-    columns = schema.ddl(schema.TABLES[name] | {"batch": "string"})
-    return spark.read.schema(columns).parquet(f"{path}/{name}").drop("batch")
-
-
-def retained(df: DataFrame, as_of: str, keep: str, ts: str = "timestamp") -> DataFrame:
-    """Rows younger than ``keep`` (an interval such as ``7 days``) at ``as_of``."""
-    return df.filter(F.col(ts) > F.lit(as_of).cast("timestamp") - F.expr(f"interval {keep}"))
+def retained(df: DataFrame, as_of: str | None, keep: str, ts: str = "timestamp") -> DataFrame:
+    """Rows younger than ``keep`` (an interval such as ``7 days``) at ``as_of``; without it, at the time of the query or stream batch."""
+    now = F.lit(as_of).cast("timestamp") if as_of else F.current_timestamp()
+    return df.filter(F.col(ts) > now - F.expr(f"interval {keep}"))
