@@ -1,5 +1,6 @@
 """Helpers shared by the operators: tables read, written and read again, text expressions, let-bindings."""
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,3 +42,14 @@ def filesystem(uri: str):
     from pyarrow import fs
 
     return fs.FileSystem.from_uri("file://" + uri.removeprefix("file:") if uri.startswith("file:/") and not uri.startswith("file://") else uri)
+
+
+BASE = 0x9E3779B97F4A7C15  # of the polynomial hashes of byte strings
+
+
+def powers(n: int):
+    """Powers of the base and of its inverse modulo 2**64: hashes of all substrings from one running sum."""
+    with np.errstate(over="ignore"):
+        up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+        up[0] = down[0] = 1
+        return np.multiply.accumulate(up), np.multiply.accumulate(down)

@@ -15,7 +15,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from trafficlens.llm.common import written
+from trafficlens.llm.common import BASE, powers, written
 from trafficlens.llm.language_model import packed, unpacked
 
 WIDTH, ANCHOR = 50, 20
@@ -25,7 +25,6 @@ CHUNK = 1 << 18  # window starts that are hashed at once
 BUCKET_BYTES = 4 << 20  # of text per bucket of anchor strings
 NO_ID = (1 << 63) - 1  # documents without an id count as the largest
 
-BASE = 0x9E3779B97F4A7C15
 MASK48 = np.uint64((1 << 48) - 1)
 
 
@@ -35,14 +34,6 @@ def mixed(x: np.ndarray) -> np.ndarray:
         return x ^ (x >> np.uint64(32))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse modulo 2**64."""
-    with np.errstate(over="ignore"):
-        up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
-        up[0] = down[0] = 1
-        return np.multiply.accumulate(up), np.multiply.accumulate(down)
-
-
 def stretches(raw: np.ndarray, ends: np.ndarray):
     """Per chunk of window starts: (anchor, first, last window start, anchor hash, stretch hash) as arrays of places in ``raw``.
 

@@ -14,13 +14,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from trafficlens.llm.common import filesystem, written
+from trafficlens.llm.common import filesystem, powers, written
 from trafficlens.session import new_folder
 
 END = 1
 SHARD_BYTES = 32 << 20  # of text
 KEYS_PER_BUCKET = 1 << 16
-CACHED = 400_000  # encoded pieces that a worker process keeps
+CACHED = 600_000  # encoded pieces that a worker process keeps
 NULL_KEY = 1 << 62
 
 
@@ -41,7 +41,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.type = id_type(self.tokenizer.get_vocab_size())
+        size = self.tokenizer.get_vocab_size()
+        self.type = id_type(size)
+        # Letters between blanks are one word, whose last id is marked as a word's end.
+        self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
         self.pieces: dict[bytes, bytes] = {}
         self.parts: dict[str, bytes] = {}
 
@@ -54,26 +57,83 @@ class Encoder:
         return kept.__dict__[path]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        split = [t.encode().split() for t in texts]
+        """Ids of each text. Pieces are told apart by 64-bit hashes and looked up once per batch; the ids are then gathered."""
         if len(self.pieces) > CACHED:
             self.pieces.clear()
         if len(self.parts) > CACHED:
             self.parts.clear()
-        known = self.pieces
-        self.learn([p for p in set().union(*split) if p not in known])
-        return [b"".join([known[p] for p in ps]) for ps in split]
+        own = [t.encode() for t in texts]
+        whole = b" ".join(own)
+        raw = np.frombuffer(whole, np.uint8)
+        blank = BLANK[raw]
+        start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+        if not len(start):
+            return [b""] * len(texts)
+        end = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
+        up, down = powers(len(raw) + 1)
+        with np.errstate(over="ignore"):
+            sums = np.r_[np.uint64(0), np.cumsum((raw + np.uint64(1)) * up[:-1])]
+            marks = (sums[end] - sums[start]) * down[start]
+        _, first, piece = np.unique(marks, return_index=True, return_inverse=True)
+        found = [whole[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())]
+        ids = list(map(self.pieces.get, found))
+        self.learn([p for p, x in zip(found, ids) if x is None])
+        ids = [self.pieces[p] if x is None else x for p, x in zip(found, ids)]
+        sizes = np.array(list(map(len, ids)), np.int64) // np.dtype(self.type).itemsize
+        table, begin = np.frombuffer(b"".join(ids), self.type), np.cumsum(sizes) - sizes
+        counts = sizes[piece]
+        upto = np.r_[0, np.cumsum(counts)]
+        gathered = table[np.repeat(begin[piece] - upto[:-1], counts) + np.arange(upto[-1])]
+        # A text's first piece is the first that starts at or behind the text's own start.
+        edges = upto[np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in own)]))].tolist()
+        return [gathered[i:j].tobytes() for i, j in zip(edges, edges[1:])]
 
     def learn(self, pieces: list[bytes]) -> None:
-        cut = []
+        # Flat lists: a tuple per piece would keep the garbage collector busy.
+        heads, tails, known, words, rest = [], [], self.parts, {}, {}
         for p in pieces:
             text = p.decode()
             m = self.SIMPLE.fullmatch(text)
-            cut.append((p, (m[1].lower(), m[2]) if m else (text,)))
-        new = [x for x in dict.fromkeys(x for _, parts in cut for x in parts) if x and x not in self.parts]
-        for x, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            self.parts[x] = np.array(e.ids, self.type).tobytes()
-        for p, parts in cut:
-            self.pieces[p] = b"".join([self.parts[x] for x in parts if x])
+            head, tail = (m[1].lower(), m[2]) if m else (text, "")
+            heads.append(head)
+            tails.append(tail)
+            if head not in known:
+                (words if m else rest)[head] = None
+            if tail and tail not in known:
+                rest[tail] = None
+        letters = list(words)
+        for k in range(0, len(letters), 256):
+            self.learn_words(letters[k : k + 256])
+        left = [x for x in letters if x not in known] + list(rest)
+        for x, e in zip(left, self.tokenizer.encode_batch_fast(left, add_special_tokens=False)):
+            known[x] = np.array(e.ids, self.type).tobytes()
+        for p, head, tail in zip(pieces, heads, tails):
+            self.pieces[p] = known[head] + known[tail] if tail else known[head]
+
+    def learn_words(self, words: list[str]) -> None:
+        """Encode words of letters in one call and cut the ids at the ends of words; if the cuts don't fit, leave them."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.type)
+        cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
+        if len(cuts) == len(words):
+            raw, at = ids.tobytes(), 0
+            for x, cut in zip(words, cuts.tolist()):
+                self.parts[x] = raw[at:cut]
+                at = cut
+
+
+BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+
+
+def portions(texts: list[str], most: int = 2 << 20):
+    """(first, last) of runs of texts with about ``most`` characters."""
+    k, size = 0, 0
+    for last, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= most:
+            yield k, last
+            k, size = last, 0
+    if k < len(texts):
+        yield k, len(texts)
 
 
 def id_type(size: int) -> str:
@@ -124,8 +184,8 @@ def write(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "do
                 out, tail = fs.open_output_stream(own), np.array([end], kind).tobytes()
             counts = []
             texts = b.column("text").to_pylist()
-            for k in range(0, len(texts), 256):
-                for ids in encoder.batch(texts[k : k + 256]):
+            for k, last in portions(texts):
+                for ids in encoder.batch(texts[k:last]):
                     out.write(ids)
                     out.write(tail)
                     counts.append(len(ids) // len(tail) + 1)
