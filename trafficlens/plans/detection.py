@@ -56,6 +56,49 @@ def _(spark, sf):
     return _shown(D.flood(V.packets(spark, sf), "1 day", min_sources=2, min_packets=2))
 
 
+# All packets within two hours and from forty hosts, so that the detectors' own thresholds and widths are met.
+DENSE = "select * replace (timestamp '2024-01-01 00:00:00' + to_seconds(packet_id % 7200) as ts, '10.0.0.' || cast(packet_id % 40 as varchar) as src, cast(1 + packet_id % 977 as integer) as dport) from packets"
+
+
+def _dense(spark, sf):
+    k = F.col("packet_id")
+    return V.packets(spark, sf).withColumns(
+        {"ts": F.timestamp_seconds(F.lit(1704067200) + k % 7200), "src": F.concat(F.lit("10.0.0."), k % 40), "dport": (1 + k % 977).cast("int")}
+    )
+
+
+@query(
+    "r1_port_scan_defaults",
+    over(f"select src, {bounds('1 hour')}, syn_packets, ports from (select src, time_bucket(interval '1 hour', ts) as b, count(*) as syn_packets, count(distinct dport) as ports from dense where proto = 'tcp' and flags = 2 group by 1, 2) q where ports >= 10", "packets", dense=DENSE),
+)
+def _(spark, sf):
+    return _shown(D.port_scan(_dense(spark, sf), "1 hour"))
+
+
+@query(
+    "r2_brute_force_defaults",
+    over(f"""select src, dst, dport, {bounds('5 minutes')}, attempts from (select src, dst, dport, time_bucket(interval '5 minutes', ts) as b, count(*) as attempts from logins group by 1, 2, 3, 4) q where attempts >= 5""", "packets",
+         logins="""select * replace ('10.0.0.' || cast(user_id % 5 as varchar) as src, '10.0.1.1' as dst, 22 as dport, timestamp '2024-01-01 00:00:00' + to_seconds(event_id % 7200) as ts) from
+ (select packets.*, user_id, event_id from packets join events on event_id = packet_id) e where proto = 'tcp' and (contains(payload, 'USER') or contains(payload, 'PASS'))"""),
+)
+def _(spark, sf):
+    k = F.col("packet_id")
+    users = V.table(spark, sf, "events").select(F.col("event_id").alias("packet_id"), "user_id")
+    p = V.packets(spark, sf).join(users, "packet_id").withColumns(
+        {"src": F.concat(F.lit("10.0.0."), F.col("user_id") % 5), "dst": F.lit("10.0.1.1"), "dport": F.lit(22), "ts": F.timestamp_seconds(F.lit(1704067200) + k % 7200)}
+    )
+    return _shown(D.brute_force(p))
+
+
+@query(
+    "r3_flood_defaults",
+    over(f"""select dst, dport, {bounds('1 hour')}, packets, sources from (select 'all' as dst, 80 as dport, time_bucket(interval '1 hour', ts) as b, count(*) as packets, count(distinct src) as sources from dense
+ where proto = 'tcp' and (flags = 2 or payload like 'GET %') group by 3) q where sources >= 20 and packets >= 100""", "packets", dense=DENSE),
+)
+def _(spark, sf):
+    return _shown(D.flood(_dense(spark, sf).withColumns({"dst": F.lit("all"), "dport": F.lit(80)}), "1 hour"))
+
+
 @query(
     "r4_exfiltration",
     over(f"""select src, {bounds()}, bytes_out, marker_hits from (select src, {DAY} as b, cast(sum(len) as bigint) as bytes_out, count(*) filter (contains(payload, 'BASE64')) as marker_hits from packets

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from trafficlens import dims
+from trafficlens import dims, schema
 from trafficlens.functions import address as AD
 from trafficlens.functions import header as H
 from trafficlens.functions import rules as R
@@ -288,11 +288,32 @@ def _(spark, sf):
     return V.packets(spark, sf).groupBy(X.time_band(F.col("ts")).alias("band")).agg(F.count(F.lit(1)).alias("packets"))
 
 
-@query("f18_packet_json", over("select id, src_ip as src, dst_ip as dst, length as len, protocol as proto from detections", "detections"))
+@query(
+    "f18_packet_json",
+    over("""select packet_id as id, packet_id, epoch_us(ts) as ts, src, dst, proto, sport, dport, flags, len, ttl, packet_id % 3 = 0 as frag,
+ cast(packet_id % 5 as integer) as icmp_type, cast(packet_id % 7 as integer) as icmp_code, payload, is_malicious from packets""", "packets"),
+)
+def _(spark, sf):
+    k = F.col("packet_id")
+    packets = V.scored_packets(spark, sf).withColumns({"frag": k % 3 == 0, "icmp_type": (k % 5).cast("int"), "icmp_code": (k % 7).cast("int")})
+    back = F.from_json("packet_data", schema.ddl(schema.PACKET))
+    return A.detections_from(packets).select("id", back.alias("p")).select("id", "p.*").withColumn("ts", F.unix_micros("ts"))
+
+
+@query("h10_fragment_flag", over("select packet_id, case packet_id % 3 when 1 then 1.0e0 else 0.0e0 end as fragment from packets", "packets"))
+def _(spark, sf):
+    k = F.col("packet_id") % 3
+    packets = V.packets(spark, sf).withColumn("frag", F.when(k == 0, False).when(k == 1, True))
+    return packets.select("packet_id", H.HEADER_FEATURES["fragment"]().alias("fragment"))
+
+
+@query("f3_binary_content_type", over("select packet_id, case packet_id % 3 when 0 then 'binary' when 1 then 'text' else 'unknown' end as content_type from packets", "packets"))
 def _(spark, sf):
-    d = V.detections(spark, sf)
-    back = F.from_json("packet_data", "src string, dst string, len int, proto string")
-    return d.select("id", back.alias("p")).select("id", "p.src", "p.dst", "p.len", "p.proto")
+    """Payloads of control bytes, of words and of nothing."""
+    k = F.col("packet_id")
+    payload = F.when(k % 3 == 0, F.concat(F.lit("\x01\x02\x03\x04\x05\x06"), k.cast("string"))).when(k % 3 == 1, F.concat(F.lit("plain words "), k.cast("string"))).otherwise("")
+    packets = V.packets(spark, sf).select("packet_id", F.when(k % 3 == 0, F.lit("\x01\x02\x03\x04\x05\x06")).otherwise(payload).alias("payload"))
+    return FE.payload_analysis(packets).select("packet_id", "content_type")
 
 
 @query("f19_attack_description", over(f"select packet_id, {DESCRIPTION} as description from packets", "packets"))
