@@ -23,7 +23,7 @@ def detections_from(scored: DataFrame, features: str | None = None, decision: st
         F.coalesce("sport", F.lit(0)).alias("src_port"), F.coalesce("dport", F.lit(0)).alias("dst_port"),
         F.coalesce("proto", F.lit("unknown")).alias("protocol"), F.coalesce("len", F.lit(0)).alias("length"),
         F.col(decided).alias("is_malicious"), "confidence", vector.alias("feature_data"),
-        F.to_json(F.struct(*packet)).alias("packet_data"),
+        F.to_json(F.struct(*packet), {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}).alias("packet_data"),
     )
 
 
