@@ -117,7 +117,9 @@ def test_repeated_spans(spark, docs, folder):
         assert got == brute.repeated(rows)
 
 
-def test_repeated_spans_in_small_blocks(spark, docs, monkeypatch):
+@pytest.mark.parametrize("hot", [1, 3, 1 << 16])
+def test_repeated_spans_in_small_blocks(spark, docs, monkeypatch, hot):
+    monkeypatch.setattr(repeated_spans, "HOT", hot)
     monkeypatch.setattr(repeated_spans, "BLOCK_BYTES", 3000)
     monkeypatch.setattr(repeated_spans, "BUCKET_BYTES", 5000)
     monkeypatch.setattr(repeated_spans, "CHUNK", 700)

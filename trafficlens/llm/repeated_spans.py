@@ -23,6 +23,7 @@ LEFT = WIDTH - ANCHOR  # bytes of a window before its anchor, at most
 BLOCK_BYTES = 2 << 20
 CHUNK = 1 << 18  # window starts that are hashed at once
 BUCKET_BYTES = 4 << 20  # of text per bucket of anchor strings
+HOT = 1 << 16  # stretches of one anchor string that are sorted and merged in one task; more are compared window by window
 NO_ID = (1 << 63) - 1  # documents without an id count as the largest
 
 MASK48 = np.uint64((1 << 48) - 1)
@@ -87,14 +88,39 @@ class Block:
         gram, whole = gram[order], whole[order]
         new = np.r_[True, (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])] if len(order) else np.empty(0, bool)
         self.gram, self.whole, self.least, self.any = gram[new], whole[new], self.id[order][new], order[new]
-        self.pair = np.empty(len(order), np.int64)
+        self.pair = np.empty(len(order), np.int64)  # distinct stretch of every stretch
         self.pair[order] = np.cumsum(new) - 1
+        self.key = mixed(self.gram ^ mixed(self.whole + np.uint64(1)))
+        self.by_key = np.argsort(self.key, kind="stable")
+        self.group = np.flatnonzero(np.r_[True, self.gram[1:] != self.gram[:-1]]) if len(self.gram) else np.empty(0, np.int64)
+        self.group_of = np.repeat(np.arange(len(self.group)), np.diff(np.r_[self.group, len(self.gram)]))
+
+    def stretch_slices(self, buckets: int):
+        """(bucket, distinct stretches in order of their key) by ranges of the key."""
+        for bucket, i, j in ranges(self.key[self.by_key] >> np.uint64(32), buckets):
+            yield bucket, self.by_key[i:j]
+
+    def group_slices(self, buckets: int):
+        """(bucket, first, end) of the anchor strings, by ranges of their hash."""
+        return ranges(self.gram[self.group] >> np.uint64(16), buckets)
+
+    def windows(self, pairs: np.ndarray):
+        """(distinct stretch, distance to the anchor, hash) of every window of some distinct stretches."""
+        place = self.any[pairs]
+        count = (self.last - self.first)[place] + 1
+        start = np.repeat(self.first[place], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        mark = np.zeros(len(start), np.uint64)
+        with np.errstate(over="ignore"):
+            for k in range(WIDTH):
+                mark = mark * np.uint64(BASE) + self.raw[start + k] + np.uint64(1)
+        return np.repeat(pairs, count), np.repeat(self.anchor[place], count) - start, mixed(mark)
+
 
-    def slices(self, buckets: int):
-        """(bucket, first, end) of the distinct stretches, by ranges of the anchor hash."""
-        bucket = ((self.gram >> np.uint64(16)) * np.uint64(buckets)) >> np.uint64(32)
-        which, first = np.unique(bucket, return_index=True)
-        return zip(which.tolist(), first.tolist(), np.r_[first[1:], len(bucket)].tolist())
+def ranges(high: np.ndarray, buckets: int):
+    """(bucket, first, end) of sorted 32-bit numbers by equal ranges."""
+    bucket = (high * np.uint64(buckets)) >> np.uint64(32)
+    which, first = np.unique(bucket, return_index=True)
+    return zip(which.tolist(), first.tolist(), np.r_[first[1:], len(bucket)].tolist())
 
 
 def packs(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -133,46 +159,71 @@ def rows_in(batches):
             yield {name: c[k].as_py() for name, c in columns.items()}
 
 
+ASKED = "kind int, bucket long, block long, hashes binary, low binary, high binary, ids binary, at binary"
+ASKED_NAMES = [x.split()[0] for x in ASKED.split(", ")]
+STRETCH, GROUP, WINDOW = 0, 1, 2
+
+
 def known_stretches(blocks: DataFrame, buckets: int) -> DataFrame:
-    """Per (block, bucket): ``least``, the least document id of every stretch in the corpus, and ``open``, the stretches to compare.
+    """Answers to every block by (kind, bucket).
 
-    A stretch is open in the block of its least document when other stretches have the same anchor string.
+    STRETCH: ``least``, the least document id of each of its stretches in the corpus. GROUP: ``open``, for each of its anchor
+    strings 0 if all stretches with it are equal, 1 if not, 2 if there may be more than ``HOT`` of them. Both are asked
+    per distinct value of a block and dealt out by its hash, so what is frequent comes once per block.
     """
 
-    def sent(batches):
+    def asked(batches):
         for row in rows_in(batches):
-            b = Block(row)
-            out = []
-            for bucket, i, j in b.slices(buckets):
-                own, where = np.unique(b.least[i:j], return_inverse=True)
-                out.append((bucket, row["block"], packed(np.diff(b.gram[i:j], prepend=np.uint64(0))), packed(b.whole[i:j]), packed(own), packed(where.astype(np.uint32))))
-            kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 4]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out) if out else [[]] * 6, kinds)], ["bucket", "block", "grams", "wholes", "ids", "at"])
+            b, out = Block(row), []
+            for bucket, own in b.stretch_slices(buckets):
+                ids, at = np.unique(b.least[own], return_inverse=True)
+                out.append((STRETCH, bucket, row["block"], packed(np.diff(b.key[own], prepend=np.uint64(0))), None, None, packed(ids), packed(at.astype(np.uint32))))
+            ends = np.r_[b.group[1:], len(b.gram)]
+            for bucket, i, j in b.group_slices(buckets):
+                low, high = b.whole[b.group[i:j]], b.whole[ends[i:j] - 1]
+                out.append((GROUP, bucket, row["block"], packed(np.diff(b.gram[b.group[i:j]], prepend=np.uint64(0))), packed(low), packed(high - low), None, packed((ends - b.group)[i:j].astype(np.uint32))))
+            yield batch_of(out)
 
     def answered(group: pd.DataFrame) -> pd.DataFrame:
-        gram = [np.cumsum(unpacked(x, "<u8")) for x in group["grams"]]
-        sizes = [len(g) for g in gram]
-        gram, whole = np.concatenate(gram), np.concatenate([unpacked(x, "<u8") for x in group["wholes"]])
-        doc = np.concatenate([unpacked(x, "<i8")[unpacked(y, "<u4")] for x, y in zip(group["ids"], group["at"])])
-        order = np.lexsort((doc, whole, gram))
-        g, w = gram[order], whole[order]
-        new = np.r_[True, (g[1:] != g[:-1]) | (w[1:] != w[:-1])]
-        run = np.cumsum(new) - 1
-        least = doc[order][new][run]
-        anchor = np.cumsum(np.r_[True, g[1:] != g[:-1]]) - 1
-        several = np.bincount(anchor[new])[anchor] > 1
-        back = np.empty(len(order), np.int64)
-        back[order] = np.arange(len(order))
-        least, open_ = least[back], (several & (least == doc[order]))[back]
-        smaller = np.where(least < doc, least, NO_ID)  # NO_ID: none smaller than the block's own
-        cuts = np.cumsum(sizes)[:-1]
-        return pd.DataFrame({
-            "block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "least": [packed(x) for x in np.split(smaller, cuts)],
-            "open": [packed(x.astype(np.uint8)) for x in np.split(open_, cuts)],
-        })
-
-    slices = blocks.mapInArrow(sent, "bucket long, block long, grams binary, wholes binary, ids binary, at binary")
-    return written(slices.groupBy("bucket").applyInPandas(answered, "block long, bucket long, least binary, open binary"), "spans-known")
+        hashes = [np.cumsum(unpacked(x, "<u8")) for x in group["hashes"]]
+        cuts = np.cumsum([len(h) for h in hashes])[:-1]
+        _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        n = int(place.max()) + 1
+        out = {"kind": group["kind"].to_numpy(), "block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "least": None, "open": None}
+        if group["kind"].iloc[0] == STRETCH:
+            doc = np.concatenate([unpacked(x, "<i8")[unpacked(y, "<u4")] for x, y in zip(group["ids"], group["at"])])
+            least = np.full(n, NO_ID, np.int64)
+            np.minimum.at(least, place, doc)
+            smaller = np.where(least[place] < doc, least[place], NO_ID)  # NO_ID: none smaller than the block's own
+            out["least"] = [packed(x) for x in np.split(smaller, cuts)]
+        else:
+            low, wide = (np.concatenate([unpacked(x, "<u8") for x in group[c]]) for c in ("low", "high"))
+            least, most = np.full(n, MASK48, np.uint64), np.zeros(n, np.uint64)
+            np.minimum.at(least, place, low)
+            np.maximum.at(most, place, low + wide)
+            many = np.bincount(place, weights=np.concatenate([unpacked(x, "<u4") for x in group["at"]]), minlength=n) > HOT
+            code = np.where(least == most, 0, np.where(many, 2, 1)).astype(np.uint8)
+            out["open"] = [packed(x) for x in np.split(code[place], cuts)]
+        return pd.DataFrame(out)
+
+    slices = blocks.mapInArrow(asked, ASKED)
+    return written(slices.groupBy("kind", "bucket").applyInPandas(answered, "kind int, block long, bucket long, least binary, open binary"), "spans-known")
+
+
+def batch_of(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int64(), pa.int64(), *[pa.binary()] * 5]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 8, kinds)], ASKED_NAMES)
+
+
+def open_stretches(b: Block, known: pd.DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """(least id elsewhere, 0 closed / 1 to compare / 2 to compare window by window) of the block's distinct stretches."""
+    least, code = np.full(len(b.gram), NO_ID, np.int64), np.zeros(len(b.group), np.uint8)
+    answers = {(k, x): (y, z) for k, x, y, z in zip(known["kind"], known["bucket"], known["least"], known["open"])}
+    for bucket, own in b.stretch_slices(buckets):
+        least[own] = unpacked(answers[STRETCH, bucket][0], "<i8")
+    for bucket, i, j in b.group_slices(buckets):
+        code[i:j] = unpacked(answers[GROUP, bucket][1], "u1")
+    return least, np.where(least == NO_ID, code[b.group_of], 0)
 
 
 def front_coded(suffixes: list[bytes]) -> tuple[np.ndarray, bytes, np.ndarray]:
@@ -248,13 +299,20 @@ def merged(runs: list[tuple[list[bytes], list[int]]]) -> list[tuple[int, int, in
     return out
 
 
-def runs_of(row: dict, own: pd.DataFrame, buckets: int) -> list[tuple]:
-    """Sorted front-coded runs of the block's open stretches, one per bucket."""
+def runs_of(row: dict, known: pd.DataFrame, buckets: int) -> list[tuple]:
+    """Sorted front-coded runs of the block's open stretches, one per bucket; of those with a very frequent anchor string the windows."""
     b, out = Block(row), []
-    answers = {k: x for k, x in zip(own["bucket"], own["open"])}
+    _, code = open_stretches(b, known, buckets)
     text = b.raw.tobytes()
-    for bucket, i, j in b.slices(buckets):
-        pairs = np.flatnonzero(unpacked(answers[bucket], "u1")) + i
+    hot, _, mark = b.windows(np.flatnonzero(code == 2))
+    order = np.lexsort((b.least[hot], mark))
+    new = np.r_[True, mark[order][1:] != mark[order][:-1]] if len(order) else np.empty(0, bool)
+    mark, doc = mark[order][new], b.least[hot][order][new]
+    for bucket, i, j in ranges(mark >> np.uint64(32), buckets):
+        out.append((WINDOW, bucket, row["block"], *[None] * 6, packed(doc[i:j]), packed(mark[i:j]), 0))
+    for bucket, i, j in b.group_slices(buckets):
+        first, end = b.group[i], b.group[j] if j < len(b.group) else len(b.gram)
+        pairs = np.flatnonzero(code[first:end] == 1) + first
         if not len(pairs):
             continue
         places = b.any[pairs]
@@ -267,18 +325,19 @@ def runs_of(row: dict, own: pd.DataFrame, buckets: int) -> list[tuple]:
         import zstandard
 
         out.append((
-            bucket, row["block"], packed(common), zstandard.compress(rest, 3), packed(lengths), zstandard.compress(b"".join(left[k] for k in order), 3),
-            packed(sizes), packed(inner), packed(b.least[pairs][order]), packed((pairs - i)[order].astype(np.uint32)), len(rest),
+            STRETCH, bucket, row["block"], packed(common), zstandard.compress(rest, 3), packed(lengths), zstandard.compress(b"".join(left[k] for k in order), 3),
+            packed(sizes), packed(inner), packed(b.least[pairs][order]), packed(pairs[order].astype(np.uint32)), len(rest),
         ))
     return out
 
 
-RUN_SCHEMA = "bucket long, block long, common binary, rest binary, lengths binary, lefts binary, sizes binary, inner binary, ids binary, places binary, rest_size long"
+RUN_SCHEMA = "kind int, bucket long, block long, common binary, rest binary, lengths binary, lefts binary, sizes binary, inner binary, ids binary, places binary, rest_size long"
 RUN_NAMES = [x.split()[0] for x in RUN_SCHEMA.split(", ")]
 
 
 def compared(group: pd.DataFrame) -> pd.DataFrame:
-    """Windows of open stretches that also start in a smaller document: per run the places and a bit per distance to the anchor.
+    """Windows of open stretches that also start in a smaller document: per run the places and a bit per distance to the anchor;
+    of single windows the least document.
 
     The runs are merged; strings that share 50 - d bytes from the anchor are neighbours, and those of them that share the
     d bytes before it hold the same window.
@@ -286,6 +345,13 @@ def compared(group: pd.DataFrame) -> pd.DataFrame:
     import zstandard
 
     group = group.sort_values("block")
+    out = {"kind": group["kind"].to_numpy(), "block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy()}
+    if group["kind"].iloc[0] == WINDOW:
+        marks, doc = [unpacked(x, "<u8") for x in group["places"]], np.concatenate([unpacked(x, "<i8") for x in group["ids"]])
+        _, place = np.unique(np.concatenate(marks), return_inverse=True)
+        least = np.full(int(place.max()) + 1, NO_ID, np.int64)
+        np.minimum.at(least, place, doc)
+        return pd.DataFrame(out | {"places": group["places"].to_numpy(), "masks": [packed(x) for x in np.split(least[place], np.cumsum([len(m) for m in marks])[:-1])]})
     plain = zstandard.ZstdDecompressor()
     runs, left, size, inner, doc = [], [], [], [], []
     for r in group.itertuples():
@@ -317,19 +383,27 @@ def compared(group: pd.DataFrame) -> pd.DataFrame:
         mask[has[by[smaller]]] |= np.uint64(1 << d)
     back = np.empty(len(row), np.uint64)
     back[row] = mask
-    return pd.DataFrame({"block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "places": group["places"].to_numpy(), "masks": [packed(back[i:j]) for i, j in zip(begin, begin[1:])]})
+    return pd.DataFrame(out | {"places": group["places"].to_numpy(), "masks": [packed(back[i:j]) for i, j in zip(begin, begin[1:])]})
 
 
 def cleaned(row: dict, known: pd.DataFrame, windows: pd.DataFrame, buckets: int):
     """(id or None, bytes, removed runs [(start, end)]) of every document of the block."""
     b = Block(row)
-    least, masks = np.full(len(b.gram), NO_ID, np.int64), np.zeros(len(b.gram), np.uint64)
-    answers = dict(zip(known["bucket"], known["least"]))
-    places = {k: (p, m) for k, p, m in zip(windows["bucket"], windows["places"], windows["masks"])}
-    for bucket, i, j in b.slices(buckets):
-        least[i:j] = unpacked(answers[bucket], "<i8")
-        if bucket in places:
-            masks[i + unpacked(places[bucket][0], "<u4").astype(np.int64)] = unpacked(places[bucket][1], "<u8")
+    least, code = open_stretches(b, known, buckets)
+    masks = np.zeros(len(b.gram), np.uint64)
+    marks, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    for kind, at, found in zip(windows["kind"], windows["places"], windows["masks"]):
+        if kind == WINDOW:
+            marks.append(unpacked(at, "<u8"))
+            ids.append(unpacked(found, "<i8"))
+        else:
+            masks[unpacked(at, "<u4").astype(np.int64)] = unpacked(found, "<u8")
+    marks, ids = np.concatenate(marks), np.concatenate(ids)
+    if len(marks):
+        pair, apart, mark = b.windows(np.flatnonzero(code == 2))
+        order = np.argsort(marks)
+        seen = ids[order][np.searchsorted(marks[order], mark)] < b.least[pair]
+        np.bitwise_or.at(masks, pair[seen], np.uint64(1) << apart[seen].astype(np.uint64))
     change = np.zeros(len(b.raw) + 1, np.int64)
     # A stretch whose least document in the corpus or in this block is smaller is covered whole.
     whole = np.minimum(least, b.least)[b.pair] < b.id
@@ -364,8 +438,8 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` and ``removed``: array of (start, end) in bytes, for every row.
 
     A byte goes when a 50-byte string over it also starts in a document with a smaller id. Texts travel as compressed blocks,
-    hashes of their stretches as sorted slices by ranges of the anchor hash, and open stretches as front-coded sorted
-    runs. Null texts are empty; a null id is larger than any other; documents with one id do not remove from each
+    hashes of their distinct stretches as sorted slices by ranges of the hash, and open stretches as front-coded sorted runs;
+    where a very frequent anchor string would bring too many together, the hashes of their windows go instead. Null texts are empty; a null id is larger than any other; documents with one id do not remove from each
     other. An empty table gives an empty one; other columns are not read.
     """
     blocks = packs(docs, doc_id, text)
@@ -377,16 +451,14 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
         out = runs_of(pack.iloc[0].to_dict(), own, buckets) if len(pack) and len(own) else []
         return pd.DataFrame(out, columns=RUN_NAMES)
 
-    runs = blocks.groupBy("block").cogroup(known.select("block", "bucket", "open").groupBy("block")).applyInPandas(sent, RUN_SCHEMA)
-    windows = runs.groupBy("bucket").applyInPandas(compared, "block long, bucket long, places binary, masks binary")
-    answers = known.select("block", "bucket", "least", F.lit(None).cast("binary").alias("places"), F.lit(None).cast("binary").alias("masks")).unionByName(
-        windows.select("block", "bucket", F.lit(None).cast("binary").alias("least"), "places", "masks")
-    )
+    runs = blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(sent, RUN_SCHEMA)
+    windows = runs.groupBy("kind", "bucket").applyInPandas(compared, "kind int, block long, bucket long, places binary, masks binary")
+    answers = known.withColumn("known", F.lit(True)).unionByName(windows.withColumn("known", F.lit(False)), allowMissingColumns=True)
 
     def applied(pack: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         rows = []
         if len(pack):
-            first = own["least"].notna()
+            first = own["known"].astype(bool)
             for i, t, cut in cleaned(pack.iloc[0].to_dict(), own[first], own[~first], buckets):
                 rows.append((i, *digest(t, cut), [{"start": a, "end": z} for a, z in cut]))
         out = pd.DataFrame(rows, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "removed"])
