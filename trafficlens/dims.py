@@ -93,6 +93,42 @@ SELECTED_FLOW_FEATURES = (
     "Fwd Header Length",
 )
 
+ATTACK_TEXTS = {
+    "port_scan": ("Possible port scan from ", " targeting port ", " on "),
+    "ssh_login": "Possible brute force attack on SSH service",
+    "ftp_login": "Possible brute force attack on FTP service",
+    "sql": "SQL Injection attempt detected",
+    "xss": "Cross-site scripting (XSS) attempt detected",
+    "dns": "Possible DNS tunneling detected",
+    "udp": "Suspicious UDP communication between unusual ports",
+    "icmp": "Suspicious ICMP packet detected, possible network mapping",
+    "encoded": "Potential data exfiltration with encoded content",
+    "control": "Communication with potential C&C server detected",
+    "other": "Anomalous network traffic detected",
+}
+
+ATTACK_CATEGORIES = (
+    (("port scan",), "Port Scan"),
+    (("brute force",), "Brute Force"),
+    (("injection",), "Injection Attack"),
+    (("xss", "cross-site"), "XSS Attack"),
+    (("exfiltration", "data"), "Data Exfiltration"),
+    (("dns",), "DNS Attack"),
+    (("ddos", "flood"), "DDoS"),
+    (("c&c", "command", "control"), "C&C Communication"),
+)
+OTHER_CATEGORY = "Other"
+
+RISK_TEXTS = {
+    "xss": "XSS attack detected",
+    "sql": "SQL Injection attempt detected",
+    "sql_command": "SQL command injection detected",
+    "traversal": "Directory traversal attempt detected",
+    "sensitive_file": "Sensitive file access attempt",
+    "other": "Suspicious traffic pattern detected",
+    "clean": "No malicious patterns detected",
+}
+
 # --- end of fixed values ---
 
 

@@ -38,29 +38,25 @@ def attack_description(
     blank, zero = F.lit(""), F.lit(0)
     text = F.coalesce(payload, blank)
     dport, sport = F.coalesce(dport, zero), F.coalesce(sport, zero)
-    scan = F.concat(
-        F.lit("Possible port scan from "), F.coalesce(src, blank), F.lit(" targeting port "), dport.cast("string"),
-        F.lit(" on "), F.coalesce(dst, blank),
-    )
+    says = dims.ATTACK_TEXTS
+    begin, middle, end = map(F.lit, says["port_scan"])
+    scan = F.concat(begin, F.coalesce(src, blank), middle, dport.cast("string"), end, F.coalesce(dst, blank))
     login = _any(text.contains("USER"), text.contains("PASS"))
     web = dport.isin(80, 443)
     sql = _any(text.contains("'") & text.contains("SELECT"), text.contains(";"), text.contains("--"))
     xss = _any(text.contains("<script>"), text.contains("onerror="))
     return (
         F.when(tcp & (flags == 2), scan)
-        .when(tcp & (dport == 22) & login, "Possible brute force attack on SSH service")
-        .when(tcp & (dport == 21) & login, "Possible brute force attack on FTP service")
-        .when(tcp & web & sql, "SQL Injection attempt detected")
-        .when(tcp & web & xss, "Cross-site scripting (XSS) attempt detected")
-        .when(udp & (dport == 53) & (F.length(text) > 100), "Possible DNS tunneling detected")
-        .when(udp & (dport > 1024) & (sport > 1024), "Suspicious UDP communication between unusual ports")
-        .when(proto == "icmp", "Suspicious ICMP packet detected, possible network mapping")
-        .when(text.contains("BASE64"), "Potential data exfiltration with encoded content")
-        .when(
-            _any(*[text.contains(e) for e in dims.CONTROL_ENDPOINTS]),
-            "Communication with potential C&C server detected",
-        )
-        .otherwise("Anomalous network traffic detected")
+        .when(tcp & (dport == 22) & login, says["ssh_login"])
+        .when(tcp & (dport == 21) & login, says["ftp_login"])
+        .when(tcp & web & sql, says["sql"])
+        .when(tcp & web & xss, says["xss"])
+        .when(udp & (dport == 53) & (F.length(text) > 100), says["dns"])
+        .when(udp & (dport > 1024) & (sport > 1024), says["udp"])
+        .when(proto == "icmp", says["icmp"])
+        .when(text.contains("BASE64"), says["encoded"])
+        .when(_any(*[text.contains(e) for e in dims.CONTROL_ENDPOINTS]), says["control"])
+        .otherwise(says["other"])
     )
 
 
@@ -72,34 +68,26 @@ def packet_attack_description(prefix: str = "") -> Column:
 
 def attack_category(description: Column) -> Column:
     text = F.lower(F.coalesce(description, F.lit("Unknown")))
-    has = text.contains
-    return (
-        F.when(has("port scan"), "Port Scan")
-        .when(has("brute force"), "Brute Force")
-        .when(has("injection"), "Injection Attack")
-        .when(has("xss") | has("cross-site"), "XSS Attack")
-        .when(has("exfiltration") | has("data"), "Data Exfiltration")
-        .when(has("dns"), "DNS Attack")
-        .when(has("ddos") | has("flood"), "DDoS")
-        .when(has("c&c") | has("command") | has("control"), "C&C Communication")
-        .otherwise("Other")
-    )
+    found = F.lit(dims.OTHER_CATEGORY)
+    for marks, category in reversed(dims.ATTACK_CATEGORIES):
+        found = F.when(_any(*[text.contains(m) for m in marks]), category).otherwise(found)
+    return found
 
 
 def risk_flags(payload: Column, is_malicious: Column) -> Column:
     """Array of risk texts for a packet with payload; NULL without payload."""
     upper, lower, has = F.upper(payload), F.lower(payload), payload.contains
     tests = {
-        "XSS attack detected": has("<script>") | has("onerror="),
-        "SQL Injection attempt detected": has("'") & (upper.contains("SELECT") | upper.contains("UNION")),
-        "SQL command injection detected": has("--")
+        "xss": has("<script>") | has("onerror="),
+        "sql": has("'") & (upper.contains("SELECT") | upper.contains("UNION")),
+        "sql_command": has("--")
         | (has(";") & (upper.contains("DROP") | upper.contains("UPDATE"))),
-        "Directory traversal attempt detected": has("..") & (has("/") | has("\\")),
-        "Sensitive file access attempt": lower.contains("passwd") | lower.contains("shadow"),
+        "traversal": has("..") & (has("/") | has("\\")),
+        "sensitive_file": lower.contains("passwd") | lower.contains("shadow"),
     }
-    found = F.array_compact(F.array(*[F.when(test, text) for text, test in tests.items()]))
-    found = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("Suspicious traffic pattern detected")))
-    clean = F.array(F.lit("No malicious patterns detected"))
+    found = F.array_compact(F.array(*[F.when(test, dims.RISK_TEXTS[name]) for name, test in tests.items()]))
+    found = F.when(F.size(found) > 0, found).otherwise(F.array(F.lit(dims.RISK_TEXTS["other"])))
+    clean = F.array(F.lit(dims.RISK_TEXTS["clean"]))
     return F.when(F.length(payload) > 0, F.when(_true(is_malicious), found).otherwise(clean))
 
 
