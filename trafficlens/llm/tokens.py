@@ -20,7 +20,7 @@ from trafficlens.session import new_folder
 END = 1
 SHARD_BYTES = 32 << 20  # of text
 KEYS_PER_BUCKET = 1 << 16
-CACHED = 600_000  # encoded pieces that a worker process keeps
+CACHED = 300_000  # encoded pieces that a worker process keeps
 NULL_KEY = 1 << 62
 
 
