@@ -32,12 +32,12 @@ def _(spark, sf):
     return files.read_json(spark, path, FLOW_SCHEMA)
 
 
-@query("s5_append_detections", over(f'select id, {time_text(chr(34) + "timestamp" + chr(34))} as "timestamp", src_ip, dst_port, is_malicious, confidence from detections', "detections"))
+@query("s5_append_detections", over(f'select id, {time_text(chr(34) + "timestamp" + chr(34))} as "timestamp", src_ip, dst_port, is_malicious, confidence, 35 as width from detections', "detections"))
 def _(spark, sf):
-    store, rows = Store(spark, new_folder(spark, "store")), V.detections(spark, sf)
+    store, rows = Store(spark, new_folder(spark, "store")), V.detections(spark, sf, vectors=True)
     store.append("detections", rows.filter("is_malicious"))
     store.append("detections", rows.filter("not is_malicious"))
-    stored = store.read("detections").select("id", "timestamp", "src_ip", "dst_port", "is_malicious", "confidence")
+    stored = store.read("detections").select("id", "timestamp", "src_ip", "dst_port", "is_malicious", "confidence", F.size("feature_data").alias("width"))
     return stored.withColumn("timestamp", X.time_text(F.col("timestamp")))
 
 
@@ -51,7 +51,7 @@ def _(spark, sf):
 @query("s7_append_feedback", over("select id, label, alert_id, 35 as width, round(port_value, 6) as port_value, round(size_value, 6) as size_value from feedback", "feedback"))
 def _(spark, sf):
     store = Store(spark, new_folder(spark, "store"))
-    store.append("model_feedback", V.feedback(spark, sf))
+    store.append("model_feedback", V.feedback(spark, sf, vectors=True))
     vector = F.col("feature_data")
     values = [F.round(vector[FEATURE_NAMES.index(n)], 6).alias(a) for n, a in (("dest_port_numeric", "port_value"), ("packet_size", "size_value"))]
     return store.read("model_feedback").select("id", "label", "alert_id", F.size(vector).alias("width"), *values)

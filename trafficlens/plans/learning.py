@@ -265,9 +265,9 @@ def _(spark, sf):
 
 @query("m14_retrain_from_feedback", over("select 'logistic_regression' as model_type, 'retraining' as training_type, count(distinct alert_id) as dataset_size, 35 as width from feedback", "feedback"))
 def _(spark, sf):
-    d = V.detections(spark, sf)
+    d = V.detections(spark, sf, vectors=True)
     base = d.select(F.col("feature_data").alias("features"), F.col("is_malicious").cast("int").alias("label"))
-    result = MD.retrain(base, V.feedback(spark, sf), "logistic_regression")
+    result = MD.retrain(base, V.feedback(spark, sf, vectors=True), "logistic_regression")
     if result is None:
         return V.training_history(spark, sf).limit(0)
     model, row = result

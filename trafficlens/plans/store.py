@@ -174,7 +174,7 @@ def _(spark, sf):
 
 @query("l3_latest_feedback", over('select id, label, round(port_value, 6) as port_value from (select * from feedback order by "timestamp" desc, id desc limit 1000) q', "feedback"))
 def _(spark, sf):
-    stored = V.feedback(spark, sf).withColumn("feature_json", F.to_json("feature_data"))
+    stored = V.feedback(spark, sf, vectors=True).withColumn("feature_json", F.to_json("feature_data"))
     newest = RK.newest(stored, 1000)
     decoded = F.from_json("feature_json", "array<double>")
     return newest.select("id", "label", F.round(decoded[3], 6).alias("port_value"))

@@ -71,14 +71,15 @@ def packets(spark: SparkSession, folder: str) -> DataFrame:
     return packets_from_events(table(spark, folder, "events"))
 
 
-def detections(spark: SparkSession, folder: str) -> DataFrame:
-    """One detection per packet, with its vector."""
+def detections(spark: SparkSession, folder: str, vectors: bool = False) -> DataFrame:
+    """One detection per packet; ``vectors`` fills ``feature_data`` with the 35 values, else it is NULL."""
     from trafficlens.operators.alerts import detections_from
     from trafficlens.operators.features import feature_vectors
 
     scored = scored_packets(spark, folder)
-    vectors = feature_vectors(scored, keep=tuple(c for c in scored.columns if c != "packet_id"))
-    return detections_from(vectors, "features")
+    if not vectors:
+        return detections_from(scored)
+    return detections_from(feature_vectors(scored, keep=tuple(c for c in scored.columns if c != "packet_id")), "features")
 
 
 def scored_packets(spark: SparkSession, folder: str) -> DataFrame:
@@ -116,12 +117,12 @@ def decisions(spark: SparkSession, folder: str) -> DataFrame:
     return d.select(rules.alert_id(F.col("id")).alias("alert_id"), F.explode(log).alias("e")).select("alert_id", "e.*")
 
 
-def feedback(spark: SparkSession, folder: str) -> DataFrame:
-    """Feedback row per final reviewer verdict, keyed by the detection."""
+def feedback(spark: SparkSession, folder: str, vectors: bool = False) -> DataFrame:
+    """Feedback row per final reviewer verdict, keyed by the detection; ``vectors`` as in :func:`detections`."""
     from trafficlens.operators.alerts import feedback_from, resolve_status
 
     resolved = resolve_status(alerts(spark, folder), decisions(spark, folder))
-    return feedback_from(resolved, detections(spark, folder))
+    return feedback_from(resolved, detections(spark, folder, vectors))
 
 
 def training_history(spark: SparkSession, folder: str) -> DataFrame:
