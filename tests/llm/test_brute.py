@@ -177,6 +177,34 @@ def test_every_state_spends_all_probability(spark, docs):
         assert total == pytest.approx(1, abs=1e-9)
 
 
+def test_language_model_keeps_rare_ngrams_in_large_corpora(spark, monkeypatch):
+    """A passage that three of 200,000 training tokens' texts share is known, and scores are those of the whole automaton."""
+    import numpy as np
+
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 100_000)
+    rnd = random.Random(8)
+    passage = " ".join(f"rare{i}" for i in range(30))
+    rows = [(i, " ".join(f"w{int(rnd.paretovariate(0.7)) % 5000}" for _ in range(1000))) for i in range(200)] + [(1000 + i, passage) for i in range(4)]
+    df, held = spark.createDataFrame(rows, "doc_id long, text string").repartition(3), F.col("doc_id").isin(1003, 7, 8)
+    got = {r["doc_id"]: r for r in language_model.score(df, held).collect()}
+    # Each word but the first two is certain up to the discount: (3 - 0.75) / 3 at least.
+    assert got[1003]["held_out"] and got[1003]["score"] > got[1003]["base_score"] / 5
+
+    packs = language_model.blocks(df, "doc_id", "text", held)
+    assert packs.count() > 3
+    n = packs.agg(F.sum("n_train")).first()[0]
+    answers = language_model.totals(packs, 3, 2)
+    top = sorted((h % (1 << 64), c) for r in answers.collect() for h, c in zip(r["heads"], r["head_counts"]))
+    heads, counts = np.array([h for h, _ in top], np.uint64), np.array([c for _, c in top])
+    single = np.log10((counts + 0.1) / (n + 0.1 * (answers.agg(F.sum("types")).first()[0] + 1)))
+    model = language_model.automaton(packs, heads, counts, single.tolist(), 2, 3)
+    for row in packs.collect():
+        hashes, tokens, ends, ids = (language_model.unpacked(row[c], k) for c, k in (("hashes", "<u8"), ("tokens", "<u4"), ("ends", "<i8"), ("ids", "<i8")))
+        gains = language_model.walk(model, language_model.head_words(hashes, tokens, heads), np.r_[0, ends[:-1]], ends)
+        for i, gain in zip(ids.tolist(), gains):
+            assert got[i]["score"] - got[i]["base_score"] == pytest.approx(gain, abs=1e-6)
+
+
 def test_token_files(spark, docs, folder, monkeypatch):
     from tokenizers import Tokenizer
 

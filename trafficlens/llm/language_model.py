@@ -1,4 +1,4 @@
-"""LM scoring: smoothed word n-grams as a weighted backoff automaton that every text walks once."""
+"""LM scoring: smoothed word n-grams as a weighted backoff automaton; every block of texts walks the part of it that it meets."""
 
 from dataclasses import dataclass
 from math import log10
@@ -15,7 +15,7 @@ from trafficlens.llm.common import written
 ADD = 0.1  # added to every count of the unigram model
 DISCOUNT = 0.75  # taken from every kept longer n-gram
 ORDER = 3
-SHARE = 2e-5  # n-grams with at least this share of the training tokens become states, so 50,000 of each order at most
+LEAST = 2  # longer n-grams that occur so often in the training texts are kept, at any size of corpus
 BLOCK_BYTES = 8 << 20  # of text that is scored with one extract of the model
 END = b"\n"  # the end token: no word contains it
 
@@ -88,7 +88,34 @@ def blocks(docs: DataFrame, doc_id: str, text: str, held: Column) -> DataFrame:
     return written(rows.mapInArrow(batched, BLOCK_SCHEMA), "lm-blocks")
 
 
-def totals(packs: DataFrame, buckets: int, least: float) -> DataFrame:
+def sliced(block: int, hashes: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """The sorted hashes of a block and their values, cut by the bucket of the hash."""
+    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    which, first = np.unique(bucket, return_index=True)
+    cuts = list(zip(first, np.r_[first[1:], len(hashes)]))
+    columns = [pa.array([packed(np.diff(hashes[i:j], prepend=np.uint64(0))) for i, j in cuts], pa.binary()), pa.array([packed(values[i:j]) for i, j in cuts], pa.binary())]
+    return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), pa.array(np.full(len(which), block)), *columns], ["bucket", "block", "hashes", "counts"])
+
+
+SLICES = "bucket long, block long, hashes binary, counts binary"
+
+
+def slice_hashes(group: pd.DataFrame) -> list[np.ndarray]:
+    return [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in group["hashes"]]
+
+
+def per_slice(values: np.ndarray, hashes: list[np.ndarray]) -> list[bytes]:
+    return [packed(x) for x in np.split(values, np.cumsum([len(h) for h in hashes])[:-1])]
+
+
+def sorted_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that sorts the keys, and where each distinct key starts in it; leaner than ``np.unique``."""
+    order = np.argsort(keys)
+    ranked = keys[order]
+    return order, np.flatnonzero(np.r_[np.ones(min(len(keys), 1), bool), ranked[1:] != ranked[:-1]])
+
+
+def totals(packs: DataFrame, buckets: int, least: float = float("inf")) -> DataFrame:
     """Corpus counts of the words, back to every block that has them, by ranges of the hash.
 
     A block sends each bucket the slice of its sorted hashes that falls into it, with its counts; the bucket adds up the
@@ -96,41 +123,147 @@ def totals(packs: DataFrame, buckets: int, least: float) -> DataFrame:
     times, and their counts) are on one row of each bucket.
     """
 
-    def sliced(batches):
+    def dealt(batches):
         for b in batches:
             for block, hashes, counts in zip(*(b.column(c).to_pylist() for c in ("block", "hashes", "counts"))):
-                h, c = unpacked(hashes, "<u8"), unpacked(counts, "<u4")
-                bucket = ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-                which, first = np.unique(bucket, return_index=True)
-                last = np.r_[first[1:], len(h)]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(which.astype(np.int64)), pa.array(np.full(len(which), block)),
-                        pa.array([packed(h[i:j]) for i, j in zip(first, last)], pa.binary()), pa.array([packed(c[i:j]) for i, j in zip(first, last)], pa.binary()),
-                    ],
-                    ["bucket", "block", "hashes", "counts"],
-                )
+                yield sliced(block, unpacked(hashes, "<u8"), unpacked(counts, "<u4"), buckets)
 
     def answered(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = [unpacked(x, "<u8") for x in group["hashes"]]
+        hashes = slice_hashes(group)
         known, place = np.unique(np.concatenate(hashes), return_inverse=True)
         counts = np.bincount(place, weights=np.concatenate([unpacked(x, "<u4") for x in group["counts"]])).astype(np.int64)
-        parts = np.split(counts[place], np.cumsum([len(h) for h in hashes])[:-1])
         n, top = len(group), np.flatnonzero((counts >= least) & (counts > 0))
         return pd.DataFrame({
-            "block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "totals": [packed(p) for p in parts],
+            "block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "totals": per_slice(counts[place], hashes),
             "types": [int((counts > 0).sum())] + [0] * (n - 1),
             "heads": [known[top].view(np.int64).tolist()] + [[]] * (n - 1), "head_counts": [counts[top].tolist()] + [[]] * (n - 1),
         })
 
-    slices = packs.select("block", "hashes", "counts").mapInArrow(sliced, "bucket long, block long, hashes binary, counts binary")
+    slices = packs.select("block", "hashes", "counts").mapInArrow(dealt, SLICES)
     schema = "block long, bucket long, totals binary, types long, heads array<long>, head_counts array<long>"
     return written(slices.groupBy("bucket").applyInPandas(answered, schema), "lm-totals")
 
 
+def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """64-bit hashes of n-grams from those of their first words and of their last word."""
+    x = left * np.uint64(0x9E3779B97F4A7C15) + right
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return x ^ (x >> np.uint64(31))
+
+
+@dataclass
+class Grams:
+    """The n-grams of two words or more of a block.
+
+    ``keys``: their sorted distinct hashes; ``size`` and ``before``: words, and hash of all but the last, of each; ``at``: per
+    order from two the places of the block where one ends, and their numbers among ``keys``.
+    """
+
+    keys: np.ndarray
+    size: np.ndarray
+    before: np.ndarray
+    at: list[tuple[np.ndarray, np.ndarray]]
+
+    @classmethod
+    def of(cls, hashes: np.ndarray, tokens: np.ndarray, ends: np.ndarray, order: int) -> "Grams":
+        word = hashes[tokens]
+        place = np.arange(len(word), dtype=np.int32) - np.repeat(np.r_[0, ends[:-1]].astype(np.int32), np.diff(ends, prepend=0))
+        every, spots = [word], []
+        for n in range(1, order):
+            longer = np.zeros_like(word)
+            longer[1:] = mixed(every[-1][:-1], word[1:])
+            every.append(longer)
+            spots.append(np.flatnonzero(place >= n).astype(np.int32))
+        del place
+        found = np.concatenate([key[spot] for key, spot in zip(every[1:], spots)])
+        ranks, start = sorted_runs(found)
+        first = ranks[start]
+        keys, number = found[first], np.empty(len(found), np.int32)
+        del found
+        number[ranks] = np.repeat(np.arange(len(start), dtype=np.int32), np.diff(start, append=len(ranks)))
+        del ranks, start
+        cuts = np.cumsum([0, *[len(x) for x in spots]])
+        size, before = np.empty(len(keys), np.uint8), np.empty(len(keys), np.uint64)
+        for k, spot in enumerate(spots):
+            own = np.flatnonzero((first >= cuts[k]) & (first < cuts[k + 1]))
+            size[own], before[own] = k + 2, every[k][spot[first[own] - cuts[k]] - 1]
+        return cls(keys, size, before, list(zip(spots, np.split(number, cuts[1:-1]))))
+
+
+def gram_totals(packs: DataFrame, buckets: int, order: int, least: int) -> DataFrame:
+    """Corpus counts of the longer n-grams, back to every block that has them, by ranges of the hash like those of the words.
+
+    ``totals`` are zero below ``least``, else twice the count, and one more in one block of each n-gram: there it is listed.
+    """
+
+    def dealt(batches):
+        for b in batches:
+            for block, hashes, tokens, ends, marks in zip(*(b.column(c).to_pylist() for c in ("block", "hashes", "tokens", "ends", "marks"))):
+                ends = unpacked(ends, "<i8")
+                grams = Grams.of(unpacked(hashes, "<u8"), unpacked(tokens, "<u4"), ends, order)
+                learnt = np.repeat(unpacked(marks, "u1") & 1 == 0, np.diff(ends, prepend=0))
+                times = sum(np.bincount(number[learnt[spot]], minlength=len(grams.keys)) for spot, number in grams.at)
+                yield sliced(block, grams.keys, times.astype(np.uint32), buckets)
+
+    def answered(group: pd.DataFrame) -> pd.DataFrame:
+        hashes = slice_hashes(group)
+        ranks, start = sorted_runs(np.concatenate(hashes))
+        counts = np.add.reduceat(np.concatenate([unpacked(x, "<u4") for x in group["counts"]])[ranks], start, dtype=np.int64) if len(start) else start
+        value = np.empty(len(ranks), np.int64)
+        value[ranks] = np.repeat(np.where(counts >= least, 2 * counts, 0), np.diff(start, append=len(ranks)))
+        value[ranks[start]] += counts >= least
+        return pd.DataFrame({"block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "totals": per_slice(value, hashes)})
+
+    slices = packs.select("block", "hashes", "tokens", "ends", "marks").mapInArrow(dealt, SLICES)
+    return written(slices.groupBy("bucket").applyInPandas(answered, "block long, bucket long, totals binary"), "lm-grams")
+
+
+def parts(own: pd.DataFrame, kind: str, dtype: str) -> np.ndarray:
+    """The answers of one kind to a block, in the order of its sorted hashes."""
+    rows = own[own["kind"] == kind].sort_values("bucket")["totals"]
+    return np.concatenate([np.empty(0, dtype), *[unpacked(x, dtype) for x in rows]])
+
+
+def contexts(hashes: np.ndarray, words: np.ndarray, grams: Grams, value: np.ndarray, order: int, least: int) -> np.ndarray:
+    """Sorted hashes of the n-grams of a block that kept longer n-grams may begin with."""
+    return np.sort(np.r_[hashes[words >= least], grams.keys[(value > 0) & (grams.size < order)]])
+
+
+def spent(packs: DataFrame, answers: DataFrame, buckets: int, order: int, least: int) -> DataFrame:
+    """What the kept continuations of a context take of its count, sum of c - D, back to every block that has the context.
+
+    Counts are added up from the blocks' own occurrences; the discount is taken once, where the n-gram is listed.
+    """
+
+    def dealt(pack: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        if not len(pack):
+            return pd.DataFrame({c: [] for c in ("bucket", "block", "hashes", "counts")})
+        row = pack.iloc[0]
+        hashes, ends = unpacked(row["hashes"], "<u8"), unpacked(row["ends"], "<i8")
+        grams, value = Grams.of(hashes, unpacked(row["tokens"], "<u4"), ends, order), parts(own, "gram", "<i8")
+        asked = contexts(hashes, parts(own, "word", "<i8"), grams, value, order, least)
+        learnt = np.repeat(unpacked(row["marks"], "u1") & 1 == 0, np.diff(ends, prepend=0))
+        times = sum(np.bincount(number[learnt[spot]], minlength=len(grams.keys)) for spot, number in grams.at)
+        kept = np.flatnonzero(value)
+        taken = np.bincount(np.searchsorted(asked, grams.before[kept]), weights=times[kept] - DISCOUNT * (value[kept] & 1), minlength=len(asked))
+        return sliced(row["block"], asked, taken, buckets).to_pandas()
+
+    def answered(group: pd.DataFrame) -> pd.DataFrame:
+        hashes = slice_hashes(group)
+        _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        taken = np.bincount(place, weights=np.concatenate([unpacked(x, "<f8") for x in group["counts"]]))
+        return pd.DataFrame({"block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "totals": per_slice(taken[place], hashes)})
+
+    slices = packs.select("block", "hashes", "tokens", "ends", "marks").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(dealt, SLICES)
+    return written(slices.groupBy("bucket").applyInPandas(answered, "block long, bucket long, totals binary"), "lm-spent")
+
+
 @dataclass
 class Automaton:
-    """States are the empty context and the kept n-grams shorter than the order; a word without an arc follows the failure arc.
+    """The whole model in one place, for texts whose n-grams fit it; ``score`` gives the same without one.
+
+    States are the empty context and the kept n-grams shorter than the order; a word without an arc follows the failure arc.
 
     ``arcs``: per context (tuple of head words) the kept next words and their log10 probability; ``fail``: per context the log10
     weight of its failure arc, which leads to the context without its first word. Words beyond the heads have no arcs.
@@ -176,7 +309,7 @@ def grams(packs: DataFrame, heads: np.ndarray, kept: np.ndarray, order: int, lea
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], ["key", "n"])
 
     rows = packs.select("hashes", "tokens", "ends", "marks").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return {r["key"]: r["n"] for r in rows.collect()}  # 1 / SHARE at most
+    return {r["key"]: r["n"] for r in rows.collect()}
 
 
 def head_words(hashes, tokens, heads) -> np.ndarray:
@@ -225,47 +358,65 @@ def end_hash() -> int:
     return xxhash.xxh64_intdigest(END)
 
 
-def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, share: float = SHARE) -> DataFrame:
+def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     The model learns from the rows where ``held`` is not true. Words are A-Z lower-cased runs between blanks, with one end
-    token per text; null and empty texts have the end only. The unigram model covers all words. Longer n-grams are kept
-    from a share of the training tokens on, which bounds their number by 1 / ``share`` at any size of corpus, so the automaton
-    goes to every task; word counts never do: each block of texts gets those of its own words. Repeated rows are scored
-    (and counted) each time; rows with a null id learn. An empty table gives an empty one; other columns are not read.
+    token per text; null and empty texts have the end only. The unigram model covers all words. All longer n-grams that occur
+    ``least`` times are kept, however large the corpus; no task or driver has them all: each block of texts gets the counts of
+    its own words, and the arcs and failure weights of its own n-grams. Repeated rows are scored (and counted) each time; rows
+    with a null id learn. An empty table gives an empty one; other columns are not read.
     """
     packs = blocks(docs, doc_id, text, held)
     n, n_blocks = packs.agg(F.sum("n_train"), F.count(F.lit(1))).first()
-    n = n or 0
-    answers = totals(packs, max(n_blocks, 1), share * n)
-    types = answers.agg(F.sum("types")).first()[0] or 0
-    top = sorted((h % (1 << 64), c) for r in answers.filter(F.size("heads") > 0).select("heads", "head_counts").collect() for h, c in zip(*r))
-    heads, counts = np.array([h for h, _ in top], np.uint64), np.array([c for _, c in top], np.int64)
-    chance = lambda c: np.log10((c + ADD) / (n + ADD * (types + 1)))
-    model = docs.sparkSession.sparkContext.broadcast(automaton(packs, heads, counts, chance(counts).tolist(), share * n, order))
+    n, buckets = n or 0, max(n_blocks, 1)
+    word_rows = totals(packs, buckets)
+    types = word_rows.agg(F.sum("types")).first()[0] or 0
+    of_kind = lambda rows, kind: rows.select("block", "bucket", "totals", F.lit(kind).alias("kind"))
+    answers = of_kind(word_rows, "word")
+    if order > 1:
+        answers = answers.unionByName(of_kind(gram_totals(packs, buckets, order, least), "gram"))
+        answers = answers.unionByName(of_kind(spent(packs, answers, buckets, order, least), "spent"))
 
     def scored(pack: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(pack):
             return pd.DataFrame({c: [] for c in ("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score")})
         row = pack.iloc[0]
         hashes, tokens, ends = unpacked(row["hashes"], "<u8"), unpacked(row["tokens"], "<u4"), unpacked(row["ends"], "<i8")
-        total = np.concatenate([unpacked(x, "<i8") for x in own.sort_values("bucket")["totals"]])
-        first = np.r_[0, ends[:-1]]
-        base = np.add.reduceat(chance(total)[tokens], first)
-        gains = walk(model.value, head_words(hashes, tokens, heads), first, ends)
+        total, first = parts(own, "word", "<i8"), np.r_[0, ends[:-1]]
+        single = (total + ADD) / (n + ADD * (types + 1))
+        base = np.add.reduceat(np.log10(single)[tokens], first)
+        chance = single[tokens]
+        if order > 1:
+            extend(chance, hashes, tokens, ends, total, own)
         marks = unpacked(row["marks"], "u1")
         return pd.DataFrame({
             "doc_id": pd.arrays.IntegerArray(unpacked(row["ids"], "<i8").copy(), marks & 2 > 0), "held_out": marks & 1 > 0, "n_tokens": ends - first,
-            "n_known": np.add.reduceat((total > 0).astype(np.int64)[tokens], first), "base_score": base, "score": base + gains,
+            "n_known": np.add.reduceat((total > 0).astype(np.int64)[tokens], first), "base_score": base, "score": np.add.reduceat(np.log10(chance), first),
         })
 
+    def extend(chance, hashes, tokens, ends, total, own):
+        """Puts the chance after the words before in place of that of the word alone, order by order at all places at once."""
+        grams, value = Grams.of(hashes, tokens, ends, order), parts(own, "gram", "<i8")
+        asked, taken = contexts(hashes, total, grams, value, order, least), parts(own, "spent", "<f8")
+        # Of the context that ends at each place: its count, and what its continuations take of it.
+        spot = lambda keys: np.minimum(np.searchsorted(asked, keys), max(len(asked) - 1, 0))
+        share = lambda keys: np.where(asked[spot(keys)] == keys, taken[spot(keys)], 0.0) if len(asked) else np.zeros(len(keys))
+        count, used = total[tokens], share(hashes)[tokens]
+        for places, number in grams.at:
+            times, whole = (value >> 1)[number], np.maximum(count[places - 1], 1)
+            arc = np.where(times > 0, (times - DISCOUNT) / whole, 0.0)
+            chance[places] = arc + (1 - used[places - 1] / whole) * chance[places]
+            count, used = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
+            count[places], used[places] = times, share(grams.keys)[number]
+
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    rows = packs.drop("counts", "n_train").groupBy("block").cogroup(answers.select("block", "bucket", "totals").groupBy("block")).applyInPandas(scored, schema)
+    rows = packs.drop("counts", "n_train").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, schema)
     return rows.withColumn("train_tokens", F.lit(n).cast("long"))
 
 
 def walk(model: Automaton, words: np.ndarray, first, ends) -> np.ndarray:
-    """Log10 gain of every text over the unigram model: one pass over its tokens that carries the state. Transitions are remembered."""
+    """Log10 gain of every text over the unigram model, by the whole automaton: one pass over its tokens that carries the state. Transitions are remembered."""
     numbers: dict[tuple[int, ...], int] = {(): 0}
     names: list[tuple[int, ...]] = [()]
     width, steps, out = len(model.single) + 1, {}, np.zeros(len(ends))
