@@ -255,6 +255,15 @@ def test_urls(spark):
         assert got[i][3] == rules[rule] if rule else got[i][3] in ("allow", "block")
 
 
+def test_url_rules_learn_the_labels_as_given(spark):
+    """Pages below an explicit block rule that are labelled allow do not teach that their tokens are blocked."""
+    urls = [f"http://a{i % 3}.net/shop/{i}" for i in range(30)] + ["http://b.info/shop/1"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, "allow") for i in range(30)], "id long, label string")
+    got = {r["page"]["page_id"]: r["verdict"] for r in url_filters.judge(pages, labels, default="none").collect()}
+    assert {got[i] for i in range(30)} == {"block"} and got[30] == "allow"
+
+
 def test_url_rules_are_those_of_counting(spark, folder):
     """Mined rules have the support and confidence that counting gives, and matching finds the best of them."""
     rnd = random.Random(4)

@@ -78,8 +78,8 @@ def match(sets: DataFrame, rules: DataFrame) -> DataFrame:
 def judge(pages: DataFrame, labels: DataFrame, rules=RULES, url: str = "url", key: str = "page_id", default: str = "allow") -> DataFrame:
     """``page`` (struct of the input row), ``host``, ``path``, ``rule``, ``verdict``.
 
-    ``labels`` has ``id`` and ``label`` (verdict). Training rows are the labelled pages; where an explicit rule fits, its verdict
-    is their label. Pages without a fitting rule get the verdict of the best association rule, else ``default``. A null or
+    ``labels`` has ``id`` and ``label`` (verdict). Training rows are the labelled pages with their labels as given;
+    explicit rules decide only here. Pages without a fitting rule get the verdict of the best association rule, else ``default``. A null or
     unparsable url has an empty host and path, few or no tokens, and usually the default. Repeated rows repeat their
     verdict; repeated labels of a page all count; null ids have no label. Other columns are only carried inside ``page``.
     """
@@ -87,7 +87,7 @@ def judge(pages: DataFrame, labels: DataFrame, rules=RULES, url: str = "url", ke
     parsed = pages.select(F.struct("*").alias("page"), F.col(key).alias("id"), F.col(url).alias("url"), host.alias("host"), path.alias("path"))
     rule, verdict = explicit(F.col("host"), F.col("path"), rules)
     judged = parsed.select("page", "id", "host", "path", rule.alias("rule"), verdict.alias("explicit"), tokens_of(F.col("url"), F.col("host"), F.col("path")).alias("tokens"))
-    known = judged.select("id", "tokens", "explicit").join(labels.select("id", "label"), "id")
-    mined = mine(known.select("tokens", F.coalesce("explicit", "label").alias("label")))
+    known = judged.select("id", "tokens").join(labels.select("id", "label"), "id")
+    mined = mine(known.select("tokens", "label"))
     best = match(judged.filter("explicit is null").select("tokens").distinct(), mined)
     return judged.join(best, "tokens", "left").select("page", "host", "path", "rule", F.coalesce("explicit", "verdict", F.lit(default)).alias("verdict"))
