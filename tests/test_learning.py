@@ -138,3 +138,10 @@ def test_training_job(spark, folder):
     r = row.first()
     assert r["training_type"] == "initial" and r["dataset_size"] > 700 and 0 <= r["accuracy"] <= 1
     assert MD.score(P.prepare(rows, preparation), model).count() == 1000
+
+
+def test_training_job_on_all_columns_learns_most_packets(spark, folder):
+    import __spark_entry__ as E
+
+    r = E.queries()["m13_training_job_all_columns"](spark, folder).first()
+    assert r["dataset_size"] > 700 and (r["precision"], r["f1_score"], r["false_positive_rate"]) == (1.0, 1.0, 0.0)
