@@ -93,3 +93,79 @@ def unigrams(docs):
         (i, held(i), len(ws), sum(counts[w] > 0 for w in ws), n, sum(log10((counts[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws))
         for (i, _), ws in zip(docs, texts)
     ]
+
+
+def runs(ws, least=6, times=4):
+    """[(start, length, period)] of the words' runs by trying every period."""
+    found = {}
+    for q in range(1, len(ws) // times + 1):
+        i = 0
+        while i + q < len(ws):
+            start = i
+            while i + q < len(ws) and ws[i] == ws[i + q]:
+                i += 1
+            if i - start + q >= max(least, times * q) and i > start:
+                found.setdefault((start, i - start + q), q)
+            i += 1
+    return sorted(((s, n, q) for (s, n), q in found.items()), key=lambda r: (r[0], r[2]))
+
+
+def looped(doc_id, ws):
+    h, n = zlib.crc32(str(doc_id).encode()), len(ws)
+    if doc_id is None or h % 10 or not n:
+        return ws
+    g = h // 10
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return [ws[i] if i < a else ws[a + (i - a) % p] for i in range(n)]
+
+
+def periodic(doc_id, text):
+    """(number of runs, start, length, period, exponent, two hashes)."""
+    ws = looped(doc_id, words(text))
+    found = runs(ws)
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    best = max(found, key=lambda r: (r[1], -r[0], -r[2]), default=(None, None, None))
+    exponent = 1000 * best[1] // best[2] if found else None
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    return (len(found), *best, exponent, sha("".join(f"{s},{n},{q}\n" for s, n, q in found)), sha(" ".join(w for i, w in enumerate(ws) if i not in gone)))
+
+
+def ranked(docs, items, k=10):
+    """[(item id, rank, doc id, score)] over every pair."""
+    from math import floor, log
+
+    terms = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", lower(t))
+    own = [(i, Counter(terms(t))) for i, t in docs]
+    n_docs, n_terms = sum(bool(c) for _, c in own), sum(sum(c.values()) for _, c in own)
+    df = Counter(t for _, c in own for t in c)
+    out = []
+    for item, t in items:
+        scores = []
+        for i, c in own:
+            m = 25 + 75 * sum(c.values()) * n_docs // max(n_terms, 1)
+            s = sum(n * floor(1000 * log((2 * n_docs + 2) / (2 * df[x] + 1))) * (1000000000 * c[x] // (1000 * c[x] + 8 * m)) for x, n in Counter(terms(t)).items() if c[x])
+            if s > 0:
+                scores.append((-s, i is None, i or 0, i))
+        out += [(item, r, i, -s) for r, (s, _, _, i) in enumerate(sorted(scores)[:k], 1)]
+    return out
+
+
+def convolved(network, text):
+    """Chance of each language for one text, by loops over windows, filters and places."""
+    import math
+
+    w = {k: v.astype(float).tolist() for k, v in network.weights.items()}
+    total, weights = [0.0] * len(network.languages), 0.0
+    for k in range(0, max(len(text), 1), 128):
+        own = text[k : k + 128]
+        x = list(own) + [0] * (132 - len(own))
+        hidden = []
+        for f in range(len(w["shift"])):
+            top = max(sum(w["embed"][x[i + t]][e] * w["kernel"][t * 8 + e][f] for t in range(5) for e in range(8)) for i in range(128))
+            hidden.append(max(top + w["shift"][f], 0))
+        z = [sum(h * w["judge"][f][c] for f, h in enumerate(hidden)) + b for c, b in enumerate(w["bias"])]
+        e = [math.exp(v - max(z)) for v in z]
+        size = max(len(own), 1e-9)
+        total, weights = [t + size * v / sum(e) for t, v in zip(total, e)], weights + size
+    return [t / weights for t in total]

@@ -2,11 +2,14 @@
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens.llm import decontamination, language_model, mixing, quality_model, quality_rules, repeated_spans, secrets, simhash, tokens, url_filters
-from trafficlens.llm.common import table
+from trafficlens.llm import (
+    decontamination, language_id, language_model, lexical_search, mixing, periodic_runs, quality_model, quality_rules, repeated_spans, secrets, simhash, tokens,
+    url_filters,
+)
+from trafficlens.llm.common import let, table, words
 
 WORDS_SQL = r"regexp_extract_all({text}, '[^\x20\x09-\x0D]+')"
 
@@ -121,6 +124,57 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_wo
  not (n_words < 50 or 100 * n_repeat_words > 50 * n_words) and word_chars >= 2 * n_words and word_chars <= 20 * n_words and 10 * n_symbols <= word_chars
  and 5 * n_ex <= n_words and 50 * n_stop >= n_words and 2 * n_dup_lines <= greatest(n_lines, 1) as kept from counted"""
 
+
+def op11_language_id(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", "text", "lang")
+    held_out = lambda i: F.coalesce(F.crc32(F.col(i).cast("string")) % 5 == 0, F.lit(False))
+    network = language_id.fit(docs.filter(~held_out("doc_id")).select(F.col("doc_id").alias("id"), "text", "lang"))
+    judged = language_id.predicted(docs.select("doc_id", "text"), network)
+    return judged.select("doc.doc_id", held_out("doc.doc_id").alias("held_out"), "lang_pred", "score")
+
+
+def op12_lexical_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
+OP12 = f"""with docs as (select row_number() over () as r, doc_id, {BENCH_WORDS} as w from documents),
+items as (select row_number() over () as i, item_id, {BENCH_WORDS} as w from benchmark),
+asked as (select i, item_id, term, count(*) as times from (select i, item_id, unnest(w) as term from items) a group by all),
+held as (select r, doc_id, n, term, count(*) as tf from (select r, doc_id, len(w) as n, unnest(w) as term from docs) b where term in (select term from asked) group by all),
+counts as (select count(*) as nd, cast(sum(len(w)) as bigint) as l from docs where len(w) > 0),
+weights as (select term, cast(floor(1000 * ln(cast(2 * nd + 2 as double) / (2 * count(*) + 1))) as bigint) as wt from held, counts group by term, nd),
+scored as (select i, item_id, r, doc_id, cast(sum(times * wt * ((1000000000 * tf) // (1000 * tf + 8 * (25 + (75 * n * nd) // l)))) as bigint) as score
+ from asked join held using (term) join weights using (term), counts group by i, item_id, r, doc_id),
+ranked as (select *, row_number() over (partition by i order by score desc, doc_id) as rank from scored where score > 0)
+select item_id, cast(rank as integer) as rank, doc_id, score from ranked where rank <= 10"""
+
+
+def looped(doc_id: Column, text: Column) -> Column:
+    """The contract's text of a document: of one id hash in ten the words from some place on repeat with some period."""
+    h = F.crc32(doc_id.cast("string"))
+    g = F.floor(h / 10)
+
+    def repeated(w: Column) -> Column:
+        n = F.size(w)
+        return let((g % n).cast("int"), lambda a: let((1 + F.floor((n - a) / (3 + g % 8))).cast("int"), lambda p: F.array_join(
+            F.concat(F.slice(w, F.lit(1), a), F.transform(F.sequence(a, n - 1), lambda i: F.get(w, a + (i - a) % p))), " ")))
+
+    return F.when(h % 10 == 0, let(words(text), lambda w: F.when(F.size(w) > 0, repeated(w)).otherwise(F.lit("")))).otherwise(text)
+
+
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents").select("doc_id", looped(F.col("doc_id"), F.col("text")).alias("text"))
+    found = periodic_runs.collapsed(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("short"))))
+    lines = F.concat_ws("", F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n"))))
+    rows = found.select("doc.doc_id", "runs", "collapsed", longest.alias("longest"), lines.alias("lines"))
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("longest.back")).alias("start"), "longest.length", (-F.col("longest.short")).alias("period"),
+        F.floor(F.lit(1000) * F.col("longest.length") / -F.col("longest.short")).cast("long").alias("exponent_milli"),
+        F.sha2("lines", 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_decontamination": op2_decontamination,
@@ -132,5 +186,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_mixing_sources": op9_mixing_sources,
     "op10_quality_rules": op10_quality_rules,
+    "op11_language_id": op11_language_id,
+    "op12_lexical_search": op12_lexical_search,
+    "op13_periodic_runs": op13_periodic_runs,
 }
-ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op9_mixing_sources": OP9, "op10_quality_rules": OP10}
+ORACLES: dict[str, str] = {"op2_decontamination": OP2, "op9_mixing_sources": OP9, "op10_quality_rules": OP10, "op12_lexical_search": OP12}
