@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 from trafficlens import dims
 from trafficlens.functions import payload as P
 from trafficlens.functions import text as X
+from trafficlens.operators import rule_index
 
 # Tests per projected column: enough to share the row, few enough for one plan node.
 PATTERNS_PER_COLUMN = 128
+# So many signatures at most are tested one by one; both ways give the same rows.
+INLINE = 32
 
 
 def compiles(pattern: str | None) -> bool:
@@ -126,15 +129,23 @@ def matches(
 ) -> DataFrame:
     """(key, signature) for every payload and every signature that matches it.
 
-    Signatures are settings, not data: any number of them becomes literal patterns, tested where the payload lies, without
-    join or shuffle. A user signature replaces the built-in one of its name.
+    Signatures are settings, not data. A few become literal patterns, tested where the payload lies, without join or
+    shuffle; more than ``INLINE`` are looked up by the texts they require (:mod:`rule_index`), so that a payload costs the same
+    however many there are; patterns that require no text stay literal tests. A user signature replaces the built-in one of its name.
     """
     text = P.payload_text(F.col(payload), df.schema[payload].dataType)
+    user = patterns_of(signatures) if signatures is not None else {}
     prepared = df.select(key, text.alias("_text")).withColumn("_lower", F.lower("_text"))
-    tests = P.signature_flags(F.col("_lower")) if include_builtin else {}
-    if signatures is not None:
-        tests |= {n: F.col("_text").rlike(P.java_regex(p)) for n, p in sorted(patterns_of(signatures).items())}
+    tests = {n: t for n, t in P.signature_flags(F.col("_lower")).items() if n not in user} if include_builtin else {}
+    index = None
+    if len(user) > INLINE:
+        index, user = rule_index.build(df.sparkSession, user)
+    tests |= {n: F.col("_text").rlike(P.java_regex(p)) for n, p in sorted(user.items())}
+    found = rule_index.hits(df, index, key, text) if index is not None else None
+    if found is not None and not tests:
+        return found
     named = [F.when(t, n) for n, t in tests.items()]
     groups = [F.array_compact(F.array(F.lit(None).cast("string"), *named[k : k + PATTERNS_PER_COLUMN])) for k in range(0, max(len(named), 1), PATTERNS_PER_COLUMN)]
     # The outer form keeps Spark from inferring a filter that would run every test a second time.
-    return prepared.select(key, F.explode_outer(F.concat(*groups)).alias("signature")).filter("signature is not null")
+    tested = prepared.select(key, F.explode_outer(F.concat(*groups)).alias("signature")).filter("signature is not null")
+    return tested.unionByName(found) if found is not None else tested

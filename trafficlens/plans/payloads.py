@@ -216,6 +216,20 @@ def _(spark, sf):
     return SG.matches(V.spread(V.packets(spark, sf)), bots.unionByName(more))
 
 
+@query(
+    "j5_rule_index_hits",
+    over("""select packet_id, 'order_' || k as signature from (select packet_id, regexp_extract(payload, 'gate\\.php\\?id=([0-9]+) HTTP', 1) as k from packets) g where k in (select cast(o_orderkey as varchar) from orders where o_orderkey % 3 <> 1)
+ union all select packet_id, 'order_' || k from (select packet_id, regexp_extract(payload, '"id":"bot([0-9]+)"', 1) as k from packets) b where k in (select cast(o_orderkey as varchar) from orders where o_orderkey % 3 = 1)""", "packets"),
+)
+def _(spark, sf):
+    """A rule per order, 15,000 at scale 0.01: looked up by the texts they require; a third of them have alternatives."""
+    k = F.col("o_orderkey").cast("string")
+    gate = F.concat(F.lit(r"gate\.php\?id="), k, F.lit(r" HTTP/1\.[01]$"))
+    bot = F.concat(F.lit("bot "), k, F.lit(' reported|"id":"bot'), k, F.lit('"'))
+    rules = V.table(spark, sf, "orders").select(F.concat(F.lit("order_"), k).alias("name"), F.when(F.col("o_orderkey") % 3 == 1, bot).otherwise(gate).alias("pattern"))
+    return SG.matches(V.spread(V.packets(spark, sf)), rules, include_builtin=False)
+
+
 BAD = "case s_suppkey % 4 when 0 then s_name || '(' when 1 then '[' || s_name when 2 then '*' || s_name else s_name || '|x' end"
 
 
