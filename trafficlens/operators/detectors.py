@@ -21,12 +21,36 @@ def _distinct(column: str, approximate: bool) -> Column:
     return F.approx_count_distinct(column, 0.01) if approximate else F.count_distinct(column)
 
 
+def syn(packets: DataFrame) -> DataFrame:
+    """TCP packets that open a connection."""
+    return packets.filter("lower(proto) = 'tcp' and flags = 2")
+
+
+def logins(packets: DataFrame) -> DataFrame:
+    """Login attempts over SSH or FTP."""
+    return packets.filter("dport in (21, 22) and lower(proto) = 'tcp' and (payload like '%USER%' or payload like '%PASS%')")
+
+
+def requests(packets: DataFrame) -> DataFrame:
+    """TCP packets that ask for service."""
+    return packets.filter("lower(proto) = 'tcp' and (flags = 2 or payload like 'GET %')")
+
+
+def outward(packets: DataFrame) -> DataFrame:
+    """Packets from an internal host to an external one."""
+    return packets.filter(address.is_internal(F.col("src")) & ~address.is_internal(F.col("dst")))
+
+
+def encoded() -> Column:
+    """Whether the payload announces encoded data."""
+    return F.coalesce(F.col("payload").contains("BASE64"), F.lit(False))
+
+
 def port_scan(
     packets: DataFrame, width: str = "1 minute", slide: str | None = None, min_ports: int = 10, approximate: bool = False
 ) -> DataFrame:
     """Sources that send SYN to many ports within a window. ``approximate`` for streams."""
-    syn = packets.filter("lower(proto) = 'tcp' and flags = 2")
-    found = syn.groupBy("src", _window(width, slide)).agg(
+    found = syn(packets).groupBy("src", _window(width, slide)).agg(
         F.count(F.lit(1)).alias("syn_packets"), _distinct("dport", approximate).alias("ports")
     )
     return found.filter(F.col("ports") >= min_ports).select("src", *_bounds(), "syn_packets", "ports")
@@ -36,10 +60,7 @@ def brute_force(
     packets: DataFrame, width: str = "5 minutes", slide: str | None = None, min_attempts: int = 5
 ) -> DataFrame:
     """Repeated logins against SSH or FTP. Also on streams."""
-    login = packets.filter(
-        "dport in (21, 22) and lower(proto) = 'tcp' and (payload like '%USER%' or payload like '%PASS%')"
-    )
-    found = login.groupBy("src", "dst", "dport", _window(width, slide)).agg(F.count(F.lit(1)).alias("attempts"))
+    found = logins(packets).groupBy("src", "dst", "dport", _window(width, slide)).agg(F.count(F.lit(1)).alias("attempts"))
     return found.filter(F.col("attempts") >= min_attempts).select("src", "dst", "dport", *_bounds(), "attempts")
 
 
@@ -48,8 +69,7 @@ def flood(
     min_packets: int = 100, approximate: bool = False,
 ) -> DataFrame:
     """Many sources sending SYN or GET to one service."""
-    request = packets.filter("lower(proto) = 'tcp' and (flags = 2 or payload like 'GET %')")
-    found = request.groupBy("dst", "dport", _window(width, slide)).agg(
+    found = requests(packets).groupBy("dst", "dport", _window(width, slide)).agg(
         F.count(F.lit(1)).alias("packets"), _distinct("src", approximate).alias("sources")
     )
     return found.filter((F.col("sources") >= min_sources) & (F.col("packets") >= min_packets)).select(
@@ -61,10 +81,8 @@ def exfiltration(
     packets: DataFrame, width: str = "10 minutes", slide: str | None = None, min_bytes: int = 10_000_000
 ) -> DataFrame:
     """Internal hosts that send encoded data or many bytes outside. Also on streams."""
-    out = packets.filter(address.is_internal(F.col("src")) & ~address.is_internal(F.col("dst")))
-    marker = F.coalesce(F.col("payload").contains("BASE64"), F.lit(False))
-    found = out.groupBy("src", _window(width, slide)).agg(
-        F.sum(F.col("len").cast("bigint")).alias("bytes_out"), F.count_if(marker).alias("marker_hits")
+    found = outward(packets).groupBy("src", _window(width, slide)).agg(
+        F.sum(F.col("len").cast("bigint")).alias("bytes_out"), F.count_if(encoded()).alias("marker_hits")
     )
     return found.filter((F.col("marker_hits") > 0) | (F.col("bytes_out") >= min_bytes)).select(
         "src", *_bounds(), "bytes_out", "marker_hits"

@@ -10,6 +10,7 @@ from collections import Counter
 from re import _constants as C
 from re import _parser
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -87,7 +88,10 @@ def build(spark: SparkSession, patterns: dict[str, str]) -> tuple[DataFrame | No
     rest = {n: p for n, p in patterns.items() if n not in kept}
     if not rows:
         return None, rest
-    index = spark.createDataFrame(rows, "name string, regex string, literal string, earlier array<string>, offset int, gram string")
+    # An Arrow table becomes a local relation, without a job.
+    kinds = (pa.string(), pa.string(), pa.string(), pa.list_(pa.string()), pa.int32(), pa.string())
+    columns = dict(zip(("name", "regex", "literal", "earlier", "offset", "gram"), map(pa.array, zip(*rows), kinds)))
+    index = spark.createDataFrame(pa.table(columns))
     index = index.withColumn("gram", F.xxhash64(F.encode("gram", "ISO-8859-1")))
     return (F.broadcast(index) if size <= BROADCAST_BYTES else index), rest
 

@@ -2,6 +2,7 @@
 
 import re
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +34,8 @@ def bad_patterns(spark: SparkSession, patterns: list[str | None]) -> set[str | N
         if not rest:
             return set()
         try:
-            rows = spark.createDataFrame([(P.java_regex(p),) for p in rest], "p string")
-            rows.select(F.count_if(F.rlike(F.lit(""), F.col("p")))).collect()
+            # A local relation: the engine compiles the patterns while it plans, without a job.
+            spark.createDataFrame(pa.table({"p": [P.java_regex(p) for p in rest]})).select(F.rlike(F.lit(""), F.col("p"))).collect()
             return set()
         except Exception as error:  # the JVM reports some patterns as a plain Java error
             if not re.search("PatternSyntaxException|INVALID_PARAMETER_VALUE.PATTERN|regex", str(error)):
@@ -47,7 +48,7 @@ def bad_patterns(spark: SparkSession, patterns: list[str | None]) -> set[str | N
 
 def checked(additions: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(accepted, refused) entries of a log of additions. Signatures are settings: their patterns come to the driver to be compiled."""
-    patterns = [r[0] for r in additions.select("pattern").distinct().collect()]
+    patterns = list({r[0] for r in additions.select("pattern").collect()})
     bad = bad_patterns(additions.sparkSession, patterns)
     known = [p for p in bad if p is not None]
     is_bad = F.col("pattern").isNull() | (F.col("pattern").isin(known) if known else F.lit(False))

@@ -215,15 +215,53 @@ def _(spark, sf):
 ENDPOINTS = " or ".join(f"contains(payload, '{e}')" for e in dims.CONTROL_ENDPOINTS)
 
 
+def slid(body: str, condition: str, width: int = 2) -> str:
+    """``body`` over the packets of ``condition``, each in every window of ``width`` days that slides by a day; closed windows only."""
+    copies = " union all ".join(f"select *, {DAY} - interval '{k} days' as b from packets where {condition}" for k in range(width))
+    return over(f"select * exclude (b), {bounds(f'{width} days')} from ({body}) q where {closed(condition, f'{width} days')}", "packets", slid=copies)
+
+
+@query("r1_stream_port_scan_sliding", slid("select src, b, count(*) as syn_packets, count(distinct dport) as ports from slid group by src, b having count(distinct dport) >= 3", SYN))
+def _(spark, sf):
+    return _shown(_written(spark, jobs.port_scans(_packets(spark, sf), "2 days", min_ports=3, slide="1 day"), "scans"))
+
+
+@query("r2_stream_brute_force_sliding", slid("select src, dst, dport, b, count(*) as attempts from slid group by src, dst, dport, b", LOGIN, 7))
+def _(spark, sf):
+    return _shown(_written(spark, jobs.brute_force(_packets(spark, sf), "7 days", min_attempts=1, slide="1 day"), "logins"))
+
+
+@query(
+    "r3_stream_flood_sliding",
+    slid("select dst, dport, b, count(*) as packets, count(distinct src) as sources from slid group by dst, dport, b having count(distinct src) >= 2 and count(*) >= 3", REQUEST),
+)
+def _(spark, sf):
+    return _shown(_written(spark, jobs.floods(_packets(spark, sf), "2 days", min_sources=2, min_packets=3, slide="1 day"), "floods"))
+
+
+@query(
+    "r4_stream_exfiltration_sliding",
+    slid("""select src, b, cast(sum(len) as bigint) as bytes_out, count(*) filter (contains(payload, 'BASE64')) as marker_hits from slid group by src, b
+ having sum(len) >= 1500 or count(*) filter (contains(payload, 'BASE64')) > 0""", OUTWARD, 3),
+)
+def _(spark, sf):
+    return _shown(_written(spark, jobs.exfiltration(_packets(spark, sf), "3 days", min_bytes=1500, slide="1 day"), "exfiltration"))
+
+
+ENDPOINTS = " or ".join(f"contains(payload, '{e}')" for e in dims.CONTROL_ENDPOINTS)
+
+
 @query(
     "r5_stream_beaconing",
-    over(f"""select src, dst, {bounds('7 days')}, packets, endpoint_hits, round((l - f) / 1000000.0e0 / (packets - 1), 3) as mean_gap_s from
- (select src, dst, time_bucket(interval '7 days', ts, timestamp '1970-01-01') as b, count(*) as packets, count(*) filter ({ENDPOINTS}) as endpoint_hits, min(epoch_us(ts)) as f, max(epoch_us(ts)) as l from packets group by 1, 2, 3) q
+    over(f"""select src, dst, {bounds('7 days')}, packets, endpoint_hits, round(mean_gap_s, 3) as mean_gap_s, round(std_gap_s, 3) as std_gap_s from
+ (select src, dst, b, count(*) as packets, count(*) filter ({ENDPOINTS}) as endpoint_hits, avg(g) as mean_gap_s, stddev_pop(g) as std_gap_s from
+ (select *, (epoch_us(ts) - lag(epoch_us(ts)) over (partition by src, dst, b order by ts)) / 1000000.0e0 as g from
+ (select *, time_bucket(interval '7 days', ts, timestamp '1970-01-01') as b from packets) p) g group by 1, 2, 3) q
  where endpoint_hits > 0 and packets >= 2 and {closed('true', '7 days')}""", "packets"),
 )
 def _(spark, sf):
-    found = _written(spark, jobs.beaconing(_packets(spark, sf), "7 days", min_packets=2), "beacons")
-    return _shown(found).withColumn("mean_gap_s", F.round("mean_gap_s", 3))
+    found = _written(spark, jobs.beaconing(_packets(spark, sf), "7 days", min_packets=2, slot="1 hour"), "beacons")
+    return _shown(found).withColumns({c: F.round(c, 3) for c in ("mean_gap_s", "std_gap_s")})
 
 
 @query(

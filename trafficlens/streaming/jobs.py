@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from trafficlens.operators import alerts as A
 from trafficlens.operators import detectors, features, models, sessions, signatures, traffic
 from trafficlens.sources.store import Store
+from trafficlens.streaming import panes
 
 LATE = "10 minutes"
 
@@ -54,33 +55,65 @@ def running_counters(packets: DataFrame, width: str = "1 hour", late: str = LATE
     return found.select(F.col("window.start").alias("start"), "dimension", "value", "packets")
 
 
-def port_scans(packets: DataFrame, width: str = "1 minute", late: str = LATE, min_ports: int = 10) -> DataFrame:
-    return detectors.port_scan(packets.withWatermark("ts", late), width, min_ports=min_ports, approximate=True)
+def port_scans(packets: DataFrame, width: str = "1 minute", late: str = LATE, min_ports: int = 10, slide: str | None = None) -> DataFrame:
+    if not slide:
+        return detectors.port_scan(packets.withWatermark("ts", late), width, min_ports=min_ports, approximate=True)
+    found = panes.sliding(detectors.syn(packets.withWatermark("ts", late)), ["src"], width, slide, counts={"syn_packets": F.lit(1)}, distinct={"ports": F.col("dport")})
+    return found.filter(F.col("ports") >= min_ports)
 
 
-def brute_force(packets: DataFrame, width: str = "5 minutes", late: str = LATE, min_attempts: int = 5) -> DataFrame:
-    return detectors.brute_force(packets.withWatermark("ts", late), width, min_attempts=min_attempts)
+def brute_force(packets: DataFrame, width: str = "5 minutes", late: str = LATE, min_attempts: int = 5, slide: str | None = None) -> DataFrame:
+    if not slide:
+        return detectors.brute_force(packets.withWatermark("ts", late), width, min_attempts=min_attempts)
+    found = panes.sliding(detectors.logins(packets.withWatermark("ts", late)), ["src", "dst", "dport"], width, slide, counts={"attempts": F.lit(1)})
+    return found.filter(F.col("attempts") >= min_attempts)
 
 
-def floods(packets: DataFrame, width: str = "1 minute", late: str = LATE, min_sources: int = 20, min_packets: int = 100) -> DataFrame:
-    return detectors.flood(packets.withWatermark("ts", late), width, min_sources=min_sources, min_packets=min_packets, approximate=True)
+def floods(packets: DataFrame, width: str = "1 minute", late: str = LATE, min_sources: int = 20, min_packets: int = 100, slide: str | None = None) -> DataFrame:
+    if not slide:
+        return detectors.flood(packets.withWatermark("ts", late), width, min_sources=min_sources, min_packets=min_packets, approximate=True)
+    found = panes.sliding(detectors.requests(packets.withWatermark("ts", late)), ["dst", "dport"], width, slide, counts={"packets": F.lit(1)}, distinct={"sources": F.col("src")})
+    return found.filter((F.col("sources") >= min_sources) & (F.col("packets") >= min_packets))
 
 
-def exfiltration(packets: DataFrame, width: str = "10 minutes", late: str = LATE, min_bytes: int = 10_000_000) -> DataFrame:
-    return detectors.exfiltration(packets.withWatermark("ts", late), width, min_bytes=min_bytes)
+def exfiltration(packets: DataFrame, width: str = "10 minutes", late: str = LATE, min_bytes: int = 10_000_000, slide: str | None = None) -> DataFrame:
+    if not slide:
+        return detectors.exfiltration(packets.withWatermark("ts", late), width, min_bytes=min_bytes)
+    sums = {"bytes_out": F.col("len"), "marker_hits": detectors.encoded().cast("int")}
+    found = panes.sliding(detectors.outward(packets.withWatermark("ts", late)), ["src"], width, slide, counts=sums)
+    return found.filter((F.col("marker_hits") > 0) | (F.col("bytes_out") >= min_bytes))
 
 
-def beaconing(packets: DataFrame, width: str = "1 hour", late: str = LATE, min_packets: int = 3) -> DataFrame:
-    """Pairs that contact a control endpoint, per interval, with the mean gap between their packets."""
+def beaconing(packets: DataFrame, width: str = "1 hour", late: str = LATE, min_packets: int = 3, slot: str = "10 seconds") -> DataFrame:
+    """Pairs that contact a control endpoint, per interval, with mean and deviation of the gaps between their packets.
+
+    The packets of a pair are ordered within a ``slot`` only, which must divide ``width``; the interval then joins the edges of
+    its slots. So state holds the times of open slots and a few numbers for each slot of an open interval, and a hot pair is
+    spread over its slots.
+    """
     linked = packets.withWatermark("ts", late).filter("src is not null and dst is not null")
-    found = linked.groupBy("src", "dst", F.window("ts", width)).agg(
-        F.count(F.lit(1)).alias("packets"), F.count_if(detectors.control_endpoint()).alias("endpoint_hits"),
-        F.min(F.unix_micros("ts")).alias("first"), F.max(F.unix_micros("ts")).alias("last"),
+    slots = linked.groupBy("src", "dst", F.window("ts", slot)).agg(
+        F.sort_array(F.collect_list(F.unix_micros("ts"))).alias("t"), F.count_if(detectors.control_endpoint()).alias("endpoint_hits")
+    )
+    gap_s = lambda later, earlier: (later - earlier) / 1e6
+    square = lambda x: x * x
+    t = F.col("t")
+    inside = F.transform(F.slice(t, F.lit(2), F.size(t)), lambda x, i: square(gap_s(x, F.get(t, i))))
+    total = lambda values: F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
+    edges = F.struct(F.get(t, F.lit(0)).alias("first"), F.get(t, F.size(t) - 1).alias("last"), F.size(t).alias("n"), total(inside).alias("squares"))
+    parts = slots.select("src", "dst", F.window_time("window").alias("at"), "endpoint_hits", edges.alias("part"))
+    found = parts.groupBy("src", "dst", F.window("at", width)).agg(
+        F.sum("part.n").alias("packets"), F.sum("endpoint_hits").alias("endpoint_hits"), F.sort_array(F.collect_list("part")).alias("p")
     )
     suspects = found.filter((F.col("endpoint_hits") > 0) & (F.col("packets") >= min_packets))
-    # The gaps of a run add up to its length.
-    gap = (F.col("last") - F.col("first")) / 1e6 / (F.col("packets") - 1)
-    return suspects.select("src", "dst", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "packets", "endpoint_hits", gap.alias("mean_gap_s"))
+    p, gaps = F.col("p"), F.col("packets") - 1
+    across = F.transform(F.slice(p, F.lit(2), F.size(p)), lambda x, i: square(gap_s(x["first"], F.get(p, i)["last"])))
+    squares = total(F.transform(p, lambda x: x["squares"])) + total(across)
+    mean = gap_s(F.get(p, F.size(p) - 1)["last"], F.get(p, F.lit(0))["first"]) / gaps
+    return suspects.select(
+        "src", "dst", F.col("window.start").alias("start"), F.col("window.end").alias("end"), "packets", "endpoint_hits", mean.alias("mean_gap_s"),
+        F.sqrt(F.greatest(squares / gaps - square(mean), F.lit(0.0))).alias("std_gap_s"),
+    )
 
 
 def attack_episodes(scored: DataFrame, gap: str = "300 seconds", late: str = LATE, threshold: float = 0.7) -> DataFrame:
