@@ -1,6 +1,6 @@
 """Detections, alerts, reviewer decisions and feedback."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -8,6 +8,8 @@ from trafficlens import schema
 from trafficlens.functions import header as H
 from trafficlens.functions import rules
 from trafficlens.functions import text as X
+from trafficlens.sources import folded
+from trafficlens.sources.folded import FoldedLog
 
 def detections_from(scored: DataFrame, features: str | None = None, decision: str | None = None) -> DataFrame:
     """Detection rows from scored packets; ``is_malicious`` is the decision, the packet is kept as JSON with its truth.
@@ -75,6 +77,11 @@ def resolve_status(alerts: DataFrame, decisions: DataFrame) -> DataFrame:
     )
 
 
+def decision_log(spark: SparkSession, path: str) -> FoldedLog:
+    """Reviewer decisions that are read as the newest per alert, however long the log is."""
+    return FoldedLog(spark, path, schema.ddl(schema.TABLES["alert_decisions"]).replace("`", ""), folded.newest_per("alert_id", ["decided_at", "status"]))
+
+
 def feedback_from(resolved: DataFrame, detections: DataFrame) -> DataFrame:
     """Feedback rows for confirmed (1) and rejected (0) alerts, with the vector of their detection."""
     verdict = resolved.filter(F.col("status").isin("confirmed", "rejected")).select(

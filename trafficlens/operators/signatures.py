@@ -6,10 +6,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from trafficlens import dims
+from trafficlens import dims, schema
 from trafficlens.functions import payload as P
 from trafficlens.functions import text as X
 from trafficlens.operators import rule_index
+from trafficlens.sources import folded
+from trafficlens.sources.folded import FoldedLog
 
 # Tests per projected column: enough to share the row, few enough for one plan node.
 PATTERNS_PER_COLUMN = 128
@@ -88,6 +90,31 @@ def upsert(signatures: DataFrame, additions: DataFrame) -> DataFrame:
     )
 
 
+def log_entries(additions: DataFrame) -> DataFrame:
+    """Additions as entries of :func:`signature_log`; those whose pattern does not compile are left out."""
+    return checked(additions)[0].select(
+        "id", "name", "pattern", "description", "category", F.lit(True).alias("is_active"), F.col("added_at").alias("created_at"), F.col("added_at").alias("updated_at")
+    )
+
+
+def signature_log(spark: SparkSession, path: str) -> FoldedLog:
+    """Signatures and additions as one log, read as one row per name as :func:`upsert` gives it; of equal times the larger pattern counts."""
+
+    def fold(rows: DataFrame) -> DataFrame:
+        merged = rows.groupBy("name").agg(
+            F.min_by(F.struct("id", "is_active", "created_at"), F.struct("created_at", "id")).alias("f"),
+            F.max_by(F.struct("pattern", "description", "category", "updated_at"), F.struct("updated_at", "pattern")).alias("l"),
+        )
+        return merged.select("f.id", "name", "l.pattern", "l.description", "l.category", "f.is_active", "f.created_at", "l.updated_at")
+
+    return FoldedLog(spark, path, schema.ddl(schema.TABLES["dpi_signatures"]).replace("`", ""), fold)
+
+
+def toggle_log(spark: SparkSession, path: str) -> FoldedLog:
+    """Switches of signatures, read as the newest per signature."""
+    return FoldedLog(spark, path, "id bigint, is_active boolean, changed_at timestamp", folded.newest_per("id", ["changed_at", "is_active"]))
+
+
 def toggle(signatures: DataFrame, changes: DataFrame) -> DataFrame:
     """Apply (id, is_active, changed_at) entries; the newest per id wins, unknown ids change nothing."""
     latest = changes.groupBy("id").agg(

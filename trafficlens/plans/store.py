@@ -9,6 +9,7 @@ from trafficlens.operators import ranking as RK
 from trafficlens.operators import signatures as SG
 from trafficlens.plans.oracle import over, time_text
 from trafficlens.plans.registry import query
+from trafficlens.session import new_folder
 from trafficlens.sources import views as V
 
 AS_OF = "2024-02-01 00:00:00"
@@ -108,6 +109,19 @@ def _(spark, sf):
     return r.select("id", "detection_id", "status", "admin_notes", X.time_text(F.col("reviewed_at")).alias("reviewed_at"))
 
 
+@query("j6_compacted_decisions", over(f"select id, detection_id, status, admin_notes, {time_text('reviewed_at')} as reviewed_at from resolved", "resolved"))
+def _(spark, sf):
+    """The decision log in four portions, folded twice on the way: readers touch a snapshot and what came after it."""
+    log = A.decision_log(spark, new_folder(spark, "decisions"))
+    decisions = V.decisions(spark, sf)
+    for k in range(4):
+        log.append(decisions.filter(F.pmod(F.xxhash64("alert_id", "decided_at"), F.lit(4)) == k))
+        if k in (1, 2):
+            log.compact()
+    r = A.resolve_status(V.alerts(spark, sf), log.read())
+    return r.select("id", "detection_id", "status", "admin_notes", X.time_text(F.col("reviewed_at")).alias("reviewed_at"))
+
+
 @query("j10_alert_history", over("select id, status from resolved where status <> 'pending' union all select id, status from alerts where id not in (select id from resolved where status <> 'pending')", "resolved"))
 def _(spark, sf):
     processed = _resolved(spark, sf).filter("status <> 'pending'").select("id", "status")
@@ -261,6 +275,33 @@ def _(spark, sf):
     return _merged(spark, sf).withColumns(_time("created_at", "updated_at"))
 
 
+def _compacted(log, entries, key):
+    """``log`` after three portions of entries, folded after the second."""
+    for k in range(3):
+        log.append(entries.filter(F.pmod(F.xxhash64(key), F.lit(3)) == k))
+        if k == 1:
+            log.compact()
+    return log
+
+
+def _signature_log(spark, sf):
+    log = SG.signature_log(spark, new_folder(spark, "signatures"))
+    log.append(V.signatures(spark, sf))
+    return _compacted(log, SG.log_entries(V.signature_additions(spark, sf)), "id")
+
+
+@query("j7_compacted_signatures", over(f"select {SIGNATURE} from merged_signatures", "merged_signatures"))
+def _(spark, sf):
+    return _signature_log(spark, sf).read().select("id", "name", "pattern", "description", "category", "is_active", *[c.alias(n) for n, c in _time("created_at", "updated_at").items()])
+
+
+@query("j8_compacted_toggles", over("select id, name, is_active from toggled", "merged_signatures", toggled="""select m.id, m.name, coalesce(t.is_active, m.is_active) as is_active from merged_signatures m left join
+ (select s_nationkey as id, arg_max(s_acctbal > 3000, s_suppkey) as is_active from supplier group by 1) t on t.id = m.id"""))
+def _(spark, sf):
+    toggles = _compacted(SG.toggle_log(spark, new_folder(spark, "toggles")), V.signature_toggles(spark, sf), "changed_at")
+    return SG.toggle(_signature_log(spark, sf).read(), toggles.read()).select("id", "name", "is_active")
+
+
 TOGGLED = """select m.id, m.name, coalesce(t.is_active, m.is_active) as is_active, m.pattern, m.category from merged_signatures m left join
  (select s_nationkey as id, arg_max(s_acctbal > 3000, s_suppkey) as is_active from supplier group by 1) t on t.id = m.id"""
 

@@ -137,6 +137,83 @@ def _(spark, sf):
     return out.select(X.time_text(F.col("start")).alias("start"), "packets")
 
 
+def _packet_parts(spark, sf, parts):
+    spark.conf.set("spark.sql.session.timeZone", "UTC")
+    return V.packets_from_events(files.read_packet_stream(spark, _parts(spark, sf, parts), 1, schema.ddl(schema.EVENTS)))
+
+
+ALL_COUNTS = """select 'protocol' as dimension, proto as value, count(*) as packets from packets group by 2 union all select 'source', src, count(*) from packets group by 2
+ union all select 'destination', dst, count(*) from packets group by 2 union all select 'port', cast(dport as varchar), count(*) from packets where dport is not null group by 2"""
+
+
+@query("t5_live_counters", over(ALL_COUNTS, "packets"))
+def _(spark, sf):
+    """Five batches, a snapshot after every second; the open hour counts too."""
+    path = new_folder(spark, "live")
+    packets = _packet_parts(spark, sf, [f"event_id % 5 = {k}" for k in range(5)])
+    _finish(jobs.write_counters(packets, f"{path}/log", f"{path}/checkpoint", compact_every=2, available_now=True))
+    return jobs.live_counters(spark, f"{path}/log")
+
+
+@query("l8_stream_newest", over('select packet_id, epoch_us(ts) as ts from packets order by packets.ts desc, packet_id desc limit 500', "packets"))
+def _(spark, sf):
+    """The newest 500 packets of a stream that brings them in any order."""
+    path = new_folder(spark, "newest")
+    packets = _packet_parts(spark, sf, [f"event_id % 5 = {k}" for k in range(5)]).select("packet_id", "ts")
+    _finish(jobs.write_newest(packets, 500, f"{path}/log", f"{path}/checkpoint", compact_every=2, available_now=True))
+    log = jobs.newest_log(spark, f"{path}/log", "packet_id bigint, ts timestamp", 500, ["ts", "packet_id"])
+    return log.read().select("packet_id", F.unix_micros("ts").alias("ts"))
+
+
+@query("t9_dropped_days", over("select id from detections where \"timestamp\" >= timestamp '2024-01-20 00:00:00'", "detections"))
+def _(spark, sf):
+    """Days before the 20th are hidden, then their files removed."""
+    store = Store(spark, new_folder(spark, "days"))
+    store.append("detections", V.detections(spark, sf))
+    store.drop_days("detections", "2024-01-15")
+    store.drop_days("detections", "2024-01-20")
+    return store.read("detections").select("id")
+
+
+@query("u3_stream_distinct_packets", "select event_id as packet_id from events")
+def _(spark, sf):
+    """Every file comes twice, the second time after others."""
+    parts = [f"event_id % 4 = {k}" for k in (0, 1, 0, 2, 1, 3, 3, 2)]
+    return _written(spark, jobs.distinct_packets(_packet_parts(spark, sf, parts), "60 days").select("packet_id"), "distinct")
+
+
+ALERT_WATERMARK = """least((select epoch_us(max("timestamp")) from alerts), (select epoch_us(max(decided_at)) from decisions)) - 600 * 1000000"""
+
+
+@query(
+    "j1_stream_reviewed_alerts",
+    over(f"""select a.id, d.status as decision, epoch_us(d.decided_at) as decided_at from alerts a left join decisions d on d.alert_id = a.id and d.decided_at between a."timestamp" and a."timestamp" + interval 90 minute
+ where d.alert_id is not null or epoch_us(a."timestamp" + interval 90 minute) < {ALERT_WATERMARK}""", "alerts", "decisions"),
+)
+def _(spark, sf):
+    """Alerts and decisions as two streams; decisions within ninety minutes count."""
+    path = new_folder(spark, "reviews")
+    sides = {"alerts": V.alerts(spark, sf).select("id", "timestamp"), "decisions": V.decisions(spark, sf).select("alert_id", "status", "decided_at")}
+    for name, rows in sides.items():
+        rows.write.parquet(f"{path}/{name}")
+    live = [files.read_packet_stream(spark, f"{path}/{name}", None, rows.schema) for name, rows in sides.items()]
+    found = _written(spark, jobs.reviewed_alerts(*live, within="90 minutes"), "reviewed")
+    return found.select("id", "decision", F.unix_micros("decided_at").alias("decided_at"))
+
+
+@query(
+    "t8_late_side_table",
+    over(f"""select {time_text('b')} as "start", count(*) filter (not behind) as in_time, count(*) filter (behind) as behind from
+ (select {HOUR} as b, packet_id % 50 = 0 and epoch_us({HOUR} + interval '1 hour') <= (select epoch_us(max(ts)) - 600 * 1000000 from packets where packet_id % 50 > 0) as behind from packets) q group by b""", "packets"),
+)
+def _(spark, sf):
+    """Every fiftieth packet comes after all others: what is too late for its hour stands apart, and no packet is lost."""
+    path = new_folder(spark, "behind")
+    packets = _packet_parts(spark, sf, ["event_id % 50 > 0", "event_id % 50 = 0"])
+    _finish(jobs.write_timeline_with_late(packets, f"{path}/logs", f"{path}/checkpoint", "1 hour", available_now=True))
+    return jobs.timeline_parts(spark, f"{path}/logs").select(X.time_text(F.col("start")).alias("start"), "in_time", "behind")
+
+
 @query("t7_stream_signature_hits", over(f"select packet_id, signature from ({BUILTIN_HITS}) q", "packets"))
 def _(spark, sf):
     return _written(spark, jobs.signature_hits(_packets(spark, sf)), "hits")

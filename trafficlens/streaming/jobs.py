@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from trafficlens import schema
 from trafficlens.operators import alerts as A
 from trafficlens.operators import detectors, features, models, sessions, signatures, traffic
+from trafficlens.sources import folded
+from trafficlens.sources.folded import FoldedLog
 from trafficlens.sources.store import Store
 from trafficlens.streaming import panes
 
@@ -37,11 +40,8 @@ def tcp_sessions(packets: DataFrame, gap: str = "300 seconds", late: str = LATE)
     return found.select("endpoint_a", "endpoint_b", F.col("session_window.start").alias("start"), "last_seen", "packets")
 
 
-def running_counters(packets: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFrame:
-    """Packet counts by protocol, source, destination and port per interval, emitted once when the interval is over.
-
-    State holds open intervals only; totals are sums over the written ones (:func:`read_counters`).
-    """
+def counted_values(packets: DataFrame, width: str) -> DataFrame:
+    """Packet counts by protocol, source, destination and port per interval: (start, dimension, value, packets)."""
     counted = F.explode(
         F.array(
             F.struct(F.lit("protocol").alias("dimension"), F.coalesce(F.lower("proto"), F.lit("other")).alias("value")),
@@ -50,11 +50,131 @@ def running_counters(packets: DataFrame, width: str = "1 hour", late: str = LATE
             F.struct(F.lit("port").alias("dimension"), F.col("dport").cast("string").alias("value")),
         )
     )
-    rows = packets.withWatermark("ts", late).select("ts", counted.alias("c")).select("ts", "c.dimension", "c.value")
+    rows = packets.select("ts", counted.alias("c")).select("ts", "c.dimension", "c.value")
     found = rows.filter("value is not null").groupBy(F.window("ts", width), "dimension", "value").agg(F.count(F.lit(1)).alias("packets"))
     return found.select(F.col("window.start").alias("start"), "dimension", "value", "packets")
 
 
+def running_counters(packets: DataFrame, width: str = "1 hour", late: str = LATE) -> DataFrame:
+    """Counts of :func:`counted_values`, emitted once when their interval is over; :func:`write_counters` shows open ones too.
+
+    State holds open intervals only; totals are sums over the written ones (:func:`read_counters`).
+    """
+    return counted_values(packets.withWatermark("ts", late), width)
+
+
+def write_counters(packets: DataFrame, path: str, checkpoint: str, width: str = "1 hour", compact_every: int = 20, available_now: bool = False, every: str = "3 seconds") -> StreamingQuery:
+    """Counters that are up to date after every batch, open intervals and late packets included (:func:`live_counters`).
+
+    A batch is counted on its own and its counts go to a folded log at the batch's number, so there is no state, a
+    replayed batch changes nothing, and every ``compact_every`` batches the log becomes one snapshot.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        log = counter_log(batch.sparkSession, path)
+        log.append(counted_values(batch, width), batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            log.compact()
+
+    return _each_batch(packets, save, checkpoint, available_now, every)
+
+
+def counter_log(spark: SparkSession, path: str) -> FoldedLog:
+    return FoldedLog(spark, path, "start timestamp, dimension string, value string, packets bigint", folded.sums(["start", "dimension", "value"], ["packets"]))
+
+
+def live_counters(spark: SparkSession, path: str) -> DataFrame:
+    """Totals over all batches so far."""
+    return counter_log(spark, path).entries().groupBy("dimension", "value").agg(F.sum("packets").alias("packets"))
+
+
+def newest_log(spark: SparkSession, path: str, columns: str, n: int, order: list[str]) -> FoldedLog:
+    return FoldedLog(spark, path, columns, folded.newest_rows(n, order))
+
+
+def write_newest(rows: DataFrame, n: int, path: str, checkpoint: str, order: tuple[str, ...] = ("ts", "packet_id"), compact_every: int = 20, available_now: bool = False, every: str = "3 seconds") -> StreamingQuery:
+    """Keep the newest ``n`` rows of a stream (read by :func:`newest_log`): a batch adds its newest, compaction evicts the rest.
+
+    At most ``n`` rows per batch since the last snapshot are stored, and ``n`` in it.
+    """
+    columns = schema.ddl({f.name: f.dataType.simpleString() for f in rows.schema.fields}).replace("`", "")
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        log = newest_log(batch.sparkSession, path, columns, n, list(order))
+        log.append(log.fold(batch), batch_id)
+        if (batch_id + 1) % compact_every == 0:
+            log.compact()
+
+    return _each_batch(rows, save, checkpoint, available_now, every)
+
+
+def write_timeline_with_late(packets: DataFrame, path: str, checkpoint: str, width: str = "1 minute", late: str = LATE, available_now: bool = False, every: str = "3 seconds") -> StreamingQuery:
+    """Packets per interval, and apart from them the packets that came after their interval was closed (:func:`timeline_parts`).
+
+    An interval is closed when the newest time of the batches before, less ``late``, has passed its end. Both tables and the
+    newest times are folded logs at the batch's number, so together they always hold every packet once.
+    """
+
+    def save(batch: DataFrame, batch_id: int) -> None:
+        on_time, behind, clock = timeline_logs(batch.sparkSession, path)
+        newest = clock.fold(clock.entries(batch_id - 1)).select((F.col("newest") - F.expr(f"interval {late}")).alias("t")).first()
+        closed = F.col("end") <= F.lit(newest["t"] if newest else None).cast("timestamp")
+        spot = F.window("ts", width)
+        placed = batch.withColumn("_w", spot).withColumns({"start": F.col("_w.start"), "end": F.col("_w.end")}).drop("_w").persist()
+        try:
+            on_time.append(placed.filter(~F.coalesce(closed, F.lit(False))).groupBy("start").agg(F.count(F.lit(1)).alias("packets")), batch_id)
+            behind.append(placed.filter(closed).select("start", "ts", "packet_id"), batch_id)
+            clock.append(placed.agg(F.lit(0).alias("k"), F.max("ts").alias("newest")), batch_id)
+        finally:
+            placed.unpersist()
+
+    return _each_batch(packets, save, checkpoint, available_now, every)
+
+
+def timeline_logs(spark: SparkSession, path: str) -> tuple[FoldedLog, FoldedLog, FoldedLog]:
+    """Counts of packets in time, packets behind it, and the newest time seen."""
+    newest = lambda rows: rows.groupBy("k").agg(F.max("newest").alias("newest"))
+    return (
+        FoldedLog(spark, f"{path}/in_time", "start timestamp, packets bigint", folded.sums(["start"], ["packets"])),
+        FoldedLog(spark, f"{path}/behind", "start timestamp, ts timestamp, packet_id bigint", lambda rows: rows),
+        FoldedLog(spark, f"{path}/clock", "k int, newest timestamp", newest),
+    )
+
+
+def timeline_parts(spark: SparkSession, path: str) -> DataFrame:
+    """``start``, ``in_time`` and ``behind``: packets of each interval by when they came; their sum corrects the total."""
+    on_time, behind, _ = timeline_logs(spark, path)
+    counted = behind.read().groupBy("start").agg(F.count(F.lit(1)).alias("behind"))
+    joined = on_time.read().withColumnRenamed("packets", "in_time").join(counted, "start", "full")
+    return joined.select("start", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("in_time", "behind")])
+
+
+def distinct_packets(packets: DataFrame, late: str = LATE, key: str = "packet_id") -> DataFrame:
+    """Each packet once, ahead of scoring, counters or sessions.
+
+    A key is remembered until ``late`` after its time, so state is bounded. A repeat that comes later than that lies behind
+    the watermark and is dropped as a late row, like any other row behind it.
+    """
+    return packets.withWatermark("ts", late).dropDuplicatesWithinWatermark([key])
+
+
+def reviewed_alerts(alerts: DataFrame, decisions: DataFrame, within: str = "1 day", late: str = LATE) -> DataFrame:
+    """Live alerts with the decisions that reviewers make ``within`` some time after them: both sides are streams.
+
+    Every pair is emitted when its later side comes; an alert without a decision is emitted once, with nulls, when the
+    watermarks of both sides have passed its time limit. Decisions beyond it are not joined.
+    """
+    left = alerts.withWatermark("timestamp", late)
+    right = decisions.select(F.col("alert_id"), F.col("status").alias("decision"), "decided_at").withWatermark("decided_at", late)
+    fits = (F.col("id") == F.col("alert_id")) & (F.col("decided_at") >= F.col("timestamp")) & (F.col("decided_at") <= F.col("timestamp") + F.expr(f"interval {within}"))
+    return left.join(right, fits, "left").drop("alert_id")
+
+
+def _each_batch(rows: DataFrame, save, checkpoint: str, available_now: bool, every: str) -> StreamingQuery:
+    trigger = {"availableNow": True} if available_now else {"processingTime": every}
+    return rows.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(**trigger).start()
+
+
 def port_scans(packets: DataFrame, width: str = "1 minute", late: str = LATE, min_ports: int = 10, slide: str | None = None) -> DataFrame:
     if not slide:
         return detectors.port_scan(packets.withWatermark("ts", late), width, min_ports=min_ports, approximate=True)
@@ -166,8 +286,7 @@ def write_detections(
         finally:
             rows.unpersist()
 
-    trigger = {"availableNow": True} if available_now else {"processingTime": every}
-    return scored.writeStream.option("checkpointLocation", checkpoint).foreachBatch(save).trigger(**trigger).start()
+    return _each_batch(scored, save, checkpoint, available_now, every)
 
 
 def retained(df: DataFrame, as_of: str | None, keep: str, ts: str = "timestamp") -> DataFrame:
