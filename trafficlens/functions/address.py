@@ -68,7 +68,7 @@ def _without_dots(ip: Column) -> Column:
     return F.when(is_ipv4(tail), F.concat(head, groups[0], F.lit(":"), groups[1])).otherwise(ip)
 
 
-def _ipv6_digits(ip: Column) -> Column:
+def ipv6_digits(ip: Column) -> Column:
     """The 32 hexadecimal digits of an IPv6 address; NULL when it is malformed."""
     ip = _without_dots(F.lower(ip))
     missing = 8 - F.size(F.array_remove(F.split(ip, ":"), ""))
@@ -87,7 +87,7 @@ def _private_ipv6(ip: Column) -> Column:
     The lambda keeps this long and rarely needed expression out of the code generated for every address,
     which would otherwise grow beyond what the JVM compiles.
     """
-    found = F.transform(F.array(ip), lambda x: _ipv6_digits(x).rlike(_private_digits_pattern()))
+    found = F.transform(F.array(ip), lambda x: ipv6_digits(x).rlike(_private_digits_pattern()))
     return F.get(found, F.lit(0))
 
 

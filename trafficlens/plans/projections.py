@@ -8,6 +8,7 @@ from trafficlens.functions import header as H
 from trafficlens.functions import rules as R
 from trafficlens.functions import text as X
 from trafficlens.functions import vectors
+from trafficlens.operators import networks as NW
 from trafficlens.operators import alerts as A
 from trafficlens.operators import features as FE
 from trafficlens.operators import normalize as N
@@ -186,6 +187,48 @@ def _(spark, sf):
     return V.packets(spark, sf).select("packet_id", AD.is_private(F.col("src")).alias("src_private"), AD.is_private(F.col("dst")).alias("dst_private"))
 
 
+NETWORK_TABLE = """select *, 8 + k % 25 as p, case k % 5 when 0 then 3232235776 when 1 then 3405803776 when 2 then 134744064 when 3 then 2886729984 else 16843008 end + k * 7919 % 512 as n
+ from (select o_orderkey as k, lpad(cast(o_orderkey as varchar), 9, '0') as label from orders) o"""
+
+
+@query(
+    "j11_networks_from_a_table",
+    over("""select packet_id, label as src_network, p as src_bits from packets left join (select src, label, p, row_number() over (partition by src order by p desc, label) as r from
+ (select *, sn // pow2 as net from seen, widths) q join nets using (p, net)) x on x.src = packets.src and r = 1""", "packets",
+         seen=f"select src, {IP_NUMBER.format(c='src')} as sn from (select distinct src from packets) d",
+         widths="select p, cast(pow(2, 32 - p) as bigint) as pow2 from (select unnest(range(8, 33)) as p) w",
+         nets=f"select p, n // cast(pow(2, 32 - p) as bigint) as net, min(label) as label from ({NETWORK_TABLE}) t group by 1, 2"),
+)
+def _(spark, sf):
+    """A network per order (15,000 at scale 0.01) of 8 to 32 bits, overlapping each other."""
+    k = F.col("o_orderkey")
+    base = F.when(k % 5 == 0, 3232235776).when(k % 5 == 1, 3405803776).when(k % 5 == 2, 134744064).when(k % 5 == 3, 2886729984).otherwise(16843008).cast("bigint")
+    n = base + k * 7919 % 512
+    text = F.concat_ws(".", *[(F.floor(n / (1 << s)) % 256).cast("string") for s in (24, 16, 8, 0)])
+    table = V.table(spark, sf, "orders").select(F.concat(text, F.lit("/"), (8 + k % 25).cast("string")).alias("network"), F.lpad(k.cast("string"), 9, "0").alias("label"))
+    found = NW.lookup(V.packets(spark, sf).select("packet_id", "src"), "src", table)
+    return found.select("packet_id", F.col("network_label").alias("src_network"), F.col("network_bits").cast("bigint").alias("src_bits"))
+
+
+@query(
+    "j11_networks_from_a_table_v6",
+    """select event_id, label, p as bits from events left join (select x, label, p, row_number() over (partition by x order by p desc, label) as r from
+ (select x, p, x >> cast(64 - p as integer) as net from (select distinct user_id * 61 % 65536 as x from events) e, (select unnest(range(50, 65)) as p) w) q join
+ (select p, (o_orderkey * 37 % 65536) >> cast(64 - p as integer) as net, min(lpad(cast(o_orderkey as varchar), 9, '0')) as label from (select *, 50 + o_orderkey % 15 as p from orders) o group by 1, 2) n using (p, net)) f
+ on x = user_id * 61 % 65536 and r = 1""",
+)
+def _(spark, sf):
+    """The same for IPv6, 50 to 64 bits."""
+    k = F.col("o_orderkey")
+    group = lambda c: F.lower(F.hex(c))
+    table = V.table(spark, sf, "orders").select(
+        F.concat(F.lit("2001:DB8:0:"), group(k * 37 % 65536), F.lit("::/"), (50 + k % 15).cast("string")).alias("network"), F.lpad(k.cast("string"), 9, "0").alias("label")
+    )
+    events = V.table(spark, sf, "events").select("event_id", F.concat(F.lit("2001:db8::"), group(F.col("user_id") * 61 % 65536), F.lit(":0:0:1:"), (F.col("event_id") % 9).cast("string")).alias("ip"))
+    found = NW.lookup(events, "ip", table, into="label", bits="bits")
+    return found.select("event_id", "label", F.col("bits").cast("bigint").alias("bits"))
+
+
 @query(
     "h3_h12_header_features",
     over(f"""select packet_id, round(least(coalesce(sport, 0) / 65535.0e0, 1), 6) as source_port_numeric, round(least(coalesce(dport, 0) / 65535.0e0, 1), 6) as dest_port_numeric,
