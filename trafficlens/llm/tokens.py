@@ -20,19 +20,31 @@ from trafficlens.session import new_folder
 END = 1
 SHARD_BYTES = 32 << 20  # of text
 KEYS_PER_BUCKET = 1 << 16
-CACHED = 300_000  # encoded pieces that a worker process keeps
+CACHED_BYTES = 128 << 20  # of encoded pieces that a worker process keeps, about
 NULL_KEY = 1 << 62
 
 
+# Kinds of bytes: blank, letter (ASCII, and the bytes of Latin-1 letters), mark (ASCII punctuation but the apostrophe), other.
+BLANK, LETTER, MARK, OTHER = range(4)
+KINDS = np.full(256, OTHER, np.uint8)
+KINDS[[9, 10, 11, 12, 13, 32]] = BLANK
+KINDS[[c for c in range(256) if chr(c).isascii() and chr(c).isalpha() or 0x80 <= c < 0xC0 or c == 0xC3]] = LETTER
+KINDS[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = MARK
+SMALL = np.array([c + 32 if 65 <= c <= 90 else c for c in range(256)], np.uint8)
+
+
 class Encoder:
-    """Ids of whole texts by the ``tokenizers`` library, remembered per piece between blanks.
+    """Ids of whole texts by the ``tokenizers`` library, remembered per piece.
 
-    The vocabulary drops white space before it merges, so a text's ids are those of its pieces. A piece of plain letters
-    (ASCII and Latin-1) and trailing punctuation is lower-cased and cut there, as the tokenizer's own pattern does; any other
-    piece goes to the library as it is. ``ids`` are little-endian unsigned integers of two bytes, four for large vocabularies.
+    This holds for tokenizers that lower-case, drop white space before they merge, part letters from punctuation and mark the
+    last id of a word, as ``word_bpe_49k.json`` does; a file whose ids of a probe text differ from those of its pieces is
+    refused. A piece is a run of ASCII and Latin-1 letters between blanks, or the punctuation behind it; whatever else
+    lies between blanks is one piece. ``ids`` are little-endian unsigned integers of two bytes, four for large vocabularies.
     """
 
-    SIMPLE = re.compile(r"([A-Za-zÀ-ÖØ-öø-ÿ]+)([!-&(-/:-@\[-`{-~]*)")
+    LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+    PROBE = "The words,  THE Words \t don't\nÜber straße (x2) 漢字 A.B, ×÷, ending!"
+    ENTRY = 200  # bytes of a remembered piece beside its own
 
     def __init__(self, path: str):
         import os
@@ -45,8 +57,12 @@ class Encoder:
         self.type = id_type(size)
         # Letters between blanks are one word, whose last id is marked as a word's end.
         self.ends = np.array([(self.tokenizer.id_to_token(i) or "").endswith("</w>") for i in range(size)])
-        self.pieces: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
+        # Two halves: when the young one is full it becomes the old one, and what is used again moves back.
+        self.young: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+        self.size = 0
+        if np.frombuffer(self.batch([self.PROBE])[0], self.type).tolist() != self.tokenizer.encode(self.PROBE, add_special_tokens=False).ids:
+            raise ValueError(f"{path}: its ids are not those of the pieces between blanks")
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -57,28 +73,32 @@ class Encoder:
         return kept.__dict__[path]
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Pieces are told apart by 64-bit hashes and looked up once per batch; the ids are then gathered."""
-        if len(self.pieces) > CACHED:
-            self.pieces.clear()
-        if len(self.parts) > CACHED:
-            self.parts.clear()
+        """Ids of each text. Equal pieces are looked up once per batch; the ids are then gathered.
+
+        64-bit hashes gather pieces, their bytes decide: a piece that differs from the first one of its hash is looked up by itself.
+        """
         own = [t.encode() for t in texts]
         whole = b" ".join(own)
         raw = np.frombuffer(whole, np.uint8)
-        blank = BLANK[raw]
-        start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+        kind = KINDS[raw]
+        # Special tokens are found before texts are lower-cased, so where one may be all letters stay.
+        if b"<|" not in whole:
+            raw = SMALL[raw]
+            whole = raw.tobytes()
+        start, end = pieces(raw, kind)
         if not len(start):
             return [b""] * len(texts)
-        end = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
         up, down = powers(len(raw) + 1)
         with np.errstate(over="ignore"):
             sums = np.r_[np.uint64(0), np.cumsum((raw + np.uint64(1)) * up[:-1])]
             marks = (sums[end] - sums[start]) * down[start]
+        del up, down, sums
         _, first, piece = np.unique(marks, return_index=True, return_inverse=True)
-        found = [whole[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())]
-        ids = list(map(self.pieces.get, found))
-        self.learn([p for p, x in zip(found, ids) if x is None])
-        ids = [self.pieces[p] if x is None else x for p, x in zip(found, ids)]
+        other = differing(raw, start, end, first[piece], kind != BLANK)
+        if len(other):
+            first, piece = np.r_[first, other], piece.copy()
+            piece[other] = np.arange(len(first) - len(other), len(first))
+        ids = self.ids([whole[i:j] for i, j in zip(start[first].tolist(), end[first].tolist())])
         sizes = np.array(list(map(len, ids)), np.int64) // np.dtype(self.type).itemsize
         table, begin = np.frombuffer(b"".join(ids), self.type), np.cumsum(sizes) - sizes
         counts = sizes[piece]
@@ -88,40 +108,67 @@ class Encoder:
         edges = upto[np.searchsorted(start, np.cumsum([0, *(len(t) + 1 for t in own)]))].tolist()
         return [gathered[i:j].tobytes() for i, j in zip(edges, edges[1:])]
 
-    def learn(self, pieces: list[bytes]) -> None:
-        # Flat lists: a tuple per piece would keep the garbage collector busy.
-        heads, tails, known, words, rest = [], [], self.parts, {}, {}
-        for p in pieces:
-            text = p.decode()
-            m = self.SIMPLE.fullmatch(text)
-            head, tail = (m[1].lower(), m[2]) if m else (text, "")
-            heads.append(head)
-            tails.append(tail)
-            if head not in known:
-                (words if m else rest)[head] = None
-            if tail and tail not in known:
-                rest[tail] = None
-        letters = list(words)
-        for k in range(0, len(letters), 256):
-            self.learn_words(letters[k : k + 256])
-        left = [x for x in letters if x not in known] + list(rest)
-        for x, e in zip(left, self.tokenizer.encode_batch_fast(left, add_special_tokens=False)):
-            known[x] = np.array(e.ids, self.type).tobytes()
-        for p, head, tail in zip(pieces, heads, tails):
-            self.pieces[p] = known[head] + known[tail] if tail else known[head]
-
-    def learn_words(self, words: list[str]) -> None:
+    def ids(self, found: list[bytes]) -> list[bytes]:
+        """Ids of the pieces, remembered or learnt."""
+        if self.size > CACHED_BYTES // 2:
+            self.old, self.young, self.size = self.young, {}, 0
+        young = self.young
+        ids = list(map(young.get, found))
+        missing = [k for k, x in enumerate(ids) if x is None]
+        again = list(map(self.old.get, [found[k] for k in missing]))
+        learnt = self.learn(list({found[k]: None for k, x in zip(missing, again) if x is None}))
+        for k, x in zip(missing, again):
+            p = found[k]
+            young[p] = ids[k] = learnt[p] if x is None else x
+            self.size += len(p) + len(ids[k]) + self.ENTRY
+        return ids
+
+    def learn(self, new: list[bytes]) -> dict[bytes, bytes]:
+        known: dict[bytes, bytes] = {}
+        words = [p for p in new if p.isalpha() or p[-1] >= 128 and self.LETTERS.fullmatch(p.decode())]
+        for k in range(0, len(words), 256):
+            self.learn_words(words[k : k + 256], known)
+        rest = [p for p in new if p not in known]
+        for k in range(0, len(rest), 4096):
+            own = rest[k : k + 4096]
+            for p, e in zip(own, self.tokenizer.encode_batch_fast([p.decode() for p in own], add_special_tokens=False)):
+                known[p] = np.array(e.ids, self.type).tobytes()
+        return known
+
+    def learn_words(self, words: list[bytes], known: dict[bytes, bytes]) -> None:
         """Encode words of letters in one call and cut the ids at the ends of words; if the cuts don't fit, leave them."""
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, self.type)
+        ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(words).decode()], add_special_tokens=False)[0].ids, self.type)
         cuts = (np.flatnonzero(self.ends[ids]) + 1) * ids.itemsize
         if len(cuts) == len(words):
-            raw, at = ids.tobytes(), 0
-            for x, cut in zip(words, cuts.tolist()):
-                self.parts[x] = raw[at:cut]
-                at = cut
-
-
-BLANK = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
+            raw, cuts = ids.tobytes(), cuts.tolist()
+            known.update(zip(words, [raw[i:j] for i, j in zip([0, *cuts], cuts)]))
+
+
+def pieces(raw: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of every piece. What lies between blanks is cut where letters alone are followed by marks alone."""
+    cross = np.flatnonzero(raw[:-1] == 0xC3)
+    cross = cross[(raw[cross + 1] == 0x97) | (raw[cross + 1] == 0xB7)]  # the signs of multiplication and division are no letters
+    kind[cross] = kind[cross + 1] = OTHER
+    blank = kind == BLANK
+    start = np.flatnonzero(~blank & np.r_[True, blank[:-1]])
+    if not len(start):
+        return start, start
+    end = np.flatnonzero(~blank & np.r_[blank[1:], True]) + 1
+    letter = kind == LETTER
+    odd = (kind == OTHER) | letter & np.r_[False, kind[:-1] == MARK]
+    simple = letter[start] & ~np.logical_or.reduceat(odd, start)
+    cut = start + np.add.reduceat(letter, start, dtype=np.int64)
+    cut = cut[simple & (cut < end)]
+    return np.sort(np.r_[start, cut]), np.sort(np.r_[end, cut])
+
+
+def differing(raw: np.ndarray, start: np.ndarray, end: np.ndarray, same_as: np.ndarray, inside: np.ndarray) -> np.ndarray:
+    """Pieces (``start`` to ``end`` in ``raw``) whose bytes are not those of the piece they are taken for."""
+    sizes = end - start
+    uneven = sizes != sizes[same_as]
+    at = np.flatnonzero(inside)
+    wrong = raw[at] != raw[at + np.repeat(np.where(uneven, 0, start[same_as] - start), sizes)]
+    return np.flatnonzero(np.logical_or.reduceat(wrong, np.cumsum(sizes) - sizes) | uneven) if wrong.any() else np.flatnonzero(uneven)
 
 
 def portions(texts: list[str], most: int = 2 << 20):
@@ -136,6 +183,18 @@ def portions(texts: list[str], most: int = 2 << 20):
         yield k, len(texts)
 
 
+ANY_BLANK = re.compile("[\x20\x09-\x0d]")
+
+
+def cut(text: str, most: int = 2 << 20):
+    """A text in parts of about ``most`` characters, cut before blanks: no piece lies across them."""
+    k = 0
+    while len(text) - k > most and (found := ANY_BLANK.search(text, k + most)):
+        yield text[k : found.start()]
+        k = found.start()
+    yield text[k:]
+
+
 def id_type(size: int) -> str:
     return "<u2" if size <= 1 << 16 else "<u4"
 
@@ -160,8 +219,9 @@ def write(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "do
 
     Texts are dealt out by ranges of (id, hash of the text), about ``SHARD_BYTES`` each; a task writes its range as one shard
     under a name of its own and then renames it, so repeated attempts do no harm. Null and empty texts have the
-    end id only; null ids come first; rows that repeat an id are numbered by ``occurrence``. An empty table gives no shard.
-    Columns beside the id and the text are not read.
+    end id only; null ids come first; rows that repeat an id are numbered by ``occurrence`` in the order of their places.
+    Ids are whole numbers. An empty table gives no shard. Columns beside the id and the text are not read. Texts are encoded
+    whole, in portions of about two megabytes, longer ones part by part between blanks; their ids lie in memory at once.
     """
     from tokenizers import Tokenizer
 
@@ -185,7 +245,8 @@ def write(docs: DataFrame, tokenizer: str, text: str = "text", doc_id: str = "do
             counts = []
             texts = b.column("text").to_pylist()
             for k, last in portions(texts):
-                for ids in encoder.batch(texts[k:last]):
+                found = [b"".join(encoder.batch([x])[0] for x in cut(texts[k]))] if last == k + 1 else encoder.batch(texts[k:last])
+                for ids in found:
                     out.write(ids)
                     out.write(tail)
                     counts.append(len(ids) // len(tail) + 1)
