@@ -221,6 +221,46 @@ def test_token_files(spark, docs, folder, monkeypatch):
             start += len(ids)
 
 
+def test_pieces_with_one_hash(spark):
+    """Thue-Morse words and their complements have equal polynomial hashes modulo 2**64."""
+    from tokenizers import Tokenizer
+
+    x, y = "a", "b"
+    while len(x) < 1024:
+        x, y = x + y, y + x
+    tokenizer, encoder = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer())
+    texts = [x, y, f"{x} {y}", f"z {y}!"]
+    assert [struct.unpack(f"<{len(g) // 2}H", g) for g in encoder.batch(texts)] == [tuple(tokenizer.encode(t, add_special_tokens=False).ids) for t in texts]
+
+
+def test_pieces_of_odd_texts(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(tokens, "CACHED_BYTES", 20_000)  # what is remembered changes all the time
+    bits = "a|b|The|É|ü|ß|×|÷|.|,| |\n|'|'s|3|漢|́|e|<|>|<\N{VERTICAL LINE}endoftext\N{VERTICAL LINE}>|x|-|ſ|İ|(|\x00|\x85|À|_|\x1c".split("|")
+    bits += ["<|", "|>", "<|endoftext|>", "<|ENDOFTEXT|>"]
+    tokenizer, encoder, rnd = Tokenizer.from_file(tokens.default_tokenizer()), tokens.Encoder(tokens.default_tokenizer()), random.Random(1)
+    for _ in range(1500):
+        texts = ["".join(rnd.choice(bits) for _ in range(rnd.randrange(12))) for _ in range(rnd.randrange(1, 6))]
+        for g, t in zip(encoder.batch(texts), texts):
+            assert struct.unpack(f"<{len(g) // 2}H", g) == tuple(tokenizer.encode(t, add_special_tokens=False).ids), t
+
+
+def test_long_texts_are_cut_between_pieces():
+    text = "The naïve words, " * 400_000
+    parts = list(tokens.cut(text))
+    assert "".join(parts) == text and len(parts) == 4 and max(map(len, parts)) < (2 << 20) + 40 and list(tokens.cut("x" * (5 << 20))) == ["x" * (5 << 20)]
+    encoder = tokens.Encoder(tokens.default_tokenizer())
+    assert b"".join(encoder.batch([p])[0] for p in parts) == encoder.batch(["The naïve words, "])[0] * 400_000
+
+
+def test_other_tokenizers_are_refused():
+    import public_tokenizers
+
+    with pytest.raises(ValueError, match="pieces between blanks"):
+        tokens.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def test_token_index(spark, docs):
     df = spark.createDataFrame([*docs[0], *docs[0][:20], (None, "a"), (None, "b")], "doc_id long, text string")
     files = tokens.write(df, tokens.default_tokenizer())
@@ -287,6 +327,27 @@ def test_url_rules_are_those_of_counting(spark, folder):
         assert got.get(t) == (max(holds)[-1] if holds else None)
 
 
+def test_tokens_that_come_together_are_mined_as_one(spark):
+    """Thirty path segments in common, and leaves that many pages share: mining ends, with the verdicts of single tokens."""
+    import time
+
+    shared = "/".join(f"seg{chr(97 + i % 26)}{'x' * (i // 26)}" for i in range(30))
+    urls = [f"http://a.info/{shared}/leaf{chr(97 + i % 26)}?bad=1" if i % 3 else f"http://a.info/{shared}/leaf{chr(97 + i % 26)}" for i in range(120)]
+    pages = spark.createDataFrame([*enumerate(urls), (500, "http://other.info/sega/?bad=2"), (501, "http://other.info/segb/")], "page_id long, url string")
+    labels = spark.createDataFrame([(i, "block" if i % 3 else "allow") for i in range(120)], "id long, label string")
+    started = time.time()
+    got = {r["page"]["page_id"]: r["verdict"] for r in url_filters.judge(pages, labels, default="none").collect()}
+    assert time.time() - started < 60
+    assert all(got[i] == "block" for i in range(120) if i % 3) and got[500] == "block" and got[501] == "none"
+    assert sum(got[i] == "none" for i in range(0, 120, 3)) >= 24  # a leaf of five pages may have four that are blocked
+
+
+def test_merged_tokens(spark):
+    rows = [(0, ["a", "b", "x"]), (1, ["a", "b"]), (2, ["x", "c"]), (3, ["c", "x"]), (4, ["rare"])]
+    got = {r["token"]: r["rep"] for r in url_filters.merged(spark.createDataFrame(rows, "row long, tokens array<string>"), 0.4).collect()}
+    assert got == {"a": "a", "b": "a", "x": "x", "c": "c"}
+
+
 def test_quality_on_held_out_labels(spark):
     folder = "/root/testdata/sf0.01"
     rows = queries.op1_quality_classifier(spark, folder).join(table(spark, folder, "labels"), "doc_id").filter("held_out").collect()
