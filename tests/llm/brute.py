@@ -169,3 +169,31 @@ def convolved(network, text):
         size = max(len(own), 1e-9)
         total, weights = [t + size * v / sum(e) for t, v in zip(total, e)], weights + size
     return [t / weights for t in total]
+
+
+class Backoff:
+    """Interpolated absolute discounting over n-grams that occur twice, add-0.1 unigrams below; dictionaries and recursion only."""
+
+    def __init__(self, texts, order, least=2, discount=0.75):
+        self.order, self.discount, self.counts = order, discount, Counter()
+        for t in texts:
+            ws = [*words(lower(t)), "\n"]
+            for n in range(1, order + 1):
+                self.counts.update(tuple(ws[i : i + n]) for i in range(len(ws) - n + 1))
+        self.words = sorted(g[0] for g in self.counts if len(g) == 1)
+        self.total = sum(self.counts[w,] for w in self.words)
+        self.kept = {g: c for g, c in self.counts.items() if len(g) > 1 and c >= least}
+        self.taken = Counter()
+        for g, c in self.kept.items():
+            self.taken[g[:-1]] += c - discount
+
+    def chance(self, context, word):
+        if not context:
+            return (self.counts[word,] + 0.1) / (self.total + 0.1 * (len(self.words) + 1))
+        own = self.kept.get((*context, word), 0)
+        whole = max(self.kept.get(context, 0) if len(context) > 1 else self.counts[context], 1)
+        return (own and (own - self.discount) / whole) + (1 - self.taken[context] / whole) * self.chance(context[1:], word)
+
+    def score(self, text):
+        ws = [*words(lower(text)), "\n"]
+        return sum(log10(self.chance(tuple(ws[max(0, i - self.order + 1) : i]), w)) for i, w in enumerate(ws))

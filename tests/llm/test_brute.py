@@ -154,33 +154,25 @@ def test_language_model(spark, docs, folder):
         assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
 
 
-def test_every_state_spends_all_probability(spark, docs):
-    """Over all words and an unknown one, the chances after any state add up to one."""
-    import math
-
-    held = F.lit(False)
-    packs = language_model.blocks(docs[1], "doc_id", "text", held)
-    n = packs.agg(F.sum("n_train")).first()[0]
-    answers = language_model.totals(packs, 3, 0)
-    types = answers.agg(F.sum("types")).first()[0]
-    import numpy as np
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_scores_are_those_of_the_plain_backoff_model(spark, docs, monkeypatch, order):
+    monkeypatch.setattr(language_model, "BLOCK_BYTES", 3_000)
+    monkeypatch.setattr(language_model, "WALK", 7)
+    model = brute.Backoff([t for i, t in docs[0] if not brute.held(i)], order)
+    got = language_model.score(docs[1], F.crc32(F.col("doc_id").cast("string")) % 10 == 0, order=order).collect()
+    texts = dict(docs[0])
+    assert all(r["score"] == pytest.approx(model.score(texts[r["doc_id"]]), abs=1e-6) for r in got) and len(got) == len(texts)
 
-    top = sorted((h % (1 << 64), c) for r in answers.filter(F.size("heads") > 0).collect() for h, c in zip(r["heads"], r["head_counts"]))
-    assert len(top) == types and sum(c for _, c in top) == n
-    heads, counts = np.array([h for h, _ in top], np.uint64), np.array([c for _, c in top])
-    single = np.log10((counts + 0.1) / (n + 0.1 * (types + 1))).tolist()
-    model = language_model.automaton(packs, heads, counts, single, 2, 3)
-    unknown = math.log10(0.1 / (n + 0.1 * (types + 1)))
-    assert any(len(s) == 2 for s in model.fail)
-    for state in [(), *random.Random(1).sample(sorted(model.fail), 20)]:
-        total = sum(10 ** (single[w] + model.step(state, w)[1]) for w in range(len(heads))) + 10 ** (unknown + model.step(state, -1)[1])
-        assert total == pytest.approx(1, abs=1e-9)
 
+def test_every_state_spends_all_probability(docs):
+    """Over all words and an unknown one, the chances after any context add up to one."""
+    model = brute.Backoff([t for _, t in docs[0][:40]], 3)
+    for context in [(), *[c for c in model.counts if len(c) in (1, 2)][::7]]:
+        assert sum(model.chance(context, w) for w in [*model.words, None]) == pytest.approx(1)
 
-def test_language_model_keeps_rare_ngrams_in_large_corpora(spark, monkeypatch):
-    """A passage that three of 200,000 training tokens' texts share is known, and scores are those of the whole automaton."""
-    import numpy as np
 
+def test_language_model_keeps_rare_ngrams_in_large_corpora(spark, monkeypatch):
+    """A passage that three of 200,000 training tokens' texts share is known, and scores are those of the plain model."""
     monkeypatch.setattr(language_model, "BLOCK_BYTES", 100_000)
     rnd = random.Random(8)
     passage = " ".join(f"rare{i}" for i in range(30))
@@ -190,19 +182,9 @@ def test_language_model_keeps_rare_ngrams_in_large_corpora(spark, monkeypatch):
     # Each word but the first two is certain up to the discount: (3 - 0.75) / 3 at least.
     assert got[1003]["held_out"] and got[1003]["score"] > got[1003]["base_score"] / 5
 
-    packs = language_model.blocks(df, "doc_id", "text", held)
-    assert packs.count() > 3
-    n = packs.agg(F.sum("n_train")).first()[0]
-    answers = language_model.totals(packs, 3, 2)
-    top = sorted((h % (1 << 64), c) for r in answers.collect() for h, c in zip(r["heads"], r["head_counts"]))
-    heads, counts = np.array([h for h, _ in top], np.uint64), np.array([c for _, c in top])
-    single = np.log10((counts + 0.1) / (n + 0.1 * (answers.agg(F.sum("types")).first()[0] + 1)))
-    model = language_model.automaton(packs, heads, counts, single.tolist(), 2, 3)
-    for row in packs.collect():
-        hashes, tokens, ends, ids = (language_model.unpacked(row[c], k) for c, k in (("hashes", "<u8"), ("tokens", "<u4"), ("ends", "<i8"), ("ids", "<i8")))
-        gains = language_model.walk(model, language_model.head_words(hashes, tokens, heads), np.r_[0, ends[:-1]], ends)
-        for i, gain in zip(ids.tolist(), gains):
-            assert got[i]["score"] - got[i]["base_score"] == pytest.approx(gain, abs=1e-6)
+    model = brute.Backoff([t for i, t in rows if i not in (1003, 7, 8)], 3)
+    for i, t in rows[::9] + rows[-2:]:
+        assert got[i]["score"] == pytest.approx(model.score(t), abs=1e-6)
 
 
 def test_token_files(spark, docs, folder, monkeypatch):

@@ -1,7 +1,6 @@
 """LM scoring: smoothed word n-grams as a weighted backoff automaton; every block of texts walks the part of it that it meets."""
 
 from dataclasses import dataclass
-from math import log10
 
 import numpy as np
 import pandas as pd
@@ -18,6 +17,8 @@ ORDER = 3
 LEAST = 2  # longer n-grams that occur so often in the training texts are kept, at any size of corpus
 BLOCK_BYTES = 8 << 20  # of text that is scored with one extract of the model
 END = b"\n"  # the end token: no word contains it
+NO_ARC = 1.0  # in place of a weight, which is never above zero
+WALK = 1 << 16
 
 BLOCK_SCHEMA = "block long, ids binary, marks binary, ends binary, tokens binary, hashes binary, counts binary, n_train long"
 
@@ -115,12 +116,11 @@ def sorted_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return order, np.flatnonzero(np.r_[np.ones(min(len(keys), 1), bool), ranked[1:] != ranked[:-1]])
 
 
-def totals(packs: DataFrame, buckets: int, least: float = float("inf")) -> DataFrame:
+def totals(packs: DataFrame, buckets: int) -> DataFrame:
     """Corpus counts of the words, back to every block that has them, by ranges of the hash.
 
     A block sends each bucket the slice of its sorted hashes that falls into it, with its counts; the bucket adds up the
-    counts per hash and answers every slice in its own order. ``types`` and ``heads`` (hashes counted at least ``least``
-    times, and their counts) are on one row of each bucket.
+    counts per hash and answers every slice in its own order. ``types`` (distinct training words) is on one row of each bucket.
     """
 
     def dealt(batches):
@@ -132,16 +132,13 @@ def totals(packs: DataFrame, buckets: int, least: float = float("inf")) -> DataF
         hashes = slice_hashes(group)
         known, place = np.unique(np.concatenate(hashes), return_inverse=True)
         counts = np.bincount(place, weights=np.concatenate([unpacked(x, "<u4") for x in group["counts"]])).astype(np.int64)
-        n, top = len(group), np.flatnonzero((counts >= least) & (counts > 0))
         return pd.DataFrame({
             "block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "totals": per_slice(counts[place], hashes),
-            "types": [int((counts > 0).sum())] + [0] * (n - 1),
-            "heads": [known[top].view(np.int64).tolist()] + [[]] * (n - 1), "head_counts": [counts[top].tolist()] + [[]] * (n - 1),
+            "types": [int((counts > 0).sum())] + [0] * (len(group) - 1),
         })
 
     slices = packs.select("block", "hashes", "counts").mapInArrow(dealt, SLICES)
-    schema = "block long, bucket long, totals binary, types long, heads array<long>, head_counts array<long>"
-    return written(slices.groupBy("bucket").applyInPandas(answered, schema), "lm-totals")
+    return written(slices.groupBy("bucket").applyInPandas(answered, "block long, bucket long, totals binary, types long"), "lm-totals")
 
 
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -261,101 +258,68 @@ def spent(packs: DataFrame, answers: DataFrame, buckets: int, order: int, least:
 
 @dataclass
 class Automaton:
-    """The whole model in one place, for texts whose n-grams fit it; ``score`` gives the same without one.
+    """The states of a block and what their arcs weigh, laid out by the places of its tokens.
 
-    States are the empty context and the kept n-grams shorter than the order; a word without an arc follows the failure arc.
-
-    ``arcs``: per context (tuple of head words) the kept next words and their log10 probability; ``fail``: per context the log10
-    weight of its failure arc, which leads to the context without its first word. Words beyond the heads have no arcs.
+    A state is a context: the empty one (order 0), a word (1), a kept n-gram of two words or more (its length). ``arcs[k]``
+    has for each place the log10 weight of the arc that its word takes from the state of order ``k`` before it, or
+    ``NO_ARC``; every word has an arc from the empty context. ``fails[k]`` has the log10 weight of that state's failure arc,
+    which leads to the state without its first word. An arc from a state of order ``k`` ends in the state of order ``k + 1``,
+    or of the highest order there is: the longest context that the words read so far end in.
     """
 
-    arcs: dict[tuple[int, ...], dict[int, float]]
-    fail: dict[tuple[int, ...], float]
-    single: list[float]
-
-    def state(self, context: tuple[int, ...]) -> tuple[int, ...]:
-        while context and context not in self.fail:
-            context = context[1:]
-        return context
-
-    def step(self, state: tuple[int, ...], word: int) -> tuple[tuple[int, ...], float]:
-        """Next state, and the log10 gain of the transition over the word's unigram probability."""
-        spent, at = 0.0, state
-        while at:
-            if word in self.arcs[at]:
-                spent += self.arcs[at][word] - self.single[word]
-                break
-            spent += self.fail[at]
-            at = at[1:]
-        return (self.state((*state, word)) if word >= 0 else ()), spent
+    arcs: list[np.ndarray]
+    fails: list[np.ndarray]
 
-
-def grams(packs: DataFrame, heads: np.ndarray, kept: np.ndarray, order: int, least: float) -> dict[tuple[int, ...], int]:
-    """Counts of the n-grams of head words whose first ``order`` - 1 words are a kept n-gram, where they reach ``least``."""
-    n = len(heads)
-
-    def counted(batches):
-        for b in batches:
-            for hashes, tokens, ends, marks in zip(*(b.column(c).to_pylist() for c in ("hashes", "tokens", "ends", "marks"))):
-                sizes = np.diff(unpacked(ends, "<i8"), prepend=0)
-                word, doc = head_words(unpacked(hashes, "<u8"), unpacked(tokens, "<u4"), heads), np.repeat(np.arange(len(sizes)), sizes)
-                learnt = (unpacked(marks, "u1") & 1 == 0)[doc]
-                first = word
-                for k in range(order - 2):  # numbers of the kept n-grams that end at each place
-                    first = number_of(first[:-1] * n + word[k + 1 :], kept[k], (first[:-1] >= 0) & (word[k + 1 :] >= 0))
-                gap = order - 1
-                whole = (first[:-1] >= 0) & (word[gap:] >= 0) & (doc[gap:] == doc[:-gap]) & learnt[gap:]
-                keys, times = np.unique((first[:-1] * n + word[gap:])[whole], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(times)], ["key", "n"])
-
-    rows = packs.select("hashes", "tokens", "ends", "marks").mapInArrow(counted, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
-    return {r["key"]: r["n"] for r in rows.collect()}
-
-
-def head_words(hashes, tokens, heads) -> np.ndarray:
-    """Number among the sorted ``heads`` of every token, -1 for other words."""
-    at = np.minimum(np.searchsorted(heads, hashes), max(len(heads) - 1, 0))
-    known = np.where(heads[at] == hashes, at, -1) if len(heads) else np.full(len(hashes), -1)
-    return known.astype(np.int64)[tokens]
-
-
-def number_of(keys, kept, whole) -> np.ndarray:
-    at = np.minimum(np.searchsorted(kept, keys), max(len(kept) - 1, 0))
-    return np.where(whole & (kept[at] == keys), at, -1) if len(kept) else np.full(len(keys), -1)
-
-
-def automaton(packs: DataFrame, heads: np.ndarray, counts: np.ndarray, single: list[float], least: float, order: int) -> Automaton:
-    """Interpolated absolute discounting: P(w | h) = (c(hw) - D) / c(h) + rest(h) P(w | shorter h) over the kept n-grams."""
-    end = number_of(np.array([end_hash()], np.uint64), heads, np.array([True]))[0]
-    kept: list = []
-    words = {i: (i,) for i in range(len(heads))}
-    arcs, fail = {}, {}
-    times = {(i,): int(c) for i, c in enumerate(counts)}
-
-    def value(context, word):
-        return 10 ** single[word] if not context else (10 ** arcs[context][word] if word in arcs.get(context, {}) else 10 ** fail.get(context, 0.0) * value(context[1:], word))
-
-    for n in range(2, order + 1):
-        found = grams(packs, heads, kept, n, least)
-        kept.append(np.array(sorted(found), np.int64))
-        below: dict = {}
-        for key in kept[-1].tolist():
-            context = words[key // len(heads)]
-            if context[-1] != end:
-                below.setdefault(context, {})[key % len(heads)] = found[key]
-        words = {i: (*words[k // len(heads)], k % len(heads)) for i, k in enumerate(kept[-1].tolist())}
-        for context, nexts in below.items():
-            rest = 1 - sum(c - DISCOUNT for c in nexts.values()) / times[context]
-            fail[context] = log10(rest)
-            arcs[context] = {w: log10((c - DISCOUNT) / times[context] + rest * value(context[1:], w)) for w, c in nexts.items()}
-        times = {(*words[i],): found[k] for i, k in enumerate(kept[-1].tolist())}
-    return Automaton(arcs, fail, single)
-
-
-def end_hash() -> int:
-    import xxhash
-
-    return xxhash.xxh64_intdigest(END)
+    @classmethod
+    def of(cls, hashes: np.ndarray, tokens: np.ndarray, ends: np.ndarray, single: np.ndarray, total: np.ndarray, answers: pd.DataFrame, order: int, least: int) -> "Automaton":
+        """From the corpus counts that came back to the block. Interpolated absolute discounting:
+
+        P(w | h) = (c(hw) - D) / c(h) + rest(h) P(w | shorter h) on the arc of a kept n-gram, rest(h) on the failure arc,
+        with rest(h) = 1 - sum of (c - D) over the kept continuations of h, by c(h).
+        """
+        arcs, fails = [np.log10(single)[tokens]], [np.zeros(len(tokens))]
+        if order < 2:
+            return cls(arcs, fails)
+        grams, value = Grams.of(hashes, tokens, ends, order), parts(answers, "gram", "<i8")
+        asked, taken = contexts(hashes, total, grams, value, order, least), parts(answers, "spent", "<f8")
+
+        def used(keys: np.ndarray) -> np.ndarray:
+            """What the kept continuations of contexts take of their counts."""
+            at = np.minimum(np.searchsorted(asked, keys), max(len(asked) - 1, 0))
+            return np.where(asked[at] == keys, taken[at], 0.0) if len(asked) else np.zeros(len(keys))
+
+        # Of the context that ends at each place: count, what is taken of it; and the chance of the arc that ended there.
+        count, spent_of, chance = total[tokens], used(hashes)[tokens], single[tokens]
+        for places, number in grams.at:
+            whole, times = np.maximum(count[places - 1], 1), (value >> 1)[number]
+            rest = 1 - spent_of[places - 1] / whole
+            own = np.where(times > 0, (times - DISCOUNT) / whole + rest * chance[places], 0.0)
+            arc, fail = np.full(len(tokens), NO_ARC), np.zeros(len(tokens))
+            arc[places[times > 0]] = np.log10(own[times > 0])
+            fail[places] = np.log10(rest)
+            arcs.append(arc)
+            fails.append(fail)
+            count, spent_of = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
+            count[places], spent_of[places] = times, used(grams.keys)[number]
+            chance[places[times > 0]] = own[times > 0]
+        return cls(arcs, fails)
+
+    def walk(self, ends: np.ndarray) -> np.ndarray:
+        """Log10 probability of every text: one pass from left to right that carries the state."""
+        top, out, first = len(self.arcs) - 1, np.empty(len(ends)), 0
+        for d, last in enumerate(ends.tolist()):
+            state, total = 0, 0.0
+            for k in range(first, last, WALK):  # a text's weights become Python numbers bit by bit
+                own = slice(k, min(k + WALK, last))
+                for arcs, fails in zip(zip(*(x[own].tolist() for x in self.arcs)), zip(*(x[own].tolist() for x in self.fails))):
+                    while arcs[state] > 0:
+                        total += fails[state]
+                        state -= 1
+                    total += arcs[state]
+                    if state < top:
+                        state += 1
+            out[d], first = total, last
+        return out
 
 
 def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST) -> DataFrame:
@@ -364,7 +328,8 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
     The model learns from the rows where ``held`` is not true. Words are A-Z lower-cased runs between blanks, with one end
     token per text; null and empty texts have the end only. The unigram model covers all words. All longer n-grams that occur
     ``least`` times are kept, however large the corpus; no task or driver has them all: each block of texts gets the counts of
-    its own words, and the arcs and failure weights of its own n-grams. Repeated rows are scored (and counted) each time; rows
+    its own words and n-grams, builds its states, arcs and failure arcs from them, and walks its texts from left to right.
+    Texts are read whole; one text is never split, so memory grows with the longest. Ids are whole numbers. Repeated rows are scored (and counted) each time; rows
     with a null id learn. An empty table gives an empty one; other columns are not read.
     """
     packs = blocks(docs, doc_id, text, held)
@@ -386,51 +351,13 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
         total, first = parts(own, "word", "<i8"), np.r_[0, ends[:-1]]
         single = (total + ADD) / (n + ADD * (types + 1))
         base = np.add.reduceat(np.log10(single)[tokens], first)
-        chance = single[tokens]
-        if order > 1:
-            extend(chance, hashes, tokens, ends, total, own)
+        model = Automaton.of(hashes, tokens, ends, single, total, own, order, least)
         marks = unpacked(row["marks"], "u1")
         return pd.DataFrame({
             "doc_id": pd.arrays.IntegerArray(unpacked(row["ids"], "<i8").copy(), marks & 2 > 0), "held_out": marks & 1 > 0, "n_tokens": ends - first,
-            "n_known": np.add.reduceat((total > 0).astype(np.int64)[tokens], first), "base_score": base, "score": np.add.reduceat(np.log10(chance), first),
+            "n_known": np.add.reduceat((total > 0).astype(np.int64)[tokens], first), "base_score": base, "score": model.walk(ends),
         })
 
-    def extend(chance, hashes, tokens, ends, total, own):
-        """Puts the chance after the words before in place of that of the word alone, order by order at all places at once."""
-        grams, value = Grams.of(hashes, tokens, ends, order), parts(own, "gram", "<i8")
-        asked, taken = contexts(hashes, total, grams, value, order, least), parts(own, "spent", "<f8")
-        # Of the context that ends at each place: its count, and what its continuations take of it.
-        spot = lambda keys: np.minimum(np.searchsorted(asked, keys), max(len(asked) - 1, 0))
-        share = lambda keys: np.where(asked[spot(keys)] == keys, taken[spot(keys)], 0.0) if len(asked) else np.zeros(len(keys))
-        count, used = total[tokens], share(hashes)[tokens]
-        for places, number in grams.at:
-            times, whole = (value >> 1)[number], np.maximum(count[places - 1], 1)
-            arc = np.where(times > 0, (times - DISCOUNT) / whole, 0.0)
-            chance[places] = arc + (1 - used[places - 1] / whole) * chance[places]
-            count, used = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
-            count[places], used[places] = times, share(grams.keys)[number]
-
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
     rows = packs.drop("counts", "n_train").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, schema)
     return rows.withColumn("train_tokens", F.lit(n).cast("long"))
-
-
-def walk(model: Automaton, words: np.ndarray, first, ends) -> np.ndarray:
-    """Log10 gain of every text over the unigram model, by the whole automaton: one pass over its tokens that carries the state. Transitions are remembered."""
-    numbers: dict[tuple[int, ...], int] = {(): 0}
-    names: list[tuple[int, ...]] = [()]
-    width, steps, out = len(model.single) + 1, {}, np.zeros(len(ends))
-    for d, (i, j) in enumerate(zip(first.tolist(), ends.tolist())):
-        state, gain = 0, 0.0
-        for w in words[i:j].tolist():
-            got = steps.get(state * width + w + 1)
-            if got is None:
-                after, g = model.step(names[state], w)
-                if after not in numbers:
-                    numbers[after] = len(names)
-                    names.append(after)
-                got = steps[state * width + w + 1] = (numbers[after], g)
-            state = got[0]
-            gain += got[1]
-        out[d] = gain
-    return out
