@@ -4,7 +4,7 @@ import hashlib
 import re
 import zlib
 from collections import Counter
-from math import log10
+from math import exp, log10, tanh
 
 import xxhash
 
@@ -197,3 +197,39 @@ class Backoff:
     def score(self, text):
         ws = [*words(lower(text)), "\n"]
         return sum(log10(self.chance(tuple(ws[max(0, i - self.order + 1) : i]), w)) for i, w in enumerate(ws))
+
+
+def passage_vectors(text, classes, size=512, piece=4096 * 512):
+    """Passage vectors of the quality classifier, by loops."""
+    out = []
+    for first in range(0, max(len(text), 1), piece):
+        part = text[first : first + piece]
+        n = max(-(-len(part) // size), 1)
+        of = [i * n // len(part) for i in range(len(part))]
+        pairs, words = [Counter() for _ in range(n)], [[] for _ in range(n)]
+        for i in range(1, len(part)):
+            if of[i] == of[i - 1]:
+                pairs[of[i]][classes[part[i - 1]], classes[part[i]]] += 1
+        for m in re.finditer(rb"[^\x20\x09-\x0D]+", part):
+            words[of[m.start()]].append(m[0])
+        for k in range(n):
+            length, ws = of.count(k), words[k]
+            x = [0.0] * 260
+            for (a, b), c in pairs[k].items():
+                x[a * 16 + b] = (c / length) ** 0.5
+            if ws:
+                x[256:259] = min(sum(map(len, ws)) / len(ws) / 16, 4), (len(ws) - len(set(ws))) / len(ws), sum(a == b for a, b in zip(ws, ws[1:])) / len(ws)
+            x[259] = length / size
+            out.append(x)
+    return out
+
+
+def quality_score(w, text, classes):
+    """Gated attention over the passages of a text, by loops."""
+    times = lambda x, m: [sum(a * row[j] for a, row in zip(x, m)) for j in range(len(m[0]))]
+    sigmoid = lambda x: 1 / (1 + exp(-x))
+    hidden = [[tanh(a + b) for a, b in zip(times(x, w["encode"]), w["shift"])] for x in passage_vectors(text, classes)]
+    logits = [sum(tanh(t) * sigmoid(g) * r for t, g, r in zip(times(h, w["attend"]), times(h, w["gate"]), w["rank"])) for h in hidden]
+    shares = [exp(e - max(logits)) for e in logits]
+    mean = [sum(s * h[j] for s, h in zip(shares, hidden)) / sum(shares) for j in range(len(hidden[0]))]
+    return sigmoid(sum(a * b for a, b in zip(mean, w["judge"])) + w["bias"][0])

@@ -1,18 +1,22 @@
 """Quality classifier: attention-based multiple-instance learning over the passages of a text."""
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 PASSAGE = 512  # bytes
 CLASSES = 16
 FEATURES = CLASSES * CLASSES + 4
 HIDDEN, GATE = 24, 12
-# The model is fitted on at most so many labelled documents of each class, and so many evenly spaced passages of each of them.
-SAMPLE_PER_CLASS, SAMPLE_PASSAGES = 1024, 64
+# The model is fitted on at most so many labelled documents of each class, with all their passages.
+SAMPLE_PER_CLASS = 1024
+KEPT_PASSAGES = 64  # vectors of longer texts are made anew for every batch that has them
+PIECE = 4096 * PASSAGE  # bytes that are encoded together; a word over the edge of two pieces counts in both
 THRESHOLD = 0.7
 
 
@@ -72,6 +76,26 @@ def encode(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return out, counts
 
 
+def portions(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(passage vectors, text of each) of some texts at a time, long ones piece by piece, in order."""
+    pieces, of, size = [], [], 0
+
+    def encoded():
+        x, counts = encode(pieces)
+        return x, np.repeat(of, counts)
+
+    for i, t in enumerate(texts):
+        for k in range(0, max(len(t), 1), PIECE):
+            pieces.append(t[k : k + PIECE])
+            of.append(i)
+            size += len(pieces[-1])
+            if size >= PIECE:
+                yield encoded()
+                pieces, of, size = [], [], 0
+    if pieces:
+        yield encoded()
+
+
 @dataclass
 class Model:
     """Weights of the passage encoder, the gated attention and the scorer; without ``weights`` a constant score."""
@@ -79,26 +103,40 @@ class Model:
     prior: float
     weights: dict[str, np.ndarray] | None = None
 
-    def score(self, vectors: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        if self.weights is None:
-            return np.full(len(counts), self.prior)
-        return forward(self.weights, vectors, counts)["score"]
+    def score(self, texts: list[bytes]) -> np.ndarray:
+        """Of whole texts. Only what attention needs of a passage outlives its portion, a hidden vector and a number."""
+        if self.weights is None or not texts:
+            return np.full(len(texts), self.prior)
+        parts = [(*hidden(self.weights, x)[::3], of) for x, of in portions(texts)]
+        h, e, of = (np.concatenate(p) for p in zip(*parts))
+        return pooled(self.weights, h, e, np.bincount(of, minlength=len(texts)))[2]
 
 
 def sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def forward(w: dict, x: np.ndarray, counts: np.ndarray) -> dict:
-    """Passages to hidden vectors, gated attention over each text's passages, score of the weighted sum."""
-    first = np.r_[0, np.cumsum(counts)[:-1]]
+def hidden(w: dict, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hidden vector, both factors of the gated attention, its logit) of each passage."""
     h = np.tanh(x @ w["encode"] + w["shift"])
     t, g = np.tanh(h @ w["attend"]), sigmoid(h @ w["gate"])
-    e = (t * g) @ w["rank"]
+    return h, t, g, (t * g) @ w["rank"]
+
+
+def pooled(w: dict, h: np.ndarray, e: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(attention of each passage within its text, weighted sum of the text's hidden vectors, score of that sum)."""
+    first = np.r_[0, np.cumsum(counts)[:-1]]
     e = np.exp(e - np.repeat(np.maximum.reduceat(e, first), counts))
     a = e / np.repeat(np.add.reduceat(e, first), counts)
     z = np.add.reduceat(a[:, None] * h, first, axis=0)
-    return {"h": h, "t": t, "g": g, "a": a, "z": z, "score": sigmoid(z @ w["judge"] + w["bias"][0]).astype(np.float64)}
+    return a, z, sigmoid(z @ w["judge"] + w["bias"][0]).astype(np.float64)
+
+
+def forward(w: dict, x: np.ndarray, counts: np.ndarray) -> dict:
+    """Passages to hidden vectors, gated attention over each text's passages, score of the weighted sum."""
+    h, t, g, e = hidden(w, x)
+    a, z, score = pooled(w, h, e, counts)
+    return {"h": h, "t": t, "g": g, "a": a, "z": z, "score": score}
 
 
 def gradients(w: dict, x: np.ndarray, counts: np.ndarray, wrong: np.ndarray) -> dict:
@@ -118,17 +156,35 @@ def gradients(w: dict, x: np.ndarray, counts: np.ndarray, wrong: np.ndarray) ->
     }
 
 
-def train(vectors: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, prior: float, steps: int = 900, batch: int = 64, rate: float = 0.004, seed: int = 1) -> Model:
-    """Adam on all weights together, at least ``steps`` batches, documents in a seeded order."""
+def passages(text: bytes) -> np.ndarray:
+    """All passage vectors of a text."""
+    return np.concatenate([x for x, _ in portions([text])])
+
+
+def train(texts: list[bytes], labels: np.ndarray, weights: np.ndarray, prior: float, steps: int = 900, batch: int = 64, rate: float = 0.004, seed: int = 1) -> Model:
+    """Adam on all weights together, at least ``steps`` batches of whole texts (zstd-compressed), in a seeded order."""
+    import zstandard
+
+    kept: dict[int, np.ndarray] = {}
+
+    def vectors(i: int) -> np.ndarray:
+        if i in kept:
+            return kept[i]
+        x = passages(zstandard.decompress(texts[i]))
+        if len(x) <= KEPT_PASSAGES:
+            kept[i] = x
+        return x
+
     rng = np.random.default_rng(seed)
     shapes = {"encode": (FEATURES, HIDDEN), "shift": (HIDDEN,), "attend": (HIDDEN, GATE), "gate": (HIDDEN, GATE), "rank": (GATE,), "judge": (HIDDEN,), "bias": (1,)}
     w = {k: (rng.normal(0, 1 / np.sqrt(s[0]), s) if k not in ("shift", "bias") else np.zeros(s)).astype(np.float32) for k, s in shapes.items()}
     m, v, step = {k: 0.0 for k in w}, {k: 0.0 for k in w}, 0
     while step < steps:
-        order = rng.permutation(len(vectors))
+        order = rng.permutation(len(texts))
         for k in range(0, len(order), batch):
             own = order[k : k + batch]
-            x, counts = np.concatenate([vectors[i] for i in own]), np.array([len(vectors[i]) for i in own])
+            parts = [vectors(i) for i in own]
+            x, counts = np.concatenate(parts), np.array(list(map(len, parts)))
             grad = gradients(w, x, counts, lambda s: ((s - labels[own]) * weights[own] / weights[own].sum()).astype(np.float32))
             step += 1
             for name, g in grad.items():
@@ -138,17 +194,24 @@ def train(vectors: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, pr
 
 
 def sample(docs: DataFrame, labels: DataFrame, per_class: int) -> DataFrame:
-    """Up to ``per_class`` labelled documents of each class, in order of a hash of the id: (id, text, label)."""
+    """Up to ``per_class`` rows of each class, in order of a hash of the id, of equal ids by a hash of the text: (id, text, label).
+
+    Ids are chosen from the labels first, so only their documents are read on; an id may stand for many documents.
+    """
     chosen = [labels.filter(F.col("label") == k).orderBy(F.xxhash64("id"), "id").limit(per_class) for k in (0, 1)]
-    return docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id")
+    rows = docs.join(F.broadcast(chosen[0].unionByName(chosen[1])), "id").select("id", "text", "label")
+    order = W.partitionBy("label").orderBy(F.xxhash64("id"), "id", F.xxhash64("text"))
+    return rows.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_class).drop("n")
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, passages: int = SAMPLE_PASSAGES) -> Model:
-    """Model from ``docs`` (id, text) and ``labels`` (id, label 0 or 1).
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS) -> Model:
+    """Model from ``docs`` (id, text) and ``labels`` (id, label 0 or 1); ids are whole numbers.
 
-    Class shares come from all labels, weights from a sample of at most ``per_class`` documents of each class with at most
-    ``passages`` evenly spaced passages each, which the driver trains on. Null ids and labels do not teach; an id with
-    two labels counts once for each. With less than two classes every score is the smoothed share of label 1.
+    Class shares come from all labels, weights from a sample of at most ``per_class`` documents of each class, whose whole
+    texts come to the driver compressed and are trained on there, all passages of each. Null ids and labels do not teach; an
+    id with two labels counts once for each, and of the documents that share an id each one, as far as the sample
+    goes. Null texts count as empty. With less than two classes every score is the smoothed share of label 1; without
+    any label, and on an empty table, it is a half.
     """
     known = labels.filter(F.col("id").isNotNull() & F.col("label").isin(0, 1)).select("id", F.col("label").cast("int").alias("label")).distinct()
     sizes = {r["label"]: r["n"] for r in known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -156,38 +219,41 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = SAMPLE_PER_CLASS, p
     if len(sizes) < 2:
         return Model(prior)
 
-    def vectors(batches):
+    def compressed(batches):
+        import zstandard
+
         for b in batches:
-            rows = []
-            for t in b.column("text").to_pylist():
-                x, _ = encode([(t or "").encode()])
-                rows.append(x[np.unique(np.linspace(0, len(x) - 1, min(len(x), passages)).astype(int))].tobytes())
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(rows, pa.binary())], ["id", "label", "vectors"])
-
-    rows = sample(docs, known, per_class).select("id", "label", "text").mapInArrow(vectors, "id long, label int, vectors binary").collect()
-    rows = sorted(rows, key=lambda r: (r["id"], r["label"], bytes(r["vectors"])))
+            texts = [zstandard.compress((t or "").encode()) for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("label"), pa.array(texts, pa.binary())], ["id", "label", "text"])
+
+    rows = sample(docs, known, per_class).select("id", "label", "text").mapInArrow(compressed, "id long, label int, text binary").collect()
+    rows = sorted(rows, key=lambda r: (r["id"], r["label"], bytes(r["text"])))
     y = np.array([r["label"] for r in rows])
     if len(set(y.tolist())) < 2:
         return Model(prior)
     share = np.array([prior if k else 1 - prior for k in y]) / np.array([(y == k).mean() for k in y])
-    return train([np.frombuffer(r["vectors"], np.float32).reshape(-1, FEATURES) for r in rows], y, share, prior)
+    return train([bytes(r["text"]) for r in rows], y, share, prior)
 
 
 def scored(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
-    """``doc`` (struct of the input row) and ``score`` in [0, 1]. Whole texts; null ones count as empty, repeated rows repeat their score."""
+    """``doc`` (struct of the input row) and ``score`` in [0, 1].
+
+    Whole texts, long ones in pieces of two megabytes, of which only the passages' hidden vectors stay: about a fifth of the
+    text. Null texts count as empty, repeated rows repeat their score, an empty table gives an empty one; other columns are
+    only carried inside ``doc``, whatever their names.
+    """
     whole = docs.select(F.struct("*").alias("doc"))
 
     def judged(batches):
         for b in batches:
-            texts = [(t or "").encode() for t in b.column("doc").field(text).to_pylist()]
+            texts = b.column("doc").field(text)
             scores, k = [], 0
-            while k < len(texts):  # about two megabytes at once
-                size, last = 0, k
-                while last < len(texts) and (last == k or size < 2 << 20):
-                    size += len(texts[last])
-                    last += 1
-                scores.append(model.score(*encode(texts[k:last])))
-                k = last
+            while k < len(texts):
+                size, own = 0, []
+                while k < len(texts) and size < PIECE:
+                    own.append((texts[k].as_py() or "").encode())
+                    size, k = size + len(own[-1]), k + 1
+                scores.append(model.score(own))
             yield pa.RecordBatch.from_arrays([b.column("doc"), pa.array(np.concatenate(scores) if scores else np.empty(0), pa.float64())], ["doc", "score"])
 
     return whole.mapInArrow(judged, whole.select("doc", F.lit(0.0).alias("score")).schema)
