@@ -355,3 +355,26 @@ def test_quality_gradients():
         down = loss()
         w[name][at] = kept
         assert grad[name][at] == pytest.approx((up - down) / 2e-5, rel=1e-3, abs=1e-6)
+
+
+def test_quality_scores_by_loops(spark, docs):
+    import numpy as np
+    import zstandard
+
+    teach = [zstandard.compress(x) for x in (b"fine words in lines " * 200, b"### $$$ !!" * 40, b"")]
+    model = quality_model.train(teach, np.array([1, 0, 0]), np.ones(3), 0.5, steps=60)
+    weights, classes = {k: v.tolist() for k, v in model.weights.items()}, quality_model.byte_classes().tolist()
+    got = {r["doc"]["doc_id"]: r["score"] for r in quality_model.scored(docs[1], model).collect()}
+    for i, text in docs[0]:
+        assert got[i] == pytest.approx(brute.quality_score(weights, (text or "").encode(), classes), abs=2e-4)
+
+
+@pytest.mark.parametrize("bits", [1, 2])
+def test_language_model_in_several_steps(spark, docs, bits):
+    """More blocks than one step takes: answers pass through merged slices and stay the same."""
+    df, held = docs[1].repartition(11), F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    plain, deep = ({r["doc_id"]: r for r in language_model.score(df, held, bits=b).collect()} for b in (10, bits))
+    assert plain.keys() == deep.keys()
+    for i, r in plain.items():
+        assert deep[i][:5] == r[:5] and deep[i]["train_tokens"] == r["train_tokens"]
+        assert deep[i]["base_score"] == pytest.approx(r["base_score"]) and deep[i]["score"] == pytest.approx(r["score"])

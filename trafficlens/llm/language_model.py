@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.common import written
+from trafficlens.llm.exchange import BITS, SLICES, first_cuts, looked_up, packed, sliced, sorted_runs, unpacked
 
 ADD = 0.1  # added to every count of the unigram model
 DISCOUNT = 0.75  # taken from every kept longer n-gram
@@ -23,21 +24,6 @@ WALK = 1 << 16
 BLOCK_SCHEMA = "block long, ids binary, marks binary, ends binary, tokens binary, hashes binary, counts binary, n_train long"
 
 
-def packed(array: np.ndarray) -> bytes:
-    """Bytes of an array, plane by plane, compressed."""
-    import zstandard
-
-    planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.itemsize).T if len(array) else array.view(np.uint8)
-    return zstandard.compress(np.ascontiguousarray(planes).tobytes(), 1)
-
-
-def unpacked(data: bytes, kind: str) -> np.ndarray:
-    import zstandard
-
-    raw = np.frombuffer(zstandard.decompress(data), np.uint8)
-    return np.ascontiguousarray(raw.reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
-
-
 def blocks(docs: DataFrame, doc_id: str, text: str, held: Column) -> DataFrame:
     """Documents packed into blocks: token numbers into the block's sorted distinct word hashes, and the counts of its training texts.
 
@@ -89,56 +75,17 @@ def blocks(docs: DataFrame, doc_id: str, text: str, held: Column) -> DataFrame:
     return written(rows.mapInArrow(batched, BLOCK_SCHEMA), "lm-blocks")
 
 
-def sliced(block: int, hashes: np.ndarray, values: np.ndarray, buckets: int) -> pa.RecordBatch:
-    """The sorted hashes of a block and their values, cut by the bucket of the hash."""
-    bucket = ((hashes >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-    which, first = np.unique(bucket, return_index=True)
-    cuts = list(zip(first, np.r_[first[1:], len(hashes)]))
-    columns = [pa.array([packed(np.diff(hashes[i:j], prepend=np.uint64(0))) for i, j in cuts], pa.binary()), pa.array([packed(values[i:j]) for i, j in cuts], pa.binary())]
-    return pa.RecordBatch.from_arrays([pa.array(which.astype(np.int64)), pa.array(np.full(len(which), block)), *columns], ["bucket", "block", "hashes", "counts"])
-
-
-SLICES = "bucket long, block long, hashes binary, counts binary"
-
-
-def slice_hashes(group: pd.DataFrame) -> list[np.ndarray]:
-    return [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in group["hashes"]]
-
-
-def per_slice(values: np.ndarray, hashes: list[np.ndarray]) -> list[bytes]:
-    return [packed(x) for x in np.split(values, np.cumsum([len(h) for h in hashes])[:-1])]
-
-
-def sorted_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts the keys, and where each distinct key starts in it; leaner than ``np.unique``."""
-    order = np.argsort(keys)
-    ranked = keys[order]
-    return order, np.flatnonzero(np.r_[np.ones(min(len(keys), 1), bool), ranked[1:] != ranked[:-1]])
-
-
-def totals(packs: DataFrame, buckets: int) -> DataFrame:
-    """Corpus counts of the words, back to every block that has them, by ranges of the hash.
-
-    A block sends each bucket the slice of its sorted hashes that falls into it, with its counts; the bucket adds up the
-    counts per hash and answers every slice in its own order. ``types`` (distinct training words) is on one row of each bucket.
-    """
+def totals(packs: DataFrame, n_blocks: int, bits: int) -> DataFrame:
+    """Corpus counts of the words, back to every block that has them; ``types`` adds up to the distinct training words."""
+    cuts = first_cuts(n_blocks, bits)
 
     def dealt(batches):
         for b in batches:
             for block, hashes, counts in zip(*(b.column(c).to_pylist() for c in ("block", "hashes", "counts"))):
-                yield sliced(block, unpacked(hashes, "<u8"), unpacked(counts, "<u4"), buckets)
-
-    def answered(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = slice_hashes(group)
-        known, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        counts = np.bincount(place, weights=np.concatenate([unpacked(x, "<u4") for x in group["counts"]])).astype(np.int64)
-        return pd.DataFrame({
-            "block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "totals": per_slice(counts[place], hashes),
-            "types": [int((counts > 0).sum())] + [0] * (len(group) - 1),
-        })
+                yield sliced(block, unpacked(hashes, "<u8"), unpacked(counts, "<u4"), cuts)
 
     slices = packs.select("block", "hashes", "counts").mapInArrow(dealt, SLICES)
-    return written(slices.groupBy("bucket").applyInPandas(answered, "block long, bucket long, totals binary, types long"), "lm-totals")
+    return written(looked_up(slices, n_blocks, "<u4", lambda sums: sums, bits=bits), "lm-totals")
 
 
 def mixed(left: np.ndarray, right: np.ndarray) -> np.ndarray:
@@ -188,11 +135,12 @@ class Grams:
         return cls(keys, size, before, list(zip(spots, np.split(number, cuts[1:-1]))))
 
 
-def gram_totals(packs: DataFrame, buckets: int, order: int, least: int) -> DataFrame:
-    """Corpus counts of the longer n-grams, back to every block that has them, by ranges of the hash like those of the words.
+def gram_totals(packs: DataFrame, n_blocks: int, order: int, least: int, bits: int) -> DataFrame:
+    """Corpus counts of the longer n-grams, back to every block that has them, like those of the words.
 
     ``totals`` are zero below ``least``, else twice the count, and one more in one block of each n-gram: there it is listed.
     """
+    cuts = first_cuts(n_blocks, bits)
 
     def dealt(batches):
         for b in batches:
@@ -201,24 +149,15 @@ def gram_totals(packs: DataFrame, buckets: int, order: int, least: int) -> DataF
                 grams = Grams.of(unpacked(hashes, "<u8"), unpacked(tokens, "<u4"), ends, order)
                 learnt = np.repeat(unpacked(marks, "u1") & 1 == 0, np.diff(ends, prepend=0))
                 times = sum(np.bincount(number[learnt[spot]], minlength=len(grams.keys)) for spot, number in grams.at)
-                yield sliced(block, grams.keys, times.astype(np.uint32), buckets)
-
-    def answered(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = slice_hashes(group)
-        ranks, start = sorted_runs(np.concatenate(hashes))
-        counts = np.add.reduceat(np.concatenate([unpacked(x, "<u4") for x in group["counts"]])[ranks], start, dtype=np.int64) if len(start) else start
-        value = np.empty(len(ranks), np.int64)
-        value[ranks] = np.repeat(np.where(counts >= least, 2 * counts, 0), np.diff(start, append=len(ranks)))
-        value[ranks[start]] += counts >= least
-        return pd.DataFrame({"block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "totals": per_slice(value, hashes)})
+                yield sliced(block, grams.keys, times.astype(np.uint32), cuts)
 
     slices = packs.select("block", "hashes", "tokens", "ends", "marks").mapInArrow(dealt, SLICES)
-    return written(slices.groupBy("bucket").applyInPandas(answered, "block long, bucket long, totals binary"), "lm-grams")
+    return written(looked_up(slices, n_blocks, "<u4", lambda sums: np.where(sums >= least, 2 * sums + 1, 0), True, bits), "lm-grams")
 
 
 def parts(own: pd.DataFrame, kind: str, dtype: str) -> np.ndarray:
     """The answers of one kind to a block, in the order of its sorted hashes."""
-    rows = own[own["kind"] == kind].sort_values("bucket")["totals"]
+    rows = own[own["kind"] == kind].sort_values("node")["totals"]
     return np.concatenate([np.empty(0, dtype), *[unpacked(x, dtype) for x in rows]])
 
 
@@ -227,15 +166,16 @@ def contexts(hashes: np.ndarray, words: np.ndarray, grams: Grams, value: np.ndar
     return np.sort(np.r_[hashes[words >= least], grams.keys[(value > 0) & (grams.size < order)]])
 
 
-def spent(packs: DataFrame, answers: DataFrame, buckets: int, order: int, least: int) -> DataFrame:
+def spent(packs: DataFrame, answers: DataFrame, n_blocks: int, order: int, least: int, bits: int) -> DataFrame:
     """What the kept continuations of a context take of its count, sum of c - D, back to every block that has the context.
 
     Counts are added up from the blocks' own occurrences; the discount is taken once, where the n-gram is listed.
     """
+    cuts = first_cuts(n_blocks, bits)
 
     def dealt(pack: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(pack):
-            return pd.DataFrame({c: [] for c in ("bucket", "block", "hashes", "counts")})
+            return pd.DataFrame({c: [] for c in ("node", "source", "hashes", "counts")})
         row = pack.iloc[0]
         hashes, ends = unpacked(row["hashes"], "<u8"), unpacked(row["ends"], "<i8")
         grams, value = Grams.of(hashes, unpacked(row["tokens"], "<u4"), ends, order), parts(own, "gram", "<i8")
@@ -244,16 +184,10 @@ def spent(packs: DataFrame, answers: DataFrame, buckets: int, order: int, least:
         times = sum(np.bincount(number[learnt[spot]], minlength=len(grams.keys)) for spot, number in grams.at)
         kept = np.flatnonzero(value)
         taken = np.bincount(np.searchsorted(asked, grams.before[kept]), weights=times[kept] - DISCOUNT * (value[kept] & 1), minlength=len(asked))
-        return sliced(row["block"], asked, taken, buckets).to_pandas()
-
-    def answered(group: pd.DataFrame) -> pd.DataFrame:
-        hashes = slice_hashes(group)
-        _, place = np.unique(np.concatenate(hashes), return_inverse=True)
-        taken = np.bincount(place, weights=np.concatenate([unpacked(x, "<f8") for x in group["counts"]]))
-        return pd.DataFrame({"block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "totals": per_slice(taken[place], hashes)})
+        return sliced(int(row["block"]), asked, taken, cuts).to_pandas()
 
-    slices = packs.select("block", "hashes", "tokens", "ends", "marks").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(dealt, SLICES)
-    return written(slices.groupBy("bucket").applyInPandas(answered, "block long, bucket long, totals binary"), "lm-spent")
+    slices = packs.select("block", "hashes", "tokens", "ends", "marks").groupBy("block").cogroup(answers.groupBy("source")).applyInPandas(dealt, SLICES)
+    return written(looked_up(slices, n_blocks, "<f8", lambda sums: sums, bits=bits), "lm-spent")
 
 
 @dataclass
@@ -322,26 +256,26 @@ class Automaton:
         return out
 
 
-def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST) -> DataFrame:
+def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "text", order: int = ORDER, least: int = LEAST, bits: int = BITS) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     The model learns from the rows where ``held`` is not true. Words are A-Z lower-cased runs between blanks, with one end
     token per text; null and empty texts have the end only. The unigram model covers all words. All longer n-grams that occur
     ``least`` times are kept, however large the corpus; no task or driver has them all: each block of texts gets the counts of
-    its own words and n-grams, builds its states, arcs and failure arcs from them, and walks its texts from left to right.
-    Texts are read whole; one text is never split, so memory grows with the longest. Ids are whole numbers. Repeated rows are scored (and counted) each time; rows
+    its own words and n-grams (:mod:`exchange`, ``bits`` are its), builds its states, arcs and failure arcs from them, and walks
+    its texts from left to right. Texts are read whole; one text is never split, so memory grows with the longest. Ids are whole numbers. Repeated rows are scored (and counted) each time; rows
     with a null id learn. An empty table gives an empty one; other columns are not read.
     """
     packs = blocks(docs, doc_id, text, held)
     n, n_blocks = packs.agg(F.sum("n_train"), F.count(F.lit(1))).first()
-    n, buckets = n or 0, max(n_blocks, 1)
-    word_rows = totals(packs, buckets)
+    n = n or 0
+    word_rows = totals(packs, n_blocks, bits)
     types = word_rows.agg(F.sum("types")).first()[0] or 0
-    of_kind = lambda rows, kind: rows.select("block", "bucket", "totals", F.lit(kind).alias("kind"))
+    of_kind = lambda rows, kind: rows.select("source", "node", "totals", F.lit(kind).alias("kind"))
     answers = of_kind(word_rows, "word")
     if order > 1:
-        answers = answers.unionByName(of_kind(gram_totals(packs, buckets, order, least), "gram"))
-        answers = answers.unionByName(of_kind(spent(packs, answers, buckets, order, least), "spent"))
+        answers = answers.unionByName(of_kind(gram_totals(packs, n_blocks, order, least, bits), "gram"))
+        answers = answers.unionByName(of_kind(spent(packs, answers, n_blocks, order, least, bits), "spent"))
 
     def scored(pack: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
         if not len(pack):
@@ -359,5 +293,5 @@ def score(docs: DataFrame, held: Column, doc_id: str = "doc_id", text: str = "te
         })
 
     schema = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    rows = packs.drop("counts", "n_train").groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(scored, schema)
+    rows = packs.drop("counts", "n_train").groupBy("block").cogroup(answers.groupBy("source")).applyInPandas(scored, schema)
     return rows.withColumn("train_tokens", F.lit(n).cast("long"))

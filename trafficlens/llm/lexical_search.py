@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from trafficlens.llm.common import written
-from trafficlens.llm.language_model import packed, unpacked
+from trafficlens.llm.exchange import packed, unpacked
 
 # One pass over the documents serves at most so many items, distinct terms and bytes of item text (at least one item).
 MOST_ITEMS, MOST_TERMS, MOST_BYTES = 1024, 1 << 15, 4 << 20

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from trafficlens.llm.common import BASE, powers, written
-from trafficlens.llm.language_model import packed, unpacked
+from trafficlens.llm.exchange import packed, unpacked
 
 WIDTH, ANCHOR = 50, 20
 LEFT = WIDTH - ANCHOR  # bytes of a window before its anchor, at most
