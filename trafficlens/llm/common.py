@@ -47,9 +47,9 @@ def filesystem(uri: str):
 BASE = 0x9E3779B97F4A7C15  # of the polynomial hashes of byte strings
 
 
-def powers(n: int):
+def powers(n: int, base: int = BASE):
     """Powers of the base and of its inverse modulo 2**64: hashes of all substrings from one running sum."""
     with np.errstate(over="ignore"):
-        up, down = np.full(n, BASE, np.uint64), np.full(n, pow(BASE, -1, 1 << 64), np.uint64)
+        up, down = np.full(n, base, np.uint64), np.full(n, pow(base, -1, 1 << 64), np.uint64)
         up[0] = down[0] = 1
         return np.multiply.accumulate(up), np.multiply.accumulate(down)

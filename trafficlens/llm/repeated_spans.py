@@ -2,8 +2,10 @@
 
 Only suffixes at anchors are sorted. The anchor of a 50-byte window is the place in it whose 20 following bytes hash least,
 so equal windows have equal anchors at equal places in them, and a text has an anchor every 16 bytes or so. Neighbouring
-windows with one anchor form a stretch. Stretches found whole in a smaller document need no comparison; the others
-with an anchor string in common are the suffixes that are sorted, merged and compared.
+windows with one anchor form a stretch. Stretches found whole in a smaller document, by 128 bits of two independent
+hashes, need no comparison; the others with an anchor string in common are the suffixes that are sorted, merged and compared
+byte by byte. An anchor string with very many of them is dealt out further: its windows are the sorted strings then, by
+the hash of their bytes.
 """
 
 import hashlib
@@ -23,10 +25,13 @@ LEFT = WIDTH - ANCHOR  # bytes of a window before its anchor, at most
 BLOCK_BYTES = 2 << 20
 CHUNK = 1 << 18  # window starts that are hashed at once
 BUCKET_BYTES = 4 << 20  # of text per bucket of anchor strings
-HOT = 1 << 16  # stretches of one anchor string that are sorted and merged in one task; more are compared window by window
+HOT = 1 << 16  # stretches of one anchor string that are merged in one task; of more the windows are, in as many as there are buckets
 NO_ID = (1 << 63) - 1  # documents without an id count as the largest
 
 MASK48 = np.uint64((1 << 48) - 1)
+# A second hash of byte strings, with numbers of its own for the bytes.
+SECOND_BASE = 0xD1342543DE82EF95
+BYTE_NUMBERS = np.random.default_rng(7).integers(0, 1 << 63, 256, np.uint64)
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -36,11 +41,12 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 def stretches(raw: np.ndarray, ends: np.ndarray):
-    """Per chunk of window starts: (anchor, first, last window start, anchor hash, stretch hash) as arrays of places in ``raw``.
+    """Per chunk of window starts: (anchor, first, last window start, anchor hash, stretch hash, its second hash) as arrays of places in ``raw``.
 
     ``ends`` are the ends of the documents in ``raw``; windows lie within one document.
     """
     up, down = powers(CHUNK + WIDTH + 1)
+    up2, down2 = powers(CHUNK + WIDTH + 1, SECOND_BASE)
     for base in range(0, len(raw), CHUNK):
         part = raw[base : base + CHUNK + WIDTH - 1]
         starts = min(CHUNK, len(part) - WIDTH + 1)
@@ -69,7 +75,9 @@ def stretches(raw: np.ndarray, ends: np.ndarray):
         with np.errstate(over="ignore"):
             text = (sums[last + WIDTH] - sums[first]) * down[first]
             whole = mixed(mixed(text) + (own - first).astype(np.uint64) * np.uint64(0xA24BAED4963EE407) + (last - first).astype(np.uint64) * np.uint64(0x9FB21C651E98DF25))
-        yield own + base, first + base, last + base, grams[own] >> np.uint64(16), whole & MASK48
+            np.cumsum(BYTE_NUMBERS[part] * up2[:n], out=sums[1:])
+            second = mixed((sums[last + WIDTH] - sums[first]) * down2[first])
+        yield own + base, first + base, last + base, grams[own] >> np.uint64(16), whole & MASK48, second
 
 
 class Block:
@@ -82,12 +90,12 @@ class Block:
         self.ids, self.ends = unpacked(row["ids"], "<i8"), unpacked(row["ends"], "<i8")
         parts = list(stretches(self.raw, self.ends))
         self.anchor, self.first, self.last = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.int64) for k in range(3))
-        gram, whole = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.uint64) for k in (3, 4))
+        gram, whole, second = (np.concatenate([p[k] for p in parts]) if parts else np.empty(0, np.uint64) for k in (3, 4, 5))
         self.id = self.ids[np.searchsorted(self.ends, self.first, "right")]
-        order = np.lexsort((self.id, whole, gram))
-        gram, whole = gram[order], whole[order]
-        new = np.r_[True, (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1])] if len(order) else np.empty(0, bool)
-        self.gram, self.whole, self.least, self.any = gram[new], whole[new], self.id[order][new], order[new]
+        order = np.lexsort((self.id, second, whole, gram))
+        gram, whole, second = gram[order], whole[order], second[order]
+        new = np.r_[True, (gram[1:] != gram[:-1]) | (whole[1:] != whole[:-1]) | (second[1:] != second[:-1])] if len(order) else np.empty(0, bool)
+        self.gram, self.whole, self.second, self.least, self.any = gram[new], whole[new], second[new], self.id[order][new], order[new]
         self.pair = np.empty(len(order), np.int64)  # distinct stretch of every stretch
         self.pair[order] = np.cumsum(new) - 1
         self.key = mixed(self.gram ^ mixed(self.whole + np.uint64(1)))
@@ -105,15 +113,19 @@ class Block:
         return ranges(self.gram[self.group] >> np.uint64(16), buckets)
 
     def windows(self, pairs: np.ndarray):
-        """(distinct stretch, distance to the anchor, hash) of every window of some distinct stretches."""
+        """(distinct stretch, distance to the anchor, number of its bytes) of every window of some distinct stretches, and the distinct bytes, sorted."""
         place = self.any[pairs]
         count = (self.last - self.first)[place] + 1
         start = np.repeat(self.first[place], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        mark = np.zeros(len(start), np.uint64)
-        with np.errstate(over="ignore"):
-            for k in range(WIDTH):
-                mark = mark * np.uint64(BASE) + self.raw[start + k] + np.uint64(1)
-        return np.repeat(pairs, count), np.repeat(self.anchor[place], count) - start, mixed(mark)
+        strings = self.raw[start[:, None] + np.arange(WIDTH)].reshape(-1, WIDTH)
+        wide = np.zeros((len(strings), -(-WIDTH // 8) * 8), np.uint8)
+        wide[:, :WIDTH] = strings
+        wide = wide.view(">u8").astype(np.uint64)
+        order = np.lexsort(wide.T[::-1])
+        new = np.r_[np.ones(min(len(order), 1), bool), (wide[order][1:] != wide[order][:-1]).any(axis=1)]
+        number = np.empty(len(order), np.int64)
+        number[order] = np.cumsum(new) - 1
+        return np.repeat(pairs, count), np.repeat(self.anchor[place], count) - start, number, strings[order[new]]
 
 
 def ranges(high: np.ndarray, buckets: int):
@@ -177,7 +189,7 @@ def known_stretches(blocks: DataFrame, buckets: int) -> DataFrame:
             b, out = Block(row), []
             for bucket, own in b.stretch_slices(buckets):
                 ids, at = np.unique(b.least[own], return_inverse=True)
-                out.append((STRETCH, bucket, row["block"], packed(np.diff(b.key[own], prepend=np.uint64(0))), None, None, packed(ids), packed(at.astype(np.uint32))))
+                out.append((STRETCH, bucket, row["block"], packed(np.diff(b.key[own], prepend=np.uint64(0))), packed(b.second[own]), None, packed(ids), packed(at.astype(np.uint32))))
             ends = np.r_[b.group[1:], len(b.gram)]
             for bucket, i, j in b.group_slices(buckets):
                 low, high = b.whole[b.group[i:j]], b.whole[ends[i:j] - 1]
@@ -187,7 +199,12 @@ def known_stretches(blocks: DataFrame, buckets: int) -> DataFrame:
     def answered(group: pd.DataFrame) -> pd.DataFrame:
         hashes = [np.cumsum(unpacked(x, "<u8")) for x in group["hashes"]]
         cuts = np.cumsum([len(h) for h in hashes])[:-1]
-        _, place = np.unique(np.concatenate(hashes), return_inverse=True)
+        keys = [np.concatenate(hashes)]
+        if group["kind"].iloc[0] == STRETCH:
+            keys.insert(0, np.concatenate([unpacked(x, "<u8") for x in group["low"]]))
+        order = np.lexsort(keys)
+        place = np.empty(len(order), np.int64)
+        place[order] = np.cumsum(np.r_[False, np.any([k[order][1:] != k[order][:-1] for k in keys], axis=0)])
         n = int(place.max()) + 1
         out = {"kind": group["kind"].to_numpy(), "block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy(), "least": None, "open": None}
         if group["kind"].iloc[0] == STRETCH:
@@ -304,12 +321,24 @@ def runs_of(row: dict, known: pd.DataFrame, buckets: int) -> list[tuple]:
     b, out = Block(row), []
     _, code = open_stretches(b, known, buckets)
     text = b.raw.tobytes()
-    hot, _, mark = b.windows(np.flatnonzero(code == 2))
-    order = np.lexsort((b.least[hot], mark))
-    new = np.r_[True, mark[order][1:] != mark[order][:-1]] if len(order) else np.empty(0, bool)
-    mark, doc = mark[order][new], b.least[hot][order][new]
-    for bucket, i, j in ranges(mark >> np.uint64(32), buckets):
-        out.append((WINDOW, bucket, row["block"], *[None] * 6, packed(doc[i:j]), packed(mark[i:j]), 0))
+    import zstandard
+
+    hot, _, number, strings = b.windows(np.flatnonzero(code == 2))
+    doc, mark = np.full(len(strings), NO_ID, np.int64), np.zeros(len(strings), np.uint64)
+    np.minimum.at(doc, number, b.least[hot])
+    with np.errstate(over="ignore"):
+        for k in range(WIDTH):
+            mark = mark * np.uint64(BASE) + strings[:, k] + np.uint64(1)
+    order = np.argsort(mixed(mark), kind="stable")
+    for bucket, i, j in ranges(mixed(mark)[order] >> np.uint64(32), buckets):
+        own = np.sort(order[i:j])
+        same = strings[own][1:] == strings[own][:-1]
+        common = np.r_[0, same.argmin(axis=1)].astype(np.uint8)
+        rest = strings[own][np.arange(WIDTH) >= common[:, None]].tobytes()
+        out.append((
+            WINDOW, bucket, row["block"], packed(common), zstandard.compress(rest, 3), packed((WIDTH - common).astype(np.uint8)), None, None, None,
+            packed(doc[own]), packed(own.astype(np.uint32)), len(rest),
+        ))
     for bucket, i, j in b.group_slices(buckets):
         first, end = b.group[i], b.group[j] if j < len(b.group) else len(b.gram)
         pairs = np.flatnonzero(code[first:end] == 1) + first
@@ -322,8 +351,6 @@ def runs_of(row: dict, known: pd.DataFrame, buckets: int) -> list[tuple]:
         left = [text[x:y].rjust(LEFT, b"\0") for x, y in zip(b.first[places].tolist(), b.anchor[places].tolist())]
         sizes = (b.anchor - b.first)[places][order].astype(np.uint8)
         inner = (b.anchor - b.last)[places][order].astype(np.int8)
-        import zstandard
-
         out.append((
             STRETCH, bucket, row["block"], packed(common), zstandard.compress(rest, 3), packed(lengths), zstandard.compress(b"".join(left[k] for k in order), 3),
             packed(sizes), packed(inner), packed(b.least[pairs][order]), packed(pairs[order].astype(np.uint32)), len(rest),
@@ -346,26 +373,29 @@ def compared(group: pd.DataFrame) -> pd.DataFrame:
 
     group = group.sort_values("block")
     out = {"kind": group["kind"].to_numpy(), "block": group["block"].to_numpy(), "bucket": group["bucket"].to_numpy()}
-    if group["kind"].iloc[0] == WINDOW:
-        marks, doc = [unpacked(x, "<u8") for x in group["places"]], np.concatenate([unpacked(x, "<i8") for x in group["ids"]])
-        _, place = np.unique(np.concatenate(marks), return_inverse=True)
-        least = np.full(int(place.max()) + 1, NO_ID, np.int64)
-        np.minimum.at(least, place, doc)
-        return pd.DataFrame(out | {"places": group["places"].to_numpy(), "masks": [packed(x) for x in np.split(least[place], np.cumsum([len(m) for m in marks])[:-1])]})
+    single = group["kind"].iloc[0] == WINDOW
     plain = zstandard.ZstdDecompressor()
     runs, left, size, inner, doc = [], [], [], [], []
     for r in group.itertuples():
         common = unpacked(r.common, "u1")
         rest = plain.decompress(r.rest, max_output_size=max(r.rest_size, 1)) if r.rest_size else b""
         runs.append((decoded(common, rest, unpacked(r.lengths, "u1")), common.tolist()))
+        doc.append(unpacked(r.ids, "<i8"))
+        if single:
+            continue
         left.append(np.frombuffer(plain.decompress(r.lefts, max_output_size=max(LEFT * len(common), 1)), np.uint8).reshape(-1, LEFT))
         size.append(unpacked(r.sizes, "u1"))
         inner.append(unpacked(r.inner, "i1"))
-        doc.append(unpacked(r.ids, "<i8"))
     begin = np.cumsum([0, *map(len, doc)])
     order = merged(runs)
     row = np.array([begin[run] + at for run, at, _ in order], np.int64)
     common = np.array([c for _, _, c in order], np.int64)
+    back = np.empty(len(row), np.uint64)
+    if single:  # equal strings are neighbours that share all their bytes
+        doc, new = np.concatenate(doc)[row], common < WIDTH
+        new[0] = True
+        back[row] = np.minimum.reduceat(doc, np.flatnonzero(new))[np.cumsum(new) - 1].view(np.uint64)
+        return pd.DataFrame(out | {"places": group["places"].to_numpy(), "masks": [packed(back[i:j]) for i, j in zip(begin, begin[1:])]})
     left, size, inner, doc = np.concatenate(left)[row], np.concatenate(size)[row].astype(int), np.concatenate(inner)[row].astype(int), np.concatenate(doc)[row]
     mask, before = np.zeros(len(row), np.uint64), np.zeros(len(row), np.uint64)
     for d in range(LEFT + 1):
@@ -381,7 +411,6 @@ def compared(group: pd.DataFrame) -> pd.DataFrame:
         new = np.r_[True, (t[1:] != t[:-1]) | (h[1:] != h[:-1])]
         smaller = x[new][np.cumsum(new) - 1] < x
         mask[has[by[smaller]]] |= np.uint64(1 << d)
-    back = np.empty(len(row), np.uint64)
     back[row] = mask
     return pd.DataFrame(out | {"places": group["places"].to_numpy(), "masks": [packed(back[i:j]) for i, j in zip(begin, begin[1:])]})
 
@@ -391,19 +420,16 @@ def cleaned(row: dict, known: pd.DataFrame, windows: pd.DataFrame, buckets: int)
     b = Block(row)
     least, code = open_stretches(b, known, buckets)
     masks = np.zeros(len(b.gram), np.uint64)
-    marks, ids = [np.empty(0, np.uint64)], [np.empty(0, np.int64)]
+    pair, apart, number, strings = b.windows(np.flatnonzero(code == 2))
+    smallest = np.full(len(strings), NO_ID, np.int64)
     for kind, at, found in zip(windows["kind"], windows["places"], windows["masks"]):
+        at, found = unpacked(at, "<u4").astype(np.int64), unpacked(found, "<u8")
         if kind == WINDOW:
-            marks.append(unpacked(at, "<u8"))
-            ids.append(unpacked(found, "<i8"))
+            smallest[at] = found.view(np.int64)
         else:
-            masks[unpacked(at, "<u4").astype(np.int64)] = unpacked(found, "<u8")
-    marks, ids = np.concatenate(marks), np.concatenate(ids)
-    if len(marks):
-        pair, apart, mark = b.windows(np.flatnonzero(code == 2))
-        order = np.argsort(marks)
-        seen = ids[order][np.searchsorted(marks[order], mark)] < b.least[pair]
-        np.bitwise_or.at(masks, pair[seen], np.uint64(1) << apart[seen].astype(np.uint64))
+            masks[at] = found
+    seen = smallest[number] < b.least[pair]
+    np.bitwise_or.at(masks, pair[seen], np.uint64(1) << apart[seen].astype(np.uint64))
     change = np.zeros(len(b.raw) + 1, np.int64)
     # A stretch whose least document in the corpus or in this block is smaller is covered whole.
     whole = np.minimum(least, b.least)[b.pair] < b.id
@@ -439,8 +465,10 @@ def spans(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
 
     A byte goes when a 50-byte string over it also starts in a document with a smaller id. Texts travel as compressed blocks,
     hashes of their distinct stretches as sorted slices by ranges of the hash, and open stretches as front-coded sorted runs;
-    where a very frequent anchor string would bring too many together, the hashes of their windows go instead. Null texts are empty; a null id is larger than any other; documents with one id do not remove from each
-    other. An empty table gives an empty one; other columns are not read.
+    where a very frequent anchor string would bring too many together, runs of their windows go instead. Null texts are empty;
+    ids are whole numbers, a null one is larger than any other; documents with one id do not remove from each other. An empty
+    table gives an empty one; other columns are not read. Texts are read whole; one text is never split, so memory grows
+    with the longest.
     """
     blocks = packs(docs, doc_id, text)
     size = blocks.agg(F.sum("size")).first()[0] or 0
