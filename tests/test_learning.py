@@ -145,3 +145,11 @@ def test_training_job_on_all_columns_learns_most_packets(spark, folder):
 
     r = E.queries()["m13_training_job_all_columns"](spark, folder).first()
     assert r["dataset_size"] > 700 and (r["precision"], r["f1_score"], r["false_positive_rate"]) == (1.0, 1.0, 0.0)
+
+
+def test_too_many_categories_for_columns(spark, monkeypatch):
+    monkeypatch.setattr(P, "MOST_COLUMNS", 3)
+    few = spark.createDataFrame([("b",), ("a",), (None,), ("c",), ("a",)], "c string")
+    assert P.categories(few, "c") == ["a", "b", "c"]
+    with pytest.raises(ValueError, match="one_hot_vector"):
+        P.one_hot(few.union(spark.createDataFrame([("d",)], "c string")), "c")

@@ -66,9 +66,16 @@ def min_max_scale(df: DataFrame, columns: list[str], fit_on: DataFrame | None =
     )
 
 
+# A value that becomes a column is part of every plan: more of them are refused before they reach the driver.
+MOST_COLUMNS = 2_000
+
+
 def categories(df: DataFrame, column: str) -> list[str]:
-    """Sorted values of a column that is to become as many columns."""
-    return sorted(r[0] for r in df.select(column).na.drop().distinct().collect())
+    """Sorted values of a column that is to become as many columns; more than ``MOST_COLUMNS`` are an error."""
+    found = df.select(column).na.drop().distinct().limit(MOST_COLUMNS + 1).collect()
+    if len(found) > MOST_COLUMNS:
+        raise ValueError(f"{column} has more than {MOST_COLUMNS} values; take one_hot_vector")
+    return sorted(r[0] for r in found)
 
 
 def dictionary(df: DataFrame, column: str) -> DataFrame:
