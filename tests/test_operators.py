@@ -80,6 +80,36 @@ def test_samples_are_the_first_ranks(spark, rows):
     assert RK.seeded_sample(df.limit(0), "id", 5).count() == 0
 
 
+def test_pieces_are_cuts_of_the_ranks(spark, monkeypatch):
+    half = F.floor(F.col("group_size") / 2)
+    many = [(i, "abc"[i % 3] if i % 7 else None) for i in range(400)]
+    repeated = many + [(None, "a")] * 300 + [(5, "b")] * 200 + [(None, None)] * 9
+    for most in (RK.MOST_GROUPS, 2):
+        monkeypatch.setattr(RK, "MOST_GROUPS", most)
+        for data in (many, repeated):
+            df = spark.createDataFrame(data, "id bigint, g string").repartition(3)
+            for digits in (1, 4):
+                got = RK.seeded_pieces(df, "id", 42, [F.lit(20), half, F.lit(10_000)], "g", digits)
+                assert got.columns == ["id", "g", "piece"]
+                counts = {(r["g"], r["piece"]): r["n"] for r in got.groupBy("g", "piece").agg(F.count("*").alias("n")).collect()}
+                for g in ("a", "b", "c", None):
+                    n = sum(x[1] == g for x in data)
+                    assert (counts[g, 0], counts[g, 1]) == (20, n // 2 - 20) and counts[g, 2] == n - n // 2
+                ranked = RK.seeded_rank(df, "id", 42, "g", digits)
+                want = ranked.select("id", "g", ((F.col("rank") > 20).cast("int") + (F.col("rank") > half).cast("int")).alias("piece"))
+                key = lambda r: (str(r["g"]), str(r["id"]), r["piece"])
+                assert sorted(got.collect(), key=key) == sorted(want.collect(), key=key)
+
+
+def test_pieces_move_no_row_unless_keys_repeat(spark):
+    def plan(df):
+        return RK.seeded_pieces(df, "id", 42, [F.lit(20)], "g")._jdf.queryExecution().optimizedPlan().toString()
+
+    df = spark.range(100).withColumn("g", F.col("id") % 2)
+    assert "Window" not in plan(df) and "Union" not in plan(df)
+    assert "Window" in plan(df.withColumn("id", F.lit(None).cast("bigint")))
+
+
 def test_flow_features_use_exact_durations(spark):
     df = spark.createDataFrame([packet(1, 0, size=1000), packet(2, 1.9, size=900), packet(3, 0, src="9.9.9.9")], PACKET)
     f = {r["packet_id"]: r for r in FE.header_features(df, with_flow=True).collect()}
