@@ -106,6 +106,15 @@ def test_mixing_is_the_same_again(docs):
     assert once == again and len(once) == docs.count()
 
 
+def test_mixing_agrees_for_any_order_of_rows_of_one_id(spark):
+    rows = [(7 if k % 3 else None, f"w{k} x", s) for k in range(90) for s in ("a", "b")] + [(k, f"v{k} y z", "b") for k in range(40)]
+    taken = []
+    for order, parts in ((rows, 1), (rows[::-1], 5)):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string").repartition(parts, "text")
+        taken.append(sorted((r["text"], r["source"]) for r in mixing.mixed(df).collect()))
+    assert taken[0] == taken[1] and len(taken[0]) > len(set(taken[0]))
+
+
 def test_overlaps_with_short_items(spark, docs):
     bench = spark.createDataFrame([(1, "B c"), (2, "e"), (3, ""), (4, None), (None, "pass " * 12), (5, "d e f")], "item_id long, text string")
     found = decontamination.overlaps(docs.select(F.struct(F.monotonically_increasing_id().alias("n"), "doc_id").alias("row"), "text"), bench).collect()

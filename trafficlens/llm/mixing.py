@@ -57,13 +57,15 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, text: str = "text",
 
     The prefix sum is a rank: cells (source, size, hash of the id) are counted, cells are added up within a size and sizes
     within a source, and rows are ranked inside their cell only, so neither a hot source nor many equal texts meet in one task.
-    Null texts have size 0; a null source is a source of its own; a null id is replaced by the text. Rows that agree in
-    all of these share a cell in any order. An empty table gives an empty mix. Other columns are only carried inside ``doc``.
+    Null texts have size 0; a null source is a source of its own; a null id is replaced by the text. Rows of one source, size
+    and id are ranked by a hash of id and text, so that reruns agree on any order of the input; repeated rows share a cell and
+    are ranked in one task. An empty table gives an empty mix. Other columns are only carried inside ``doc``. A text is split
+    into words as a whole, so memory grows with the longest.
     """
     base = docs.select(
         F.struct("*").alias("doc"), F.size(words(F.col(text))).cast("long").alias("size"), F.col(source).alias("source"),
         F.coalesce(F.concat(F.lit("s"), F.col(source)), F.lit("")).alias("skey"),
-        F.md5(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit(""))).alias("key"),
+        F.md5(F.coalesce(F.col(doc_id).cast("string"), F.col(text), F.lit(""))).alias("key"), F.xxhash64(F.col(doc_id).cast("string"), F.col(text)).alias("tie"),
     )
     keyed = base.withColumn("bucket", F.substring("key", 1, 3))
     narrow = written(keyed.select("source", "skey", "size", "bucket").groupBy("source", "skey", "size", "bucket").agg(F.count(F.lit(1)).alias("n")), "mixing-cells")
@@ -75,7 +77,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, text: str = "text",
         .join(sizes, ["skey", "size"]).join(shares, "skey")
         .select("skey", "size", "bucket", (F.col("ahead_of_size") + F.col("ahead_of_bucket")).alias("ahead"), "source_size", "target", "rate", "offset")
     )
-    ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy("skey", "size", "bucket").orderBy("key"))).join(cells, ["skey", "size", "bucket"])
+    ranked = keyed.withColumn("rank", F.row_number().over(W.partitionBy("skey", "size", "bucket").orderBy("key", "tie"))).join(cells, ["skey", "size", "bucket"])
     upto = F.col("ahead") + F.col("rank")
     crossed = lambda n: F.floor(F.col("rate") * n + F.col("offset"))
     copies = F.least(F.greatest(crossed(upto) - crossed(upto - 1), F.lit(0)), F.lit(MOST_COPIES))
