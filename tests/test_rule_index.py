@@ -64,3 +64,33 @@ def test_many_rules_cost_no_more_plan(spark, monkeypatch):
         assert [r["signature"] for r in found.collect()] == ["r77"]
         plans.append(found._jdf.queryExecution().executedPlan().toString())
     assert all("BroadcastHashJoin" in p and "hashpartitioning" not in p for p in plans) and abs(len(plans[0]) - len(plans[1])) < 200
+
+
+def test_rules_stay_off_the_driver(spark, monkeypatch, rows):
+    """Neither the patterns nor what is made of them are collected, however the index is joined."""
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    collected, collect = [], DataFrame.collect
+
+    def counted(df):
+        out = collect(df)
+        collected.append(len(out))
+        return out
+
+    monkeypatch.setattr(DataFrame, "collect", counted)
+    df = spark.createDataFrame([(1, "rule 77 here"), (1, "rule 77 here"), (2, "RULE 4999 here, rule 5 here"), (None, "rule 7 her"), (3, None)], "packet_id long, payload string")
+    rules = spark.range(5000).selectExpr("'r' || id as name", "'rule ' || id || if(id % 2 = 0, ' here', ' (here|there)') as pattern")
+    nothing = spark.createDataFrame([(None, "rule"), ("gone", None)], "name string, pattern string")
+    for limit in (R.BROADCAST_BYTES, 0):
+        monkeypatch.setattr(R, "BROADCAST_BYTES", limit)
+        found = S.matches(df, rules.unionByName(nothing), include_builtin=False)
+        assert max(collected, default=0) < 1000
+        assert rows(found) == [(1, "r77"), (1, "r77"), (2, "r4999"), (2, "r5")]
+
+
+def test_many_patterns_without_a_text_are_joined(spark, monkeypatch, rows):
+    monkeypatch.setattr(S, "INLINE", 0)
+    monkeypatch.setattr(S, "TESTED", 1)
+    df = spark.createDataFrame([(1, "a7"), (2, "select"), (3, "")], "packet_id long, payload string")
+    rules = spark.createDataFrame([("digit", "[0-9]"), ("short", "a."), ("long", "select"), ("xss", "zzzz")], "name string, pattern string")
+    assert rows(S.matches(df, rules)) == [(1, "digit"), (1, "short"), (2, "long")]

@@ -11,8 +11,8 @@ from trafficlens import dims
 
 # Java's \b also treats accented letters as word characters; attack payloads are bytes.
 _WORD_EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
-# A class, an escape, a named group, a reference to one, or anything else.
-_PARTS = re.compile(r"\[\^?\]?(?:\\.|[^\]\\])*\]|\\.|\(\?P<(\w+)>|\(\?P=(\w+)\)|.", re.S)
+# Plain characters, a class, an escape, a named group, a reference to one, or anything else.
+_PARTS = re.compile(r"[^\\\[(]+|\[\^?\]?(?:\\.|[^\]\\])*\]|\\.|\(\?P<(\w+)>|\(\?P=(\w+)\)|.", re.S)
 
 
 def java_regex(pattern: str, flags: str = "is") -> str:

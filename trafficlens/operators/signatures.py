@@ -1,6 +1,7 @@
 """User signatures: validation, latest state, and matching against payloads."""
 
 import re
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -17,6 +18,8 @@ from trafficlens.sources.folded import FoldedLog
 PATTERNS_PER_COLUMN = 128
 # So many signatures at most are tested one by one; both ways give the same rows.
 INLINE = 32
+# Patterns that require no text: so many at most are tested one by one.
+TESTED = 1024
 
 
 def compiles(pattern: str | None) -> bool:
@@ -145,11 +148,10 @@ def builtin(spark: SparkSession) -> DataFrame:
     return dims.literal_rows(spark, "name, pattern", dims.ATTACK_SIGNATURES.items())
 
 
-def patterns_of(signatures: DataFrame) -> dict[str, str]:
-    """One pattern per name: the newest where the table has times, of equal ones the largest."""
+def newest_patterns(signatures: DataFrame) -> DataFrame:
+    """One pattern per name: the newest where the table has times, of equal ones the largest. Without name or pattern nothing can match."""
     newest = F.struct(*[c for c in ("updated_at", "id") if c in signatures.columns], "pattern")
-    rows = signatures.groupBy("name").agg(F.max(newest)["pattern"].alias("pattern"))
-    return {r["name"]: r["pattern"] for r in rows.collect()}
+    return signatures.groupBy("name").agg(F.max(newest)["pattern"].alias("pattern")).filter("name is not null and pattern is not null")
 
 
 def matches(
@@ -157,23 +159,32 @@ def matches(
 ) -> DataFrame:
     """(key, signature) for every payload and every signature that matches it.
 
-    Signatures are settings, not data. A few become literal patterns, tested where the payload lies, without join or
-    shuffle; more than ``INLINE`` are looked up by the texts they require (:mod:`rule_index`), so that a payload costs the same
-    however many there are; patterns that require no text stay literal tests. A user signature replaces the built-in one of its name.
+    A few signatures become literal patterns, tested where the payload lies, without join or shuffle; more than ``INLINE`` are
+    looked up by the texts they require (:mod:`rule_index`), so that a payload costs the same however many there are, and stay off the
+    driver; patterns that require no text stay literal tests, and beyond ``TESTED`` are joined with every payload. A user signature
+    replaces the built-in one of its name.
     """
     text = P.payload_text(F.col(payload), df.schema[payload].dataType)
-    user = patterns_of(signatures) if signatures is not None else {}
+    rules = newest_patterns(signatures) if signatures is not None else None
+    many = rules is not None and signatures.filter("name is not null").select("name").distinct().limit(INLINE + 1).count() > INLINE
+    few = rules.collect() if rules is not None and not many else []
+    user, replaced, found = {r["name"]: P.java_regex(r["pattern"]) for r in few}, {r["name"] for r in few}, []
     prepared = df.select(key, text.alias("_text")).withColumn("_lower", F.lower("_text"))
-    tests = {n: t for n, t in P.signature_flags(F.col("_lower")).items() if n not in user} if include_builtin else {}
-    index = None
-    if len(user) > INLINE:
-        index, user = rule_index.build(df.sparkSession, user)
-    tests |= {n: F.col("_text").rlike(P.java_regex(p)) for n, p in sorted(user.items())}
-    found = rule_index.hits(df, index, key, text) if index is not None else None
-    if found is not None and not tests:
-        return found
-    named = [F.when(t, n) for n, t in tests.items()]
-    groups = [F.array_compact(F.array(F.lit(None).cast("string"), *named[k : k + PATTERNS_PER_COLUMN])) for k in range(0, max(len(named), 1), PATTERNS_PER_COLUMN)]
-    # The outer form keeps Spark from inferring a filter that would run every test a second time.
-    tested = prepared.select(key, F.explode_outer(F.concat(*groups)).alias("signature")).filter("signature is not null")
-    return tested.unionByName(found) if found is not None else tested
+    if many:
+        index, rest = rule_index.build(rules)
+        if include_builtin:
+            replaced = {r["name"] for r in rules.filter(F.col("name").isin(list(dims.ATTACK_SIGNATURES))).select("name").collect()}
+        user = {r["name"]: r["regex"] for r in rest.limit(TESTED + 1).collect()}
+        if len(user) > TESTED:
+            user = {}
+            found.append(prepared.crossJoin(rest).filter(F.rlike("_text", F.col("regex"))).select(key, F.col("name").alias("signature")))
+        if index is not None:
+            found.append(rule_index.hits(df, index, key, text))
+    tests = {n: t for n, t in P.signature_flags(F.col("_lower")).items() if n not in replaced} if include_builtin else {}
+    tests |= {n: F.col("_text").rlike(regex) for n, regex in sorted(user.items())}
+    if tests or not found:
+        named = [F.when(t, n) for n, t in tests.items()]
+        groups = [F.array_compact(F.array(F.lit(None).cast("string"), *named[k : k + PATTERNS_PER_COLUMN])) for k in range(0, max(len(named), 1), PATTERNS_PER_COLUMN)]
+        # The outer form keeps Spark from inferring a filter that would run every test a second time.
+        found.insert(0, prepared.select(key, F.explode_outer(F.concat(*groups)).alias("signature")).filter("signature is not null"))
+    return reduce(DataFrame.unionByName, found)
