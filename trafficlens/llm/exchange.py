@@ -52,10 +52,36 @@ def sliced(source: int, hashes: np.ndarray, values: np.ndarray, cuts: int, node:
 
 
 def sorted_runs(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Order that sorts the keys, and where each distinct key starts in it; leaner than ``np.unique``."""
-    order = np.argsort(keys)
+    """Order that sorts the keys, equal ones by place, and where each distinct key starts in it; leaner than ``np.unique``.
+
+    Sorts the leading bits in which keys differ and the place as one number, much faster than by an index, and puts the few keys right that agree in those bits.
+    """
+    if not len(keys):
+        return np.empty(0, np.int32), np.empty(0, np.int64)
+    alike, low = np.uint64(64 - int(keys.min() ^ keys.max()).bit_length()), np.uint64(len(keys).bit_length())
+    lead = lambda x: x << alike >> low if alike < 64 else np.zeros_like(x)
+    places = lead(keys)
+    places <<= low
+    places |= np.arange(len(keys), dtype=np.uint32)
+    places.sort()
+    places &= np.uint64((1 << int(low)) - 1)
+    order = places.astype(np.int32)
+    del places
     ranked = keys[order]
-    return order, np.flatnonzero(np.r_[np.ones(min(len(keys), 1), bool), ranked[1:] != ranked[:-1]])
+    wrong = np.flatnonzero(ranked[1:] < ranked[:-1])
+    if len(wrong) > len(keys) >> 10:
+        order = np.argsort(keys, kind="stable")
+        ranked = keys[order]
+        wrong = wrong[:0]
+    for k in wrong.tolist():
+        i, j, own = k, k + 1, lead(ranked[k])
+        while i and lead(ranked[i - 1]) == own:
+            i -= 1
+        while j < len(keys) and lead(ranked[j]) == own:
+            j += 1
+        order[i:j] = order[i:j][np.argsort(ranked[i:j], kind="stable")]
+        ranked[i:j] = keys[order[i:j]]
+    return order, np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]])
 
 
 class Merged:

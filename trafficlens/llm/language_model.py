@@ -1,5 +1,6 @@
 """LM scoring: smoothed word n-grams as a weighted backoff automaton; every block of texts walks the part of it that it meets."""
 
+from collections import defaultdict
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,7 +20,7 @@ LEAST = 2  # longer n-grams that occur so often in the training texts are kept,
 BLOCK_BYTES = 8 << 20  # of text that is scored with one extract of the model
 END = b"\n"  # the end token: no word contains it
 NO_ARC = 1.0  # in place of a weight, which is never above zero
-WALK = 1 << 16
+WALK = 1 << 16  # places whose weights are laid out at once
 
 BLOCK_SCHEMA = "block long, ids binary, marks binary, ends binary, tokens binary, hashes binary, counts binary, n_train long"
 
@@ -34,15 +35,15 @@ def blocks(docs: DataFrame, doc_id: str, text: str, held: Column) -> DataFrame:
     def pack(block, ids, held, texts):
         import xxhash
 
-        known: dict[bytes, int] = {}
-        number = lambda w: known.setdefault(w, len(known))
+        known: defaultdict[bytes, int] = defaultdict()
+        known.default_factory = known.__len__  # a new word gets the next number
         parts, ends, at = [], [], 0
         for t in texts:
             ws = t.lower().split()
             ws.append(END)
             at += len(ws)
             ends.append(at)
-            parts.append(np.fromiter(map(number, ws), np.uint32, len(ws)))
+            parts.append(np.fromiter(map(known.__getitem__, ws), np.uint32, len(ws)))
         own = np.fromiter((xxhash.xxh64_intdigest(w) for w in known), np.uint64, len(known))
         hashes, place = np.unique(own, return_inverse=True)
         tokens, ends = place.astype(np.uint32)[np.concatenate(parts)], np.array(ends, np.int64)
@@ -121,6 +122,7 @@ class Grams:
             spots.append(np.flatnonzero(place >= n).astype(np.int32))
         del place
         found = np.concatenate([key[spot] for key, spot in zip(every[1:], spots)])
+        every.pop()
         ranks, start = sorted_runs(found)
         first = ranks[start]
         keys, number = found[first], np.empty(len(found), np.int32)
@@ -222,37 +224,61 @@ class Automaton:
             at = np.minimum(np.searchsorted(asked, keys), max(len(asked) - 1, 0))
             return np.where(asked[at] == keys, taken[at], 0.0) if len(asked) else np.zeros(len(keys))
 
+        longer = np.flatnonzero((value > 0) & (grams.size < order))
+        spent_by = np.zeros(len(value))
+        spent_by[longer] = used(grams.keys[longer])
+        spots = grams.at
+        del grams, longer
+        value >>= 1
         # Of the context that ends at each place: count, what is taken of it; and the chance of the arc that ended there.
         count, spent_of, chance = total[tokens], used(hashes)[tokens], single[tokens]
-        for places, number in grams.at:
-            whole, times = np.maximum(count[places - 1], 1), (value >> 1)[number]
+        for k, (places, number) in enumerate(spots, 2):
+            whole, times = np.maximum(count[places - 1], 1), value[number]
             rest = 1 - spent_of[places - 1] / whole
-            own = np.where(times > 0, (times - DISCOUNT) / whole + rest * chance[places], 0.0)
+            kept = times > 0
+            at = places[kept]
+            own = (times[kept] - DISCOUNT) / whole[kept] + rest[kept] * chance[at]
+            del whole
             arc, fail = np.full(len(tokens), NO_ARC), np.zeros(len(tokens))
-            arc[places[times > 0]] = np.log10(own[times > 0])
+            arc[at] = np.log10(own)
             fail[places] = np.log10(rest)
             arcs.append(arc)
             fails.append(fail)
-            count, spent_of = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
-            count[places], spent_of[places] = times, used(grams.keys)[number]
-            chance[places[times > 0]] = own[times > 0]
+            if k < order:
+                count, spent_of = np.zeros(len(tokens), np.int64), np.zeros(len(tokens))
+                count[places], spent_of[places], chance[at] = times, spent_by[number], own
         return cls(arcs, fails)
 
     def walk(self, ends: np.ndarray) -> np.ndarray:
-        """Log10 probability of every text: one pass from left to right that carries the state."""
-        top, out, first = len(self.arcs) - 1, np.empty(len(ends)), 0
-        for d, last in enumerate(ends.tolist()):
-            state, total = 0, 0.0
-            for k in range(first, last, WALK):  # a text's weights become Python numbers bit by bit
-                own = slice(k, min(k + WALK, last))
-                for arcs, fails in zip(zip(*(x[own].tolist() for x in self.arcs)), zip(*(x[own].tolist() for x in self.fails))):
-                    while arcs[state] > 0:
-                        total += fails[state]
-                        state -= 1
-                    total += arcs[state]
-                    if state < top:
-                        state += 1
-            out[d], first = total, last
+        """Log10 probability of every text, from left to right, many places at a time.
+
+        Of a kept n-gram what it ends in is kept too, so a state has an arc only if the shorter ones have: after a place the order is k or
+        more if it was k - 1 or more before and there was an arc from order k - 1. Weights are added one by one, failure arcs first.
+        """
+        top, n, firsts = len(self.arcs) - 1, len(self.arcs[0]), np.r_[0, ends[:-1]]
+        state, before = np.zeros(n, np.int8), np.ones(n, bool)
+        for k in range(top):
+            after = before & (self.arcs[k] <= 0)
+            before = np.r_[False, after[:-1]]
+            before[firsts] = False
+            state += before
+        out, text, total = np.empty(len(ends)), 0, 0.0
+        for first in range(0, n, WALK):
+            own = slice(first, min(first + WALK, n))
+            steps, done = np.zeros((own.stop - first, top + 1)), np.zeros(own.stop - first, bool)
+            for k in range(top, -1, -1):
+                at = ~done & (state[own] >= k)
+                taken = at & (self.arcs[k][own] <= 0)
+                steps[:, top - k] = np.where(taken, self.arcs[k][own], np.where(at, self.fails[k][own], 0.0))
+                done |= taken
+            begin = first
+            while begin < own.stop:
+                end = min(int(ends[text]), own.stop)
+                weights = steps[begin - first : end - first].ravel()
+                weights[0] += total
+                total, begin = float(np.add.accumulate(weights)[-1]), end
+                if end == ends[text]:
+                    out[text], text, total = total, text + 1, 0.0
         return out
 
 
